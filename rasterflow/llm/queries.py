@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .bpe import op10_bpe
+from .decontamination import op1_decontamination
+from .media import op3_gif_media
 from .token_counts import op8_token_counts
 from .token_files import op2_token_files
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_files": op2_token_files,
+    "op3_gif_media": op3_gif_media,
     "op8_token_counts": op8_token_counts,
     "op10_bpe": op10_bpe,
 }
