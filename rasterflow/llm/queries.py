@@ -7,11 +7,13 @@ from .decontamination import op1_decontamination
 from .media import op3_gif_media
 from .token_counts import op8_token_counts
 from .token_files import op2_token_files
+from .warc import op6_warc
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_files": op2_token_files,
     "op3_gif_media": op3_gif_media,
+    "op6_warc": op6_warc,
     "op8_token_counts": op8_token_counts,
     "op10_bpe": op10_bpe,
 }
