@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op10_bpe
 from .decontamination import op1_decontamination
+from .language import op9_language_id
 from .media import op3_gif_media
 from .token_counts import op8_token_counts
 from .token_files import op2_token_files
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_gif_media": op3_gif_media,
     "op6_warc": op6_warc,
     "op8_token_counts": op8_token_counts,
+    "op9_language_id": op9_language_id,
     "op10_bpe": op10_bpe,
 }
 
