@@ -8,12 +8,14 @@ from .language import op9_language_id
 from .media import op3_gif_media
 from .token_counts import op8_token_counts
 from .token_files import op2_token_files
+from .toxicity import op5_toxicity
 from .warc import op6_warc
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_files": op2_token_files,
     "op3_gif_media": op3_gif_media,
+    "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
