@@ -128,7 +128,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         if n_docs:
             yield pa.RecordBatch.from_arrays([pa.array([context.partitionId()]), pa.array([base]), pa.array([n_docs]), pa.array([n_tokens]), pa.array([width], pa.int32())], ["part", "path", "n_docs", "n_tokens", "width"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).orderBy("doc_id", "text").mapInArrow(write, "part long, path string, n_docs long, n_tokens long, width int").collect()
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "part long, path string, n_docs long, n_tokens long, width int").collect()
     total, manifest = 0, []
     for r in sorted(rows):  # a row per part: their number follows the partitions, not the documents
         manifest.append((r.part, f"{folder}/{r.path}", total, r.n_docs, r.n_tokens, r.width))
