@@ -6,6 +6,7 @@ from .bpe import op10_bpe
 from .decontamination import op1_decontamination
 from .language import op9_language_id
 from .media import op3_gif_media
+from .suffix_dedup import op7_suffix_dedup
 from .token_counts import op8_token_counts
 from .token_files import op2_token_files
 from .toxicity import op5_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_gif_media": op3_gif_media,
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_bpe": op10_bpe,
