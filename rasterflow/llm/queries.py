@@ -6,6 +6,7 @@ from .bpe import op10_bpe
 from .decontamination import op1_decontamination
 from .language import op9_language_id
 from .media import op3_gif_media
+from .near_dedup import op4_near_dedup
 from .suffix_dedup import op7_suffix_dedup
 from .token_counts import op8_token_counts
 from .token_files import op2_token_files
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_files": op2_token_files,
     "op3_gif_media": op3_gif_media,
+    "op4_near_dedup": op4_near_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op7_suffix_dedup": op7_suffix_dedup,
