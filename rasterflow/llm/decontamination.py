@@ -19,6 +19,7 @@ that ``clean_documents`` returns the documents' columns unchanged.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -235,8 +236,6 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> D
 
 
 def _hit_udf(spark: SparkSession, part: list, width: int):
-    import pandas as pd
-
     sent = spark.sparkContext.broadcast(item_windows(part, width)[0])
     made: list = []
 

@@ -176,9 +176,9 @@ def repeated_windows(contexts: np.ndarray, at: np.ndarray, doc: np.ndarray, leng
     return order[least[group] < doc[own[order]]]
 
 
-def _scan(docs: DataFrame) -> DataFrame:
-    """doc_id and text in partitions that stay as they are from scan to scan."""
-    chosen = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _scan(docs: DataFrame, *more) -> DataFrame:
+    """doc_id and text (and more) in partitions that stay as they are from scan to scan."""
+    chosen = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
     plan = docs._jdf.queryExecution().optimizedPlan().toString()
     if any(x in plan for x in ("Join", "Aggregate", "Repartition", "Sort", "Window", "Distinct", "MapIn", "Limit", "Sample", "Generate", "UDF", "Union", "Logical")):
         return checkpoint(chosen)
@@ -471,6 +471,32 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     return stable.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<from_byte:long,to_byte:long>>, kept_sha256 string")
 
 
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with the repeated bytes cut out of text (and n_chars, if there, counted anew); what is left of a character cut in two goes too."""
+    stable = _scan(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    folders = _settle(stable.select("doc_id", "text"))
+
+    def run(batches):
+        left = []
+
+        def noted():
+            for batch in batches:
+                left.append(batch.column(2))
+                yield batch
+
+        done: list[str] = []
+        for _, data, starts, ends in _covered(noted(), folders):
+            done.append(_kept(data, starts, ends).decode("utf-8", "ignore"))
+            if len(done) == len(left[0]):
+                yield pa.RecordBatch.from_arrays([left.pop(0), pa.array(done, pa.string())], ["row", "kept"])
+                done = []
+
+    kind = stable.schema["row"].dataType.simpleString()
+    found = stable.mapInArrow(run, f"row {kind}, kept string")
+    new = {"text": F.when(F.col("row.text").isNotNull(), F.col("kept")), "n_chars": F.length(F.when(F.col("row.text").isNotNull(), F.col("kept")))}
+    return found.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = removed_spans(table(spark, sf_dir, "documents"))
     total = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x.to_byte - x.from_byte)

@@ -14,15 +14,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .common import blocks, table
+from .common import blocks, table, utf8
 from .token_files import encoder
 
 #: Documents and characters of a block whose frequencies travel together.
-BLOCK_DOCS, BLOCK_SIZE = 32768, 8 << 20
+BLOCK_DOCS, BLOCK_SIZE = 32768, 16 << 20
 
 
 def pretoken_rows(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -34,7 +35,7 @@ def pretoken_rows(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         from pyspark import TaskContext
 
         enc = encoder(tokenizer_path)
-        task = TaskContext.get().taskAttemptId() << 24
+        task = TaskContext.get().partitionId() << 20
         for batch in batches:
             every = [t or "" for t in batch.column(1).to_pylist()]
             names = batch.column(0)
@@ -98,33 +99,34 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
     def pieces(batches):
         enc, known = encoder(tokenizer_path), {}
         encode = pretokens.library_encoder(enc.whole)
-        sums: dict[int, np.ndarray] = {}
-        held = 0
+        places, values, held = [], [], 0
         for batch in batches:
             words = batch.column(1).to_pylist()
             new = list({w for w in words if w is not None and w not in known})
             known.update(zip(new, map(len, encode(new)), strict=True))
-            for block, w, of, freq in zip(batch.column(0).to_pylist(), words, batch.column(2), batch.column(3), strict=True):
-                if w is None:
-                    yield one(block, of.as_py(), freq.as_py())
-                    continue
-                if block not in sums:
-                    sums[block] = np.zeros(1024, np.int64)
-                    held += 1024
-                at = np.frombuffer(of.as_buffer(), "<u2")
-                if (top := int(at.max()) + 1) > len(sums[block]):
-                    held += top
-                    sums[block] = np.concatenate([sums[block], np.zeros(top, np.int64)])
-                np.add.at(sums[block], at, np.frombuffer(freq.as_buffer(), "<u2").astype(np.int64) * known[w])
-            if held > 4_000_000:
-                yield from (some(k, v) for k, v in sums.items())
-                sums, held = {}, 0
-        yield from (some(k, v) for k, v in sums.items())
-
-    def some(block, values):
-        """Sums of some of a block's documents: places, then values."""
-        at = np.flatnonzero(values)
-        return one(block, at.astype("<u2").tobytes(), values[at].astype("<i8").tobytes(), False)
+            for k in (k for k, w in enumerate(words) if w is None):
+                yield one(batch.column(0)[k].as_py(), batch.column(2)[k].as_py(), batch.column(3)[k].as_py())
+            some = batch.filter(pc.is_valid(batch.column(1)))
+            (of, at), (freq, _) = utf8(some.column(2)), utf8(some.column(3))
+            n = np.diff(at) // 2
+            count = np.array([known[w] for w in words if w is not None], np.int64)
+            # a document's place: its block and its number there
+            places.append(np.repeat(some.column(0).to_numpy() * BLOCK_DOCS, n) + np.frombuffer(of.tobytes(), "<u2"))
+            values.append(np.repeat(count, n) * np.frombuffer(freq.tobytes(), "<u2"))
+            held += len(values[-1])
+            if held > 2_000_000:
+                yield from sums(places, values)
+                places, values, held = [], [], 0
+        yield from sums(places, values)
+
+    def sums(places, values):
+        """Sums by document: places in a block, then values."""
+        if places:
+            place, back = np.unique(np.concatenate(places), return_inverse=True)
+            total = np.bincount(back, np.concatenate(values), len(place)).astype("<i8")
+            block, first = np.unique(place // BLOCK_DOCS, return_index=True)
+            for k, a, b in zip(block.tolist(), first.tolist(), [*first[1:].tolist(), len(place)], strict=True):
+                yield one(k, (place[a:b] % BLOCK_DOCS).astype("<u2").tobytes(), total[a:b].tobytes(), False)
 
     def one(block, of, freq, whole=True):
         return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([whole]), pa.array([of], pa.binary()), pa.array([freq], pa.binary())], ["block", "whole", "of", "freq"])
