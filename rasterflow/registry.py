@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from rasterflow.queries import QUERIES
 
-QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
