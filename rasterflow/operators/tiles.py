@@ -32,9 +32,9 @@ def weight(y: Column, x: Column, height: Column, width: Column, overlap: int) ->
 
 
 def overlap_add(patches: DataFrame, key: str = "photo_id") -> DataFrame:
-    """Weighted mean per output pixel of rows (key, y, x, value, weight), clipped to 0 .. 255 and cut to whole levels."""
+    """Weighted mean per output pixel of rows (key, y, x, value, weight), clipped to 0 .. 255 and cut to whole levels (at six digits, so the order of summation doesn't show)."""
     sums = patches.groupBy(key, "y", "x").agg(F.sum(F.col("value") * F.col("weight")).alias("v"), F.sum("weight").alias("w"))
-    return sums.select(key, "y", "x", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("v") / F.greatest(F.col("w"), F.lit(1e-4))))).cast("int").alias("value"))
+    return sums.select(key, "y", "x", F.floor(F.round(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("v") / F.greatest(F.col("w"), F.lit(1e-4)))), 6)).cast("int").alias("value"))
 
 
 def encode(px: Column, input_range: Column) -> Column:

@@ -132,7 +132,7 @@ def _flipped(sig: F.Column, key: F.Column) -> F.Column:
     """A copy of a signature with up to nine bits flipped, as the key says."""
     mask = F.lit(0).cast("long")
     for k in range(9):
-        mask = F.when(key % 10 > k, mask.bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), ((key * 7 + k * 13) % 64).cast("int")))).otherwise(mask)
+        mask = F.when(key % 10 > k, mask.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), ((key * 7 + k * 13) % 64).cast("int")))).otherwise(mask)
     return sig.bitwiseXOR(mask)
 
 
@@ -166,7 +166,7 @@ def strategy_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _scored(spark, sf_dir).withColumn("plan", rules.plan_name(_i, F.lit("Auto Detect"))).withColumn("before", F.round("engine", 6))
     tried = candidates.repairs(candidates.expand(df)).withColumn("after", F.round(candidates.quality_of(F.col("work"), 8, 8), 6))
     chosen = candidates.accept(candidates.best(tried.select("photo_id", "ordinal", "strategy", "after", "before", "is_screenshot"), "photo_id", "after", "ordinal"))
-    return chosen.select("photo_id", "strategy", R("before", 5), R("after", 5), "accepted", R("improvement", 5))
+    return chosen.select("photo_id", "strategy", R("before", 3), R("after", 3), "accepted", R("improvement", 3))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from rasterflow.oracle import oracle_sql
 from rasterflow.queries import QUERIES
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracle_sql()
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
