@@ -33,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, byte_blocks, checkpoint, filesystem, fresh_dir, mix64, ragged, table
+from .common import RangeHash, blocks, byte_blocks, checkpoint, filesystem, fresh_dir, mix64, ragged, table
 
 LENGTH, GRAM = 50, 20
 #: Runs that a task combines at a time, and different runs of one anchor beyond which it sends the anchor once.
-HELD, HOT = 2_500_000, 128
+HELD, HOT = 800_000, 128
+#: Bytes of text that a pass looks at at a time, and of contexts that are sorted together.
+BLOCK, SORTED, PARTS = 1 << 20, 1 << 20, 4096
 NULL_ID = (1 << 63) - 1
 _SYMBOL = mix64(np.arange(1, 257, dtype=np.uint64))
 SETTLED, OPEN, SEEN = 0, 1, 2
@@ -190,7 +192,7 @@ def _batches(batches):
     row = 0
     for batch in batches:
         ids = batch.column(0).to_numpy()
-        for a, b, data, at in byte_blocks(batch.column(1)):
+        for a, b, data, at in byte_blocks(batch.column(1), BLOCK):
             yield row + a, ids[a:b], data, at
         row += len(ids)
 
@@ -239,7 +241,7 @@ def _anchor_rows(batches, n_buckets: int):
 
     for first, ids, data, at in _batches(batches):
         own, start, n, anchor, whole = runs(data, at)
-        held.append((own + first, start, n, anchor, whole, ids[own]))
+        held.append(((own + first).astype(np.int32), start.astype(np.int32), n.astype(np.int32), anchor, whole, ids[own]))
         count += len(own)
         seen ^= np.bitwise_xor.reduce(mix64(ids.astype(np.uint64))) if len(ids) else np.uint64(0)
         total += len(ids)
@@ -352,16 +354,16 @@ def _contexts(batches, folder: str, n_buckets: int):
     seen, total = np.uint64(0), 0
 
     def flush():
-        bucket = np.concatenate([x[0] for x in held])
-        row, start, doc, length = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3, 4))
-        text = np.concatenate([x[5] for x in held])
+        hashed, row, start, doc, length, text = (np.concatenate(x) for x in zip(*held, strict=True))
+        bucket = (hashed % np.uint64(n_buckets)).astype(np.int64)
+        part = (hashed // np.uint64(n_buckets) % np.uint64(PARTS)).astype(np.uint16)
         at = np.cumsum(length) - length
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
         for b in range(n_buckets):
             o = order[cuts[b] : cuts[b + 1]]
             if len(o):
-                yield b, pid, OPEN, pack(row=row[o].astype(np.int32), start=start[o].astype(np.int32), doc=doc[o], n=length[o].astype(np.int32), text=text[ragged(at[o], length[o])])
+                yield b, pid, OPEN, pack(part=part[o], row=row[o].astype(np.int32), start=start[o].astype(np.int32), doc=doc[o], n=length[o].astype(np.int32), text=text[ragged(at[o], length[o])])
         held.clear()
 
     for first, ids, data, at in _batches(batches):
@@ -371,9 +373,9 @@ def _contexts(batches, folder: str, n_buckets: int):
         if a < b:
             own = row[a:b] - first
             length = n[a:b] + LENGTH - 1
-            held.append(((anchor[a:b] % np.uint64(n_buckets)).astype(np.int64), row[a:b], start[a:b], ids[own], length, data[ragged(at[own] + start[a:b], length)]))
+            held.append((anchor[a:b], row[a:b], start[a:b], ids[own], length, data[ragged(at[own] + start[a:b], length)]))
             size += int(length.sum())
-            if size > 16 << 20:
+            if size > 8 << 20:
                 yield from flush()
                 size = 0
     if held:
@@ -386,18 +388,29 @@ def _by_suffix(batches):
     parts = []
     for batch in batches:
         for _, pid, _, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            row, start, doc, n, text = unpack(blob, "<i4", "<i4", "<i8", "<i4", "u1")
-            parts.append((row, start, doc, n, np.full(len(row), pid, np.int32), text))
+            part, row, start, doc, n, text = unpack(blob, "<u2", "<i4", "<i4", "<i8", "<i4", "u1")
+            parts.append((part, row, start, doc, n, np.full(len(row), pid, np.int32), text))
     if not parts:
         return
-    row, start, doc, n, pid, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+    part, row, start, doc, n, pid, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
     at = np.append(0, np.cumsum(n, dtype=np.int64))
-    places = np.sort(repeated_windows(text, at, doc))
-    own = np.searchsorted(at, places, "right") - 1
-    begin = start[own] + places - at[own]
-    for p in np.unique(pid[own]).tolist():
-        s = pid[own] == p
-        yield p, SETTLED, _spans(row[own][s], begin[s], np.ones(int(s.sum()), np.int64))
+    # contexts of one anchor are in one part; parts are sorted together up to a bounded size
+    order = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[order], np.arange(PARTS), "right")
+    sizes = np.diff(np.append(0, np.append(0, np.cumsum(n[order], dtype=np.int64))[ends]))
+    ends = np.append(0, ends)
+    for a, b in blocks(sizes, SORTED):
+        o = order[ends[a] : ends[b]]
+        if not len(o):
+            continue
+        own_at = np.append(0, np.cumsum(n[o], dtype=np.int64))
+        places = np.sort(repeated_windows(text[ragged(at[o], n[o].astype(np.int64))], own_at, doc[o]))
+        own = np.searchsorted(own_at, places, "right") - 1
+        begin, own_pid = start[o][own] + places - own_at[own], pid[o][own]
+        for p in np.unique(own_pid).tolist():
+            s = own_pid == p
+            yield p, SETTLED, _spans(row[o][own][s], begin[s], np.ones(int(s.sum()), np.int64))
 
 
 def _settle(docs: DataFrame) -> list[str]:
