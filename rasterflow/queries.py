@@ -427,9 +427,17 @@ def perceptual_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("photo_id", dedupe.signature_hex(F.col("phash")).alias("phash"))
 
 
+def enhanced_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline over 8 x 8 colour rasters; pixels come back as a digest."""
+    from rasterflow.plans.enhance import enhance
+
+    df = enhance(rasters.colour_rasters(spark, sf_dir), 8, 8)
+    return df.select("photo_id", "plan_name", "ordinal", "n_steps", R("before", 3), R("after", 3), "quality_accepted", "safe", "review_needed", F.sha2("data", 256).alias("data_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     raster_tone, raster_focus, raster_blockiness, raster_dynamic_range, raster_colour, raster_gradients, low_light_gate, quality_scores, review_reasons, scene_rollup, problem_list, plan_stages,
     capability_request, capability_counts, exact_duplicates, signature_bits, near_pairs, duplicate_groups, best_of_group, strategy_accept, pair_correlation, post_validation, candidate_rank, review_flag,
     batch_counters, report_rows, face_profiles, face_summary, face_similarity, profile_outcomes, capability_resolution, manifest_validation, pack_lint, spec_parse, service_response, output_paths,
-    mode_names, straighten_plan, screenshot_score, crop_rows, tile_grid, overlap_add, encode_decode, provider_choice, perceptual_hashes,
+    mode_names, straighten_plan, screenshot_score, crop_rows, tile_grid, overlap_add, encode_decode, provider_choice, perceptual_hashes, enhanced_photos,
 )}

@@ -1,0 +1,20 @@
+"""Extension: exact duplicates of an unbounded stream of files, and incremental scoring (nothing of the kind is asked for by batch use)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rasterflow.sources.rasters import supported
+
+
+def photo_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """New photographs of a folder as they come, with their content's hash; bytes don't leave the scan."""
+    kinds = "path string, modificationTime timestamp, length long, content binary"
+    found = spark.readStream.format("binaryFile").schema(kinds).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").load(folder)
+    return found.where(supported(F.col("path"))).select("path", "modificationTime", "length", F.sha2("content", 256).alias("sha"))
+
+
+def first_copies(stream: DataFrame, time: str = "modificationTime", lateness: str = "1 day") -> DataFrame:
+    """The first file of each content; state is forgotten after the watermark."""
+    return stream.withWatermark(time, lateness).dropDuplicatesWithinWatermark(["sha"])
