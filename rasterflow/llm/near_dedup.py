@@ -31,6 +31,8 @@ TREES, SLOTS, DEPTH = 12, 8, 2
 BLOCK, SMALL = 1024, 8
 #: Equal signature slots (of TREES * SLOTS, compared in 8 bits) that a pair needs: 4.5 deviations below similarity 0.75.
 LEAST_EQUAL = 53
+#: Slots of the finer sketch that decides which pairs of open regions are tested, and equal ones needed: 4.5 deviations as well.
+FINE, LEAST_FINE = 512, 340
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.ones(256, bool)
@@ -294,16 +296,29 @@ def components(edges: DataFrame) -> DataFrame:
         now = checkpoint(small.distinct())
 
 
-def _cross_pairs(rows: DataFrame, comps: DataFrame) -> DataFrame:
+def _fine_sketches(texts: DataFrame) -> DataFrame:
+    """node, fine: a longer signature in 8 bits."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b, data, at in byte_blocks(batch.column(1)):
+                low = (signatures(*shingles(data, at), FINE) & 0xFF).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in low], pa.binary())], ["node", "fine"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, fine binary")
+
+
+def _cross_pairs(rows: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame:
     """All promising pairs of open regions' rows whose components differ, found in cells of bounded size."""
     own = rows.select("region", F.col("a").alias("node"), "n", "sketch").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = own.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
     parts = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    left = checkpoint(own.join(mixed.select("region", parts.alias("parts")), "region"))
     cells = (
-        own.join(mixed.select("region", parts.alias("parts")), "region")
+        left.join(_fine_sketches(_texts(docs, left.select("node").distinct())), "node")
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("region", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "node", "component", "n", "sketch", "part")
+        .select("region", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "node", "component", "n", "sketch", "part", "fine")
     )
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -312,7 +327,7 @@ def _cross_pairs(rows: DataFrame, comps: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [*[batch.column(k).to_numpy() for k in range(7)], _matrix(batch.column(7), TREES * SLOTS, np.uint8)]
+            rows = [*[batch.column(k).to_numpy() for k in range(7)], _matrix(batch.column(7), TREES * SLOTS, np.uint8), _matrix(batch.column(8), FINE, np.uint8)]
             if carry is not None:
                 rows = [np.concatenate(x) for x in zip(carry, rows, strict=True)]
             change = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])
@@ -323,7 +338,7 @@ def _cross_pairs(rows: DataFrame, comps: DataFrame) -> DataFrame:
         if carry is not None:
             yield from cell(*carry)
 
-    def cell(region, x, y, node, component, count, part, sketch):
+    def cell(region, x, y, node, component, count, part, sketch, fine):
         for k in range(0, len(node), BLOCK):
             r = slice(k, k + BLOCK)
             for j in range(k, len(node), BLOCK):
@@ -331,11 +346,20 @@ def _cross_pairs(rows: DataFrame, comps: DataFrame) -> DataFrame:
                 good = _equal(sketch[r], sketch[c]) >= LEAST_EQUAL
                 good &= (component[r][:, None] != component[c][None]) & (PERCENT * np.maximum.outer(count[r], count[c]) <= 100 * np.minimum.outer(count[r], count[c]))
                 a, b = np.nonzero(good)
+                near = np.zeros(len(a), bool)
+                for q in range(0, len(a), 20_000):
+                    near[q : q + 20_000] = (fine[r][a[q : q + 20_000]] == fine[c][b[q : q + 20_000]]).sum(1) >= LEAST_FINE
+                a, b = a[near], b[near]
                 if len(a):
                     low, high = np.minimum(node[r][a], node[c][b]), np.maximum(node[r][a], node[c][b])
                     yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
 
-    return cells.repartition(n, "region", "x", "y").sortWithinPartitions("region", "x", "y").select("region", "x", "y", "node", "component", "n", "part", "sketch").mapInArrow(run, "a long, b long").distinct()
+    return cells.repartition(n, "region", "x", "y").sortWithinPartitions("region", "x", "y").select("region", "x", "y", "node", "component", "n", "part", "sketch", "fine").mapInArrow(run, "a long, b long").distinct()
+
+
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text of the documents among nodes."""
+    return docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(nodes, "node", "left_semi")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -352,12 +376,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def links(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(ids, "node", "left_semi")
-        return _links(pairs, texts)
+        return _links(pairs, _texts(docs, ids))
 
     first = checkpoint(links(found.where("kind = 0").select("a", "b").distinct()))
     comps = components(first)
-    more = checkpoint(_cross_pairs(found.where("kind = 1").distinct(), comps))
+    more = checkpoint(_cross_pairs(found.where("kind = 1").distinct(), comps, docs))
     if not more.isEmpty():
         comps = components(first.unionByName(links(more)))
     # equal sets first: their node, then the node's component
