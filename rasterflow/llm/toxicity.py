@@ -16,7 +16,7 @@ every task; corpus frequencies count all documents.
 
 Null or word-less text has no passage and scores as an empty one; labels with null doc_id or null toxic aren't
 learned, repeated labels count as toxic if one is; null or repeated doc_ids keep a row each; without labels of
-both kinds every score is 0; an empty table gives no rows; further columns are ignored by
+both kinds, or without evidence in any of them, every score is 0; an empty table gives no rows; further columns are ignored by
 ``score_documents`` and returned unchanged by ``drop_toxic``.
 """
 
@@ -160,7 +160,7 @@ class Model:
             self.scale = max(len(ground) / max(weight, 1e-9), 1e-9)
         x = np.array([self.evidence(r[1], r[2]) for r in rows])
         y = np.array([r[0] for r in rows], float)
-        if not len(y) or y.min() == y.max():
+        if not len(y) or y.min() == y.max() or x.min() == x.max():
             return
         # two-parameter logistic regression by Newton steps, on standardised evidence, with a slight ridge
         mean, spread = x.mean(), max(x.std(), 1e-6)
@@ -263,8 +263,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, featur
     return model
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, evidence and passages (from_byte, to_byte, score, e_value of each segment that chance explains less than once in 20 such texts)."""
+def score_documents(docs: DataFrame, model: Model, significant: float = 0.05) -> DataFrame:
+    """doc_id, score, evidence and passages: from_byte, to_byte, score and e_value of each segment that chance gives fewer than significant times in such a text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     passage = pa.struct([("from_byte", pa.int64()), ("to_byte", pa.int64()), ("score", pa.float64()), ("e_value", pa.float64())])
 
@@ -278,7 +278,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                     evidence.append(x)
                     score.append(own.score(x))
                     rows = [{"from_byte": int(words.starts[first + p] - at[k]), "to_byte": int(words.ends[first + q - 1] - at[k]), "score": s, "e_value": own.scale * n * math.exp(-own.rate * s)} for s, p, q in segs]
-                    found.append([r for r in rows if r["e_value"] < 0.05])
+                    found.append([r for r in rows if r["e_value"] < significant])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score), pa.array(evidence), pa.array(found, pa.list_(passage))], ["doc_id", "score", "evidence", "passages"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, evidence double, passages array<struct<from_byte:long,to_byte:long,score:double,e_value:double>>")
