@@ -314,7 +314,7 @@ def _by_anchor(batches):
 def _write_side(rows: DataFrame, folder: str) -> None:
     """A table with a folder per scan partition."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartition(n, "pid").write.partitionBy("pid").parquet(folder)
+    rows.repartitionById(n, "pid").write.partitionBy("pid").parquet(folder)
 
 
 def _side(folders: list[str], pid: int):
@@ -421,9 +421,9 @@ def _settle(docs: DataFrame) -> list[str]:
     side_kinds = [pa.int32(), pa.int32(), pa.binary()]
     one, two = fresh_dir(spark, "repeats-1"), fresh_dir(spark, "repeats-2")
     sent = docs.mapInArrow(lambda it: _rows(_anchor_rows(it, n), _NAMES, _KINDS), kinds)
-    _write_side(sent.repartition(n, "bucket").mapInArrow(lambda it: _rows(_by_anchor(it), ["pid", "kind", "blob"], side_kinds), SIDE), one)
+    _write_side(sent.repartitionById(n, "bucket").mapInArrow(lambda it: _rows(_by_anchor(it), ["pid", "kind", "blob"], side_kinds), SIDE), one)
     open_runs = docs.mapInArrow(lambda it: _rows(_contexts(it, one, n), _NAMES, _KINDS), kinds)
-    _write_side(open_runs.repartition(n, "bucket").mapInArrow(lambda it: _rows(_by_suffix(it), ["pid", "kind", "blob"], side_kinds), SIDE), two)
+    _write_side(open_runs.repartitionById(n, "bucket").mapInArrow(lambda it: _rows(_by_suffix(it), ["pid", "kind", "blob"], side_kinds), SIDE), two)
     return [one, two]
 
 
