@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import RangeHash, byte_blocks, checkpoint, fresh_dir, mix64, ragged, table
+from .partitions import NULL_ID, fixed_scan, side, write_side
 
 WORDS, PERCENT = 5, 75
 TREES, SLOTS, DEPTH = 12, 8, 2
@@ -75,7 +76,7 @@ def signatures(hashes: np.ndarray, at: np.ndarray, n: int = TREES * SLOTS) -> np
     full = np.flatnonzero(np.diff(at))
     if len(full):
         odd = mix64(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
-        add = mix64(np.arange(n + 1, 2 * n + 1, dtype=np.uint64))
+        add = mix64(np.arange(1, n + 1, dtype=np.uint64) << np.uint64(32))  # a slot is the same in signatures of any length
         for k in range(n):
             value = hashes * odd[k] + add[k]
             value ^= value >> np.uint64(29)
@@ -85,9 +86,12 @@ def signatures(hashes: np.ndarray, at: np.ndarray, n: int = TREES * SLOTS) -> np
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit keys of the set, signature."""
+    """doc_id (from a fixed scan), n_shingles, two 64-bit keys of the set, signature, scan partition."""
 
     def run(batches):
+        from pyspark import TaskContext
+
+        pid = TaskContext.get().partitionId()
         for batch in batches:
             for a, b, data, at in byte_blocks(batch.column(1)):
                 hashes, cuts = shingles(data, at)
@@ -97,9 +101,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sig = signatures(hashes, cuts)
                 wide = 4 * sig.shape[1]
                 packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.arange(0, (b - a + 1) * wide, wide, dtype=np.int32)), pa.py_buffer(sig.astype(">u4").tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(cuts)), pa.array(one), pa.array(two), packed], ["doc_id", "n_shingles", "key", "more", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(cuts)), pa.array(one), pa.array(two), packed, pa.array(np.full(b - a, pid, np.int32))], ["doc_id", "n_shingles", "key", "more", "sig", "pid"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, key long, more long, sig binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, key long, more long, sig binary, pid int")
 
 
 def _matrix(column: pa.Array, width: int, kind: str) -> np.ndarray:
@@ -117,10 +121,7 @@ def forest_rows(nodes: DataFrame) -> DataFrame:
             sketch = pa.array([x.tobytes() for x in low])
             for t in range(TREES):
                 own = np.ascontiguousarray(sig[:, t * SLOTS : (t + 1) * SLOTS])
-                region = np.full(len(own), t + 1, np.uint64)
-                for k in range(DEPTH):
-                    region = mix64(region * np.uint64(0x9E3779B97F4A7C15) + own[:, k].astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array([x.tobytes() for x in own[:, DEPTH:]]), batch.column(0), batch.column(1), sketch], ["region", "slots", "node", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(_region(t, own)), pa.array([x.tobytes() for x in own[:, DEPTH:]]), batch.column(0), batch.column(1), sketch], ["region", "slots", "node", "n", "sketch"])
 
     return nodes.select("node", "n", "sig").mapInArrow(run, "region long, slots binary, node long, n long, sketch binary")
 
@@ -297,28 +298,38 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _fine_sketches(texts: DataFrame) -> DataFrame:
-    """node, fine: a longer signature in 8 bits."""
+    """node, fine (a longer signature in 8 bits) and regions (the node's region in each tree)."""
 
     def run(batches):
         for batch in batches:
             for a, b, data, at in byte_blocks(batch.column(1)):
-                low = (signatures(*shingles(data, at), FINE) & 0xFF).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in low], pa.binary())], ["node", "fine"])
+                sig = signatures(*shingles(data, at), FINE)
+                low = (sig & 0xFF).astype(np.uint8)
+                regions = np.stack([_region(t, sig[:, t * SLOTS :]) for t in range(TREES)], 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in low], pa.binary()), pa.array([x.tobytes() for x in regions], pa.binary())], ["node", "fine", "regions"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, fine binary, regions binary").dropDuplicates(["node"])
+
 
-    return texts.select("node", "text").mapInArrow(run, "node long, fine binary")
+def _region(tree: int, slots: np.ndarray) -> np.ndarray:
+    """The region of nodes in a tree: a hash of the tree and the first slots there."""
+    region = np.full(len(slots), tree + 1, np.uint64)
+    for k in range(DEPTH):
+        region = mix64(region * np.uint64(0x9E3779B97F4A7C15) + slots[:, k].astype(np.uint64))
+    return region.view(np.int64)
 
 
-def _cross_pairs(rows: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame:
+def _cross_pairs(rows: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
     """All promising pairs of open regions' rows whose components differ, found in cells of bounded size."""
     own = rows.select("region", F.col("a").alias("node"), "n", "sketch").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = own.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
     parts = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     left = checkpoint(own.join(mixed.select("region", parts.alias("parts")), "region"))
     cells = (
-        left.join(_fine_sketches(_texts(docs, left.select("node").distinct())), "node")
+        left.join(_fine_sketches(texts.join(left.select("node").distinct(), "node", "left_semi")), "node")
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("region", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "node", "component", "n", "sketch", "part", "fine")
+        .select("region", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "node", "component", "n", "sketch", "part", "fine", "regions")
     )
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -327,7 +338,7 @@ def _cross_pairs(rows: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFram
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [*[batch.column(k).to_numpy() for k in range(7)], _matrix(batch.column(7), TREES * SLOTS, np.uint8), _matrix(batch.column(8), FINE, np.uint8)]
+            rows = [*[batch.column(k).to_numpy() for k in range(7)], _matrix(batch.column(7), TREES * SLOTS, np.uint8), _matrix(batch.column(8), FINE, np.uint8), _matrix(batch.column(9), TREES, np.int64)]
             if carry is not None:
                 rows = [np.concatenate(x) for x in zip(carry, rows, strict=True)]
             change = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])
@@ -338,51 +349,73 @@ def _cross_pairs(rows: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFram
         if carry is not None:
             yield from cell(*carry)
 
-    def cell(region, x, y, node, component, count, part, sketch, fine):
+    def cell(region, x, y, node, component, count, part, sketch, fine, regions):
+        # a repeated doc_id may stand here by another of its texts: it shares no earlier region then
+        own = regions == region[0]
+        known = own.any(1)
+        tree = int(own[known].argmax(1)[0]) if known.any() else 0
+        earlier = np.where(known[:, None], regions, np.arange(len(regions))[:, None])[:, :tree]
         for k in range(0, len(node), BLOCK):
             r = slice(k, k + BLOCK)
             for j in range(k, len(node), BLOCK):
                 c = slice(j, j + BLOCK)
                 good = _equal(sketch[r], sketch[c]) >= LEAST_EQUAL
                 good &= (component[r][:, None] != component[c][None]) & (PERCENT * np.maximum.outer(count[r], count[c]) <= 100 * np.minimum.outer(count[r], count[c]))
-                a, b = np.nonzero(good)
+                if x[0] != y[0]:
+                    good &= part[r][:, None] != part[c][None]  # pairs within a part have a cell of their own
+                a, b = np.nonzero(np.triu(good) if k == j else good)
                 near = np.zeros(len(a), bool)
                 for q in range(0, len(a), 20_000):
-                    near[q : q + 20_000] = (fine[r][a[q : q + 20_000]] == fine[c][b[q : q + 20_000]]).sum(1) >= LEAST_FINE
+                    p, o = a[q : q + 20_000], b[q : q + 20_000]
+                    # a pair that shares a region in an earlier tree is looked at there
+                    near[q : q + 20_000] = ((fine[r][p] == fine[c][o]).sum(1) >= LEAST_FINE) & ~(earlier[r][p] == earlier[c][o]).any(1)
                 a, b = a[near], b[near]
                 if len(a):
                     low, high = np.minimum(node[r][a], node[c][b]), np.maximum(node[r][a], node[c][b])
                     yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
 
-    return cells.repartition(n, "region", "x", "y").sortWithinPartitions("region", "x", "y").select("region", "x", "y", "node", "component", "n", "part", "sketch", "fine").mapInArrow(run, "a long, b long").distinct()
+    return cells.repartition(n, "region", "x", "y").sortWithinPartitions("region", "x", "y").select("region", "x", "y", "node", "component", "n", "part", "sketch", "fine", "regions").mapInArrow(run, "a long, b long").distinct()
 
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text of the documents among nodes."""
-    return docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(nodes, "node", "left_semi")
+def _texts(docs: DataFrame, wanted: DataFrame, folder: str) -> DataFrame:
+    """node, text of the wanted nodes (node, pid): each partition of the scan looks for its own, so other texts don't move."""
+    write_side(wanted, f"{folder}/wanted")
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        nodes = np.array([x[0] for x in side([f"{folder}/wanted"], TaskContext.get().partitionId(), ("node",), 65536)], np.int64)
+        for batch in batches:
+            keep = np.isin(batch.column(0).to_numpy(), nodes)
+            if keep.any():
+                some = batch.filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays(some.columns, ["node", "text"])
+
+    docs.mapInArrow(run, "node long, text string").write.parquet(f"{folder}/texts")
+    return docs.sparkSession.read.parquet(f"{folder}/texts")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document."""
     spark = docs.sparkSession
     folder = fresh_dir(spark, "near")
-    sketches(docs).write.parquet(f"{folder}/sketches")
-    every = spark.read.parquet(f"{folder}/sketches")
+    fixed = fixed_scan(docs)
+    sketches(fixed).write.parquet(f"{folder}/sketches")
+    every = spark.read.parquet(f"{folder}/sketches").withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
     own_key = ["key", "more", "n_shingles"]
-    every.where("n_shingles > 0 and doc_id is not null").groupBy(*own_key).agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")).withColumnRenamed("n_shingles", "n").write.parquet(f"{folder}/nodes")
+    first = F.min(F.struct("doc_id", "pid"))
+    every.where("n_shingles > 0 and doc_id is not null").groupBy(*own_key).agg(first.alias("first"), F.first("sig").alias("sig")).select("key", "more", F.col("n_shingles").alias("n"), F.col("first.doc_id").alias("node"), F.col("first.pid").alias("pid"), "sig").write.parquet(f"{folder}/nodes")
     nodes = spark.read.parquet(f"{folder}/nodes")
     forest_rows(nodes).repartitionByRange("region", "slots", "node").sortWithinPartitions("region", "slots", "node").mapInArrow(_neighbours, _PAIRS).write.parquet(f"{folder}/found")
     found = spark.read.parquet(f"{folder}/found")
+    ids = found.select(F.explode(F.array("a", "b")).alias("node")).dropna().distinct()
+    texts = _texts(fixed, nodes.select("node", "pid").join(ids, "node", "left_semi"), folder)
 
-    def links(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        return _links(pairs, _texts(docs, ids))
-
-    first = checkpoint(links(found.where("kind = 0").select("a", "b").distinct()))
+    first = checkpoint(_links(found.where("kind = 0").select("a", "b").distinct(), texts))
     comps = components(first)
-    more = checkpoint(_cross_pairs(found.where("kind = 1").distinct(), comps, docs))
+    more = checkpoint(_cross_pairs(found.where("kind = 1").distinct(), comps, texts))
     if not more.isEmpty():
-        comps = components(first.unionByName(links(more)))
+        comps = components(first.unionByName(_links(more, texts)))
     # equal sets first: their node, then the node's component
     final = nodes.select("key", "more", F.col("n").alias("n_shingles"), "node").join(comps, "node", "left").select(*own_key, F.coalesce("component", "node").alias("component"))
     return (

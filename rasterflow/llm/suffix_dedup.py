@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, blocks, byte_blocks, checkpoint, filesystem, fresh_dir, mix64, ragged, table
+from .common import RangeHash, blocks, byte_blocks, fresh_dir, mix64, ragged, table
+from .partitions import NULL_ID, fixed_scan, side, write_side
 
 LENGTH, GRAM = 50, 20
 #: Runs that a task combines at a time, and different runs of one anchor beyond which it sends the anchor once.
 HELD, HOT = 800_000, 128
 #: Bytes of text that a pass looks at at a time, and of contexts that are sorted together.
 BLOCK, SORTED, PARTS = 1 << 20, 1 << 20, 4096
-NULL_ID = (1 << 63) - 1
 _SYMBOL = mix64(np.arange(1, 257, dtype=np.uint64))
 SETTLED, OPEN, SEEN = 0, 1, 2
 SIDE = "pid int, kind int, blob binary"
@@ -178,15 +178,6 @@ def repeated_windows(contexts: np.ndarray, at: np.ndarray, doc: np.ndarray, leng
     return order[least[group] < doc[own[order]]]
 
 
-def _scan(docs: DataFrame, *more) -> DataFrame:
-    """doc_id and text (and more) in partitions that stay as they are from scan to scan."""
-    chosen = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    if any(x in plan for x in ("Join", "Aggregate", "Repartition", "Sort", "Window", "Distinct", "MapIn", "Limit", "Sample", "Generate", "UDF", "Union", "Logical")):
-        return checkpoint(chosen)
-    return chosen
-
-
 def _batches(batches):
     """(first row within the partition, doc_ids, block bytes, offsets)."""
     row = 0
@@ -311,26 +302,6 @@ def _by_anchor(batches):
             yield p, OPEN, pack(row=row[s].astype(np.int32), start=start[s].astype(np.int32), n=n[s].astype(np.int32), anchor=anchor[s])
 
 
-def _write_side(rows: DataFrame, folder: str) -> None:
-    """A table with a folder per scan partition."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionById(n, "pid").write.partitionBy("pid").parquet(folder)
-
-
-def _side(folders: list[str], pid: int):
-    """(kind, blob) that earlier passes left for a scan partition."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    for folder in folders:
-        store, root = filesystem(folder)
-        for f in store.get_file_info(fs.FileSelector(f"{root}/pid={pid}", allow_not_found=True)):
-            if f.base_name.endswith(".parquet"):
-                with store.open_input_file(f.path) as at:
-                    for batch in pq.ParquetFile(at).iter_batches(64, columns=["kind", "blob"]):
-                        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-
-
 def _check(marks: list[bytes], seen, total) -> None:
     if marks and marks[0] != _mark(int(seen), total):
         raise RuntimeError("a partition's documents changed between scans")
@@ -342,7 +313,7 @@ def _contexts(batches, folder: str, n_buckets: int):
 
     pid = TaskContext.get().partitionId()
     found, marks = [], []
-    for kind, blob in _side([folder], pid):
+    for kind, blob in side([folder], pid):
         if kind == OPEN:
             found.append(unpack(blob, "<i4", "<i4", "<i4", "!<u8"))
         elif kind == 3:
@@ -421,9 +392,9 @@ def _settle(docs: DataFrame) -> list[str]:
     side_kinds = [pa.int32(), pa.int32(), pa.binary()]
     one, two = fresh_dir(spark, "repeats-1"), fresh_dir(spark, "repeats-2")
     sent = docs.mapInArrow(lambda it: _rows(_anchor_rows(it, n), _NAMES, _KINDS), kinds)
-    _write_side(sent.repartitionById(n, "bucket").mapInArrow(lambda it: _rows(_by_anchor(it), ["pid", "kind", "blob"], side_kinds), SIDE), one)
+    write_side(sent.repartitionById(n, "bucket").mapInArrow(lambda it: _rows(_by_anchor(it), ["pid", "kind", "blob"], side_kinds), SIDE), one)
     open_runs = docs.mapInArrow(lambda it: _rows(_contexts(it, one, n), _NAMES, _KINDS), kinds)
-    _write_side(open_runs.repartitionById(n, "bucket").mapInArrow(lambda it: _rows(_by_suffix(it), ["pid", "kind", "blob"], side_kinds), SIDE), two)
+    write_side(open_runs.repartitionById(n, "bucket").mapInArrow(lambda it: _rows(_by_suffix(it), ["pid", "kind", "blob"], side_kinds), SIDE), two)
     return [one, two]
 
 
@@ -432,7 +403,7 @@ def _covered(batches, folders: list[str], length: int = LENGTH):
     from pyspark import TaskContext
 
     found, marks = [], []
-    for kind, blob in _side(folders, TaskContext.get().partitionId()):
+    for kind, blob in side(folders, TaskContext.get().partitionId()):
         if kind == SETTLED:
             found.append(unpack(blob, "<i4", "<i4", "<i4"))
         elif kind == 3:
@@ -464,7 +435,7 @@ def _kept(data: bytes, starts: list[int], ends: list[int]) -> bytes:
 
 def removed_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (from_byte, to_byte of each maximal removed run) and kept_sha256."""
-    stable = _scan(docs)
+    stable = fixed_scan(docs)
     folders = _settle(stable)
     span = pa.struct([("from_byte", pa.int64()), ("to_byte", pa.int64())])
 
@@ -486,7 +457,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """The documents with the repeated bytes cut out of text (and n_chars, if there, counted anew); what is left of a character cut in two goes too."""
-    stable = _scan(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    stable = fixed_scan(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     folders = _settle(stable.select("doc_id", "text"))
 
     def run(batches):
