@@ -10,6 +10,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _fold(px: Column, finish) -> Column:
+    """One pass over px for its number, sum and sum of squares; finish(n, s, q) makes the result."""
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("n"), zero.alias("s"), zero.alias("q"))
+    step = lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x.cast("long") * x).alias("q"))
+    return F.aggregate(px, start, step, lambda a: finish(a["n"], a["s"], a["q"]))
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with value worked out a single time however often use refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def total(px: Column) -> Column:
     return F.aggregate(px, F.lit(0).cast("long"), lambda s, x: s + x)
 
@@ -19,13 +32,12 @@ def squares(px: Column) -> Column:
 
 
 def mean(px: Column) -> Column:
-    return total(px) / F.size(px)
+    return _fold(px, lambda n, s, q: s / n)
 
 
 def variance(px: Column) -> Column:
     """Population variance."""
-    n = F.size(px).cast("long")
-    return (n * squares(px) - total(px) * total(px)) / (n * n)
+    return _fold(px, lambda n, s, q: (n * q - s * s) / (n * n))
 
 
 def deviation(px: Column) -> Column:
@@ -39,10 +51,14 @@ def share(px: Column, test) -> Column:
 
 def percentile(px: Column, p: float) -> Column:
     """Linear interpolation between the two nearest ranks."""
-    ordered, at = F.array_sort(px), (F.size(px) - 1) * F.lit(p)
-    low = F.floor(at).cast("int")
-    a, b = F.get(ordered, low), F.get(ordered, F.least(low + 1, F.size(px) - 1))
-    return a + (b - a) * (at - low)
+
+    def between(ordered):
+        at = (F.size(ordered) - 1) * F.lit(p)
+        low = F.floor(at).cast("int")
+        a, b = F.get(ordered, low), F.get(ordered, F.least(low + 1, F.size(ordered) - 1))
+        return a + (b - a) * (at - low)
+
+    return once(F.array_sort(px), between)
 
 
 def _places(height: int, width: int) -> Column:
@@ -59,19 +75,32 @@ def neighbour(px: Column, i: Column, dy: int, dx: int, height: int, width: int)
     return F.get(px, _mirror(row + dy, height) * width + _mirror(column + dx, width))
 
 
+def _stencil(px: Column, height: int, width: int, weights: dict[tuple[int, int], int], finish=lambda v: v) -> Column:
+    """Weighted sums of each pixel's surroundings. Places are known beforehand, so each result is plain arithmetic on elements."""
+    mirror = lambda k, n: -k if k < 0 else (2 * (n - 1) - k if k > n - 1 else k)
+
+    def value(row, column):
+        return finish(sum(w * F.get(px, F.lit(mirror(row + dy, height) * width + mirror(column + dx, width))) for (dy, dx), w in weights.items()))
+
+    return F.array(*[value(row, column) for row in range(height) for column in range(width)])
+
+
 def laplacian(px: Column, height: int, width: int) -> Column:
     """Four-neighbour second differences."""
+    if height * width <= 256:
+        return _stencil(px, height, width, {(-1, 0): 1, (1, 0): 1, (0, -1): 1, (0, 1): 1, (0, 0): -4})
     at = lambda i, dy, dx: neighbour(px, i, dy, dx, height, width)
     return F.transform(_places(height, width), lambda i: at(i, -1, 0) + at(i, 1, 0) + at(i, 0, -1) + at(i, 0, 1) - 4 * F.get(px, i))
 
 
 def smooth(px: Column, height: int, width: int) -> Column:
     """Binomial 3 x 3 average, rounded half up to whole levels."""
+    weights = {(dy, dx): (1 + (dy == 0)) * (1 + (dx == 0)) for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
+    level = lambda v: F.shiftright(v + 8, 4)
+    if height * width <= 256:
+        return _stencil(px, height, width, weights, level)
     at = lambda i, dy, dx: neighbour(px, i, dy, dx, height, width)
-    return F.transform(
-        _places(height, width),
-        lambda i: F.floor((sum((1 + (dy == 0)) * (1 + (dx == 0)) * at(i, dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)) + 8) / 16).cast("int"),
-    )
+    return F.transform(_places(height, width), lambda i: level(sum(w * at(i, dy, dx) for (dy, dx), w in weights.items())))
 
 
 def sharpness(px: Column, height: int, width: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rasterflow.functions.pixels import once
 from rasterflow.operators.rules import listed
 
 FILE = "capability string, filename string, sha256 string, size bigint, providers array<string>, required boolean"
@@ -122,7 +123,10 @@ def choose(matched: DataFrame, key: str, installed: Column, limit: int = 2) -> D
 def spec(json_text: Column) -> Column:
     """A model specification with defaults and clamps: lower-cased names, tile 64 or more, overlap 0 or more, blend 0 .. 1."""
     kinds = "layout string, colour_order string, input_range string, output_range string, input_name string, output_name string, tile_size int, overlap int, preserve_size boolean, blend_strength double"
-    raw = F.from_json(json_text, kinds)
+    return once(F.from_json(json_text, kinds), _spec_fields)
+
+
+def _spec_fields(raw: Column) -> Column:
     text = lambda n, d: F.lower(F.coalesce(raw[n], F.lit(d))).alias(n)
     return F.struct(
         text("layout", "auto"), text("colour_order", "rgb"), text("input_range", "zero_one"), text("output_range", "zero_one"),

@@ -130,10 +130,10 @@ def signature_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _flipped(sig: F.Column, key: F.Column) -> F.Column:
     """A copy of a signature with up to nine bits flipped, as the key says."""
-    mask = F.lit(0).cast("long")
+    one = F.lit(1).cast("long")
     for k in range(9):
-        mask = F.when(key % 10 > k, mask.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), ((key * 7 + k * 13) % 64).cast("int")))).otherwise(mask)
-    return sig.bitwiseXOR(mask)
+        sig = sig.bitwiseXOR(F.when(key % 10 > k, F.call_function("shiftleft", one, ((key * 7 + k * 13) % 64).cast("int"))).otherwise(F.lit(0).cast("long")))
+    return sig
 
 
 def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,8 +324,9 @@ def spec_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.from_json("props", "k int")["k"]
     text = F.to_json(F.struct(F.when(k % 3 == 0, "NHWC").when(k % 3 == 1, "weird").alias("layout"), (k * 4).alias("tile_size"), (k - 20).alias("overlap"), (k / 60.0).alias("blend_strength")))
-    raw = F.from_json(text, "layout string, colour_order string, input_range string, output_range string, tile_size int, overlap int, blend_strength double")
-    parsed = e.select("event_id", packs.spec(text).alias("s"), packs.spec_errors(lambda n: raw[n], F.when(F.col("event_type") == "click", "face_recovery").otherwise("denoise")).alias("faults"))
+    kinds = "layout string, colour_order string, input_range string, output_range string, tile_size int, overlap int, blend_strength double"
+    read = e.select("event_id", "event_type", text.alias("json")).select("*", F.from_json("json", kinds).alias("raw"))
+    parsed = read.select("event_id", packs.spec(F.col("json")).alias("s"), packs.spec_errors(lambda n: F.col("raw")[n], F.when(F.col("event_type") == "click", "face_recovery").otherwise("denoise")).alias("faults"))
     return parsed.select("event_id", F.col("s.layout").alias("layout"), F.col("s.tile_size").alias("tile_size"), F.col("s.overlap").alias("overlap"), F.round("s.blend_strength", 6).alias("blend_strength"), F.concat_ws(",", "faults").alias("faults"))
 
 
