@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import RangeHash, byte_blocks, crc_mod, mix64, table
 
 PREFIXES = (5, 6, 7, 8)
-#: Weight of the Dirichlet prior in documents; least z score and number of toxic documents of a kept feature; what a word without evidence costs.
-PRIOR, LEAST_Z, LEAST_COUNT, DRIFT = 200.0, 4.0, 6, 0.35
+#: Weight of the Dirichlet prior in documents; least z score, log-odds and number of toxic documents of a kept feature; what a word without evidence costs.
+PRIOR, LEAST_Z, LEAST_ODDS, LEAST_COUNT, DRIFT = 200.0, 4.0, 1.5, 6, 0.35
 LABEL_ROWS, FEATURES = 200_000, 65_536
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -165,9 +165,12 @@ class Model:
         # two-parameter logistic regression by Newton steps, on standardised evidence, with a slight ridge
         mean, spread = x.mean(), max(x.std(), 1e-6)
         z, w = np.stack([(x - mean) / spread, np.ones(len(x))], 1), np.zeros(2)
+        cost = lambda w: float(np.logaddexp(0, z @ w).sum() - y @ (z @ w) + 5e-3 * w @ w)
         for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
             step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2), z.T @ (y - p) - 1e-2 * w)
+            while cost(w + step) > cost(w) and np.abs(step).max() > 1e-9:  # full steps overshoot where the curve is flat
+                step /= 2
             w += step
             if np.abs(step).max() < 1e-8:
                 break
@@ -246,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, featur
                 else:
                     counts[k, r.feature] += r.n
         delta, z = log_odds(*counts, tuple(totals))
-        keep = z >= LEAST_Z
+        keep = (z >= LEAST_Z) & (delta >= LEAST_ODDS)  # with many documents even slight differences stand out
         model = Model(keys[keep], delta[keep])
     sent = sc.broadcast(model)
 
