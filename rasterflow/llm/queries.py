@@ -7,6 +7,7 @@ from .decontamination import op1_decontamination
 from .language import op9_language_id
 from .media import op3_gif_media
 from .near_dedup import op4_near_dedup
+from .sql import ORACLE_SQL
 from .suffix_dedup import op7_suffix_dedup
 from .token_counts import op8_token_counts
 from .token_files import op2_token_files
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
