@@ -191,6 +191,7 @@ def _neighbours(batches):
     """Candidate pairs of sorted forest rows (kind 0) and the rows of open regions (kind 1)."""
     carry = None
     first_region = None
+    parted: set = set()  # the region whose earlier rows were judged before
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -201,13 +202,16 @@ def _neighbours(batches):
         if first_region is None:
             first_region = region[0]
         cut = int(np.searchsorted(region, region[-1]))  # the last region may go on
-        if len(region) - cut > 4 * BLOCK:
-            cut = len(region)  # a large one goes on in blocks of its own and stays open
+        large = len(region) - cut > 4 * BLOCK
+        if large:
+            cut = len(region)  # a large one goes on in blocks of its own and stays open, however little of it is left
         carry = [x[cut:] for x in rows] if cut < len(region) else None
         if cut:
-            yield from _regions(*[x[:cut] for x in rows], {first_region, region[-1]})
+            yield from _regions(*[x[:cut] for x in rows], {first_region, region[-1], *parted})
+        if large:
+            parted = {region[-1]}
     if carry is not None:
-        yield from _regions(*carry, {first_region, carry[0][0]})
+        yield from _regions(*carry, {first_region, carry[0][0], *parted})
 
 
 def _regions(region, node, n, sketch, edges):

@@ -167,6 +167,20 @@ def test_dense_region_is_searched_whole(spark, monkeypatch):
     assert found == sorted(groups(rows), key=str)
 
 
+@pytest.mark.parametrize("rest", [1, 5, 100, 600])
+def test_region_over_several_batches_stays_open(rest, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 128)
+    regions = [3] * 4 + [5] * (600 + rest) + [7] * 700 + [9] * 20
+    rng = np.random.default_rng(2)
+    sketch = [x.tobytes() for x in rng.integers(0, 256, (len(regions), near_dedup.TREES * near_dedup.SLOTS), np.uint8)]
+    nodes = np.arange(len(regions))
+    every = pa.RecordBatch.from_arrays([pa.array(regions, pa.int64()), pa.array([b""] * len(regions)), pa.array(nodes), pa.array(np.full(len(regions), 9)), pa.array(sketch)], ["region", "slots", "node", "n", "sketch"])
+    cuts = [0, 604, 604 + rest, 604 + rest + 650, len(regions)]
+    open_rows = {(b.column(3)[k].as_py(), b.column(1)[k].as_py()) for b in near_dedup._neighbours(iter([every.slice(x, y - x) for x, y in zip(cuts, cuts[1:])])) for k in range(b.num_rows) if b.column(0)[k].as_py() == 1}
+    for region in (5, 7):
+        assert {n for r, n in open_rows if r == region} == {k for k, r in enumerate(regions) if r == region}
+
+
 def test_one_document_of_each_group_stays(odd_docs, no_docs):
     out = near_dedup.keep_representatives(odd_docs)
     assert out.columns == odd_docs.columns
