@@ -8,7 +8,8 @@ its longest kept feature, less a drift, so words without evidence count slightly
 Searching. One left-to-right scan finds all maximal scoring segments of a text. Their significance follows the
 extreme-value law of segment scores: over n words of background, the best score exceeds s with probability
 1 - exp(-K n exp(-lambda s)); lambda solves the background's moment equation and K fits the labelled documents
-that aren't toxic. A document's evidence is the best sum of its r best segments so normalised; a logistic curve
+that aren't toxic. A document's evidence is the best sum of its r best segments so normalised, over every r, and
+held within -20 (also that of no segment) and 60, so that far values don't tilt the fit; a logistic curve
 fitted to the labelled rows turns evidence into the score, 0.5 and more being toxic.
 
 Bounds: at most ``label_rows`` labelled rows (a hash of doc_id chooses) and ``features`` features reach the driver and
@@ -129,14 +130,12 @@ class Model:
 
     def evidence(self, n: int, sums: list[float]) -> float:
         """The best of the normalised sums of the r best segments."""
-        best, total, base = -20.0, 0.0, math.log(self.scale * max(n, 1))
-        for r, s in enumerate(sorted(sums, reverse=True)[:50], 1):
-            total += self.rate * s - base
-            value = total + math.lgamma(r + 1)
-            if value <= best and r > 1:
-                break
-            best = max(best, value)
-        return max(-20.0, min(best, 60.0))
+        if not sums:
+            return -20.0
+        # the sum isn't unimodal in r: many moderate segments may fall before they rise
+        falling = -np.sort(-np.asarray(sums, float))
+        steps = self.rate * falling - math.log(self.scale * max(n, 1)) + np.log(np.arange(1, len(sums) + 1))
+        return max(-20.0, min(float(np.cumsum(steps).max()), 60.0))
 
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * evidence + self.offset))))

@@ -215,6 +215,25 @@ def test_maximal_segments():
         assert [(round(x, 9), a, b) for x, a, b in got] == brute(s)
 
 
+def test_evidence_is_the_best_sum_over_every_number_of_segments():
+    model = toxicity.Model(np.zeros(0, np.int64), np.zeros(0))
+    model.rate, model.scale = 1.0, 0.1
+
+    def brute(n, sums):
+        base, best = math.log(model.scale * n), -20.0
+        for r in range(1, len(sums) + 1):
+            best = max(best, sum(model.rate * s - base for s in sorted(sums)[-r:]) + math.log(math.factorial(r)))
+        return min(best, 60.0)
+
+    random.seed(29)
+    assert model.evidence(20_000, []) == -20
+    assert 31 < model.evidence(20_000, [5.0] * 60) < 33
+    for count in (1, 2, 7, 49, 60, 130):
+        for _ in range(20):
+            sums = [random.uniform(0, 6.5) for _ in range(count)]
+            assert model.evidence(20_000, sums) == pytest.approx(brute(20_000, sums))
+
+
 def test_toxicity_learns_and_names_passages(spark, no_docs):
     random.seed(19)
     calm, bad = [f"calm{k}" for k in range(60)], ["vileone", "vileword", "viletalk"]
