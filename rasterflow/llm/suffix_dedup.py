@@ -6,13 +6,15 @@ of all bytes would shuffle many times the input, so three passes narrow the text
 1. Anchors. A window's anchor is the least hash among its ``gram``-byte strings, so equal windows have equal
    anchors. Consecutive windows with one anchor form a run; about 6 % as many runs as bytes are dealt by anchor. Each task
    first combines what it holds: a run whose whole text a smaller document of the task has is settled there,
-   and an anchor with very many different runs in one task is sent once, so hot passages don't gather in one task.
+   and an anchor with very many different runs in one task (a hot one) is sent once, so hot passages don't gather in one task.
 2. By anchor, runs whose whole text a smaller document has are settled. What is left are anchors with several
-   different runs: the edges of shared passages. Their contexts, a few hundredths of the text, are dealt by anchor again.
+   different runs: the edges of shared passages. Their contexts, a few hundredths of the text, are dealt by anchor again;
+   those of a hot anchor, in one task or over all, window by window and by the window's hash, so that they spread over all tasks.
 3. Difference cover. Each task sorts the suffixes of its contexts: it sorts and names the sampled triples (positions 1 and 2
    modulo 3), recurses on the string of names until names are unique or span the window, merges the remaining
    suffixes with the sampled ones, and compares the adjacent ones' prefixes byte by byte: equal windows are
-   neighbours, and the least doc_id among them keeps its copy.
+   neighbours, and the least doc_id among them keeps its copy. A hot anchor's windows are grouped by their 64-bit hashes,
+   within equal anchors, after each task has settled those that a smaller document of its own has.
 
 The passes scan the documents in the same partitions; what a pass finds for a partition is a table in the shared
 folder, read by that partition's task in the next pass, which also checks that it sees the same documents. So texts are
@@ -37,12 +39,12 @@ from .common import RangeHash, blocks, byte_blocks, fresh_dir, mix64, ragged, ta
 from .partitions import NULL_ID, fixed_scan, side, write_side
 
 LENGTH, GRAM = 50, 20
-#: Runs that a task combines at a time, and different runs of one anchor beyond which it sends the anchor once.
+#: Runs that a task combines at a time, and different runs of one anchor, in a task or over all, beyond which the anchor is hot.
 HELD, HOT = 800_000, 128
 #: Bytes of text that a pass looks at at a time, and of contexts that are sorted together.
 BLOCK, SORTED, PARTS = 1 << 20, 1 << 20, 4096
 _SYMBOL = mix64(np.arange(1, 257, dtype=np.uint64))
-SETTLED, OPEN, SEEN = 0, 1, 2
+SETTLED, OPEN, SEEN, LOOSE = 0, 1, 2, 4
 SIDE = "pid int, kind int, blob binary"
 
 
@@ -211,12 +213,12 @@ def _anchor_rows(batches, n_buckets: int):
         settled = doc > least
         if settled.any():
             yield pid % n_buckets, pid, SETTLED, _spans(row[settled], start[settled], n[settled])
-        # an anchor with very many different runs here: each of them is open, one stands for all
+        # an anchor with very many different runs here: the windows of each are dealt one by one, one run stands for all
         which = np.cumsum(new_anchor) - 1
         many = np.bincount(which[new])[which] > HOT
         still = many & ~settled
         if still.any():
-            yield pid % n_buckets, pid, OPEN, pack(row=row[still].astype(np.int32), start=start[still].astype(np.int32), n=n[still].astype(np.int32), anchor=anchor[still])
+            yield pid % n_buckets, pid, LOOSE, pack(row=row[still].astype(np.int32), start=start[still].astype(np.int32), n=n[still].astype(np.int32), anchor=anchor[still])
         send = ~settled & (~many | new_anchor | np.concatenate([[False], new_anchor[:-1]]))
         row, start, n, anchor, whole, doc = (x[send] for x in (row, start, n, anchor, whole, doc))
         flag = many[send]
@@ -291,15 +293,18 @@ def _by_anchor(batches):
     heads = np.flatnonzero(new)
     settled = np.minimum.reduceat(doc, heads)[np.cumsum(new) - 1] < doc
     which = np.cumsum(new_anchor) - 1
-    several = (np.bincount(which[new]) > 1) | (np.maximum.reduceat(flag, np.flatnonzero(new_anchor)) > 0)
-    left = several[which] & ~settled
+    # every task's runs of a hot anchor are dealt alike: a task that has many has sent a flag
+    different = np.bincount(which[new])
+    hot = (different > HOT) | (np.maximum.reduceat(flag, np.flatnonzero(new_anchor)) > 0)
+    left, hot = ((different > 1) | hot)[which] & ~settled, hot[which]
     for p in np.unique(pid[settled | left]).tolist():
         s = settled & (pid == p)
         if s.any():
             yield p, SETTLED, _spans(row[s], start[s], n[s])
-        s = left & (pid == p)
-        if s.any():
-            yield p, OPEN, pack(row=row[s].astype(np.int32), start=start[s].astype(np.int32), n=n[s].astype(np.int32), anchor=anchor[s])
+        for kind, own in ((OPEN, left & ~hot), (LOOSE, left & hot)):
+            s = own & (pid == p)
+            if s.any():
+                yield p, kind, pack(row=row[s].astype(np.int32), start=start[s].astype(np.int32), n=n[s].astype(np.int32), anchor=anchor[s])
 
 
 def _check(marks: list[bytes], seen, total) -> None:
@@ -308,20 +313,31 @@ def _check(marks: list[bytes], seen, total) -> None:
 
 
 def _contexts(batches, folder: str, n_buckets: int):
-    """Texts of the open runs, dealt by anchor."""
+    """Texts of the open runs, dealt by anchor; windows of hot anchors' runs, dealt by their hashes."""
     from pyspark import TaskContext
 
     pid = TaskContext.get().partitionId()
-    found, marks = [], []
+    found: dict[int, list] = {OPEN: [], LOOSE: []}
+    marks = []
     for kind, blob in side([folder], pid):
-        if kind == OPEN:
-            found.append(unpack(blob, "<i4", "<i4", "<i4", "!<u8"))
+        if kind in found:
+            found[kind].append(unpack(blob, "<i4", "<i4", "<i4", "!<u8"))
         elif kind == 3:
             marks.append(blob)
-    row, start, n, anchor = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
-    order = np.lexsort((start, row))
-    row, start, n, anchor = row[order].astype(np.int64), start[order].astype(np.int64), n[order].astype(np.int64), anchor[order]
+
+    def once(found):
+        row, start, n, anchor = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
+        order = np.lexsort((start, row))
+        row, start, n, anchor = row[order].astype(np.int64), start[order].astype(np.int64), n[order].astype(np.int64), anchor[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1])
+        return row[new], start[new], n[new], anchor[new]
+
+    row, start, n, anchor = once(found[OPEN])
+    loose_row, loose_start, loose_n, loose_anchor = once(found[LOOSE])
     held, size = [], 0
+    loose: list = []
+    count = 0
     seen, total = np.uint64(0), 0
 
     def flush():
@@ -337,9 +353,38 @@ def _contexts(batches, folder: str, n_buckets: int):
                 yield b, pid, OPEN, pack(part=part[o], row=row[o].astype(np.int32), start=start[o].astype(np.int32), doc=doc[o], n=length[o].astype(np.int32), text=text[ragged(at[o], length[o])])
         held.clear()
 
+    def flush_loose():
+        row, start, anchor, window, doc = (np.concatenate(x) for x in zip(*loose, strict=True))
+        settled = _repeated(anchor, window, doc)
+        if settled.any():
+            yield pid % n_buckets, pid, SETTLED, _spans(row[settled], start[settled], np.ones(int(settled.sum()), np.int64))
+        row, start, anchor, window, doc = (x[~settled] for x in (row, start, anchor, window, doc))
+        bucket = (window % np.uint64(n_buckets)).astype(np.int64)
+        order = np.lexsort((start, row, bucket))
+        cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        for b in range(n_buckets):
+            o = order[cuts[b] : cuts[b + 1]]
+            if len(o):
+                rows, first = np.unique(row[o], return_index=True)
+                yield b, pid, LOOSE, pack(run=window[o], of=anchor[o], row=row[o], start=start[o], rows=rows, docs=np.diff(doc[o][first], prepend=0))
+        loose.clear()
+
     for first, ids, data, at in _batches(batches):
         seen ^= np.bitwise_xor.reduce(mix64(ids.astype(np.uint64))) if len(ids) else np.uint64(0)
         total += len(ids)
+        a, b = np.searchsorted(loose_row, [first, first + len(ids)])
+        if a < b:
+            rolled = RangeHash(_SYMBOL[data])
+            # a few runs at a time, as each byte of them begins a window
+            for c, d in blocks(loose_n[a:b], HELD):
+                own = loose_row[a + c : a + d] - first
+                of = np.repeat(np.arange(d - c), loose_n[a + c : a + d])
+                place = ragged(at[own] + loose_start[a + c : a + d], loose_n[a + c : a + d])
+                loose.append(((own[of] + first).astype(np.int32), (place - at[own][of]).astype(np.int32), loose_anchor[a + c : a + d][of], mix64(rolled.of(place, place + LENGTH)), ids[own][of]))
+                count += len(place)
+                if count >= HELD:
+                    yield from flush_loose()
+                    count = 0
         a, b = np.searchsorted(row, [first, first + len(ids)])
         if a < b:
             own = row[a:b] - first
@@ -351,16 +396,52 @@ def _contexts(batches, folder: str, n_buckets: int):
                 size = 0
     if held:
         yield from flush()
+    if loose:
+        yield from flush_loose()
     _check(marks, seen, total)
 
 
+def _repeated(anchor, window, doc) -> np.ndarray:
+    """Which windows (by anchor and hash) a smaller doc also has."""
+    order = np.lexsort((window, anchor))
+    a, w, d = anchor[order], window[order], doc[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1])
+    out = np.zeros(len(a), bool)
+    if len(a):
+        out[order] = np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1] < d
+    return out
+
+
+def _loose_windows(parts):
+    """Settles the windows of hot anchors that a smaller document has."""
+    row, start, anchor, window, doc, pid = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
+    settled = _repeated(anchor, window, doc)
+    row, start, pid = row[settled], start[settled], pid[settled]
+    order = np.argsort(pid, kind="stable")
+    row, start, pid = row[order], start[order], pid[order]
+    own, heads = np.unique(pid, return_index=True)
+    for p, a, b in zip(own.tolist(), heads.tolist(), [*heads[1:].tolist(), len(pid)], strict=False):
+        yield p, SETTLED, _spans(row[a:b], start[a:b], np.ones(b - a, np.int64))
+
+
 def _by_suffix(batches):
     """Pass 3: sorts the contexts' suffixes and settles the windows that a smaller document has."""
-    parts = []
+    parts, loose = [], []
     for batch in batches:
-        for _, pid, _, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for _, pid, kind, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if kind == SETTLED:
+                yield pid, kind, blob
+                continue
+            if kind == LOOSE:
+                window, anchor, row, start, rows, docs = unpack(blob, "!<u8", "<u8", "<i4", "<i4", "<i4", "<i8")
+                loose.append((row, start, anchor, window, np.cumsum(docs)[np.searchsorted(rows, row)], np.full(len(row), pid, np.int32)))
+                continue
             part, row, start, doc, n, text = unpack(blob, "<u2", "<i4", "<i4", "<i8", "<i4", "u1")
             parts.append((part, row, start, doc, n, np.full(len(row), pid, np.int32), text))
+    if loose:
+        yield from _loose_windows(loose)
     if not parts:
         return
     part, row, start, doc, n, pid, text = (np.concatenate(x) for x in zip(*parts, strict=True))

@@ -108,6 +108,27 @@ def test_repeats_against_brute_force(spark, odd_docs, odd_rows, monkeypatch):
     assert digest(suffix_dedup.removed_spans(docs)) == want
 
 
+@pytest.mark.parametrize("tasks", [2, 8])  # the passage's edges are hot in each task, or only over all
+def test_hot_passage_is_spread_over_buckets(spark, tasks):
+    random.seed(23)
+    letters = lambda n, of="abcdefghijklmnop ": "".join(random.choice(of) for _ in range(n))
+    passage = letters(300)
+    # ends of few letters, so that some windows over the passage's edges repeat and most don't
+    rows = [(k, letters(60) + letters(3, "xy") + passage + letters(3, "xy") + letters(60)) for k in range(500)]
+    docs = make(spark, [(*r, None) for r in rows]).repartition(tasks)
+    n = 16
+    stable = suffix_dedup.fixed_scan(docs)
+    folder = suffix_dedup.fresh_dir(spark, "hot")
+    kinds = "bucket int, pid int, kind int, blob binary"
+    sent = stable.mapInArrow(lambda it: suffix_dedup._rows(suffix_dedup._anchor_rows(it, n), suffix_dedup._NAMES, suffix_dedup._KINDS), kinds)
+    side_kinds = [pa.int32(), pa.int32(), pa.binary()]
+    suffix_dedup.write_side(sent.repartitionById(n, "bucket").mapInArrow(lambda it: suffix_dedup._rows(suffix_dedup._by_anchor(it), ["pid", "kind", "blob"], side_kinds), suffix_dedup.SIDE), folder)
+    dealt = stable.mapInArrow(lambda it: suffix_dedup._rows(suffix_dedup._contexts(it, folder, n), suffix_dedup._NAMES, suffix_dedup._KINDS), kinds)
+    sizes = [r[0] for r in dealt.selectExpr("bucket", "length(blob) as size").groupBy("bucket").sum("size").select("sum(size)").collect()]
+    assert len(sizes) == n and max(sizes) <= 2 * sum(sizes) / n
+    assert digest(suffix_dedup.removed_spans(docs)) == sorted(removed(rows), key=str)
+
+
 def test_drop_repeats_keeps_rows_and_columns(spark, odd_docs, odd_rows, no_docs):
     out = suffix_dedup.drop_repeats(odd_docs)
     assert out.dtypes == odd_docs.dtypes
