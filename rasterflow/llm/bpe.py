@@ -7,7 +7,8 @@ once per Python worker. Decoding joins the vocabulary's byte strings and reads t
 
 Null text is empty (no ids, the hash of nothing); null and repeated doc_ids keep a row each; an empty
 table gives no row; further columns are ignored by ``encode_decode``. Very long texts are cut at
-white space for splitting, which leaves the pre-tokens as they are.
+white space for splitting, which leaves the pre-tokens as they are. Pre-tokens are found by 64-bit hashes and
+told apart by their strings.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .common import ragged, table
+from .common import ragged, table, tidy
 
 _CODECS: dict = {}
 
@@ -44,6 +46,8 @@ class Codec:
         spec = json.load(open(path, encoding="utf-8"))
         vocab, chars = spec["model"]["vocab"], byte_chars()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # the leftmost special string first, the longest of those that start there
+        self.specials = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.byte_id = [0] * 256
         for c, b in chars.items():
             self.byte_id[b] = vocab[c]
@@ -115,11 +119,10 @@ class Codec:
         return ids, np.bincount(owner, per_part, len(texts)).astype(np.int64)
 
     def _cut_specials(self, text: str) -> list[tuple[str, int]]:
-        for token, i in self.special.items():
-            if token in text:
-                pieces = text.split(token)
-                return [(p, i) for p in pieces[:-1]] + [(pieces[-1], -1)]
-        return [(text, -1)]
+        if self.specials is None or not any(token in text for token in self.special):
+            return [(text, -1)]
+        pieces = self.specials.split(text)  # texts and special strings by turns
+        return [(p, self.special[s]) for p, s in zip(pieces[:-1:2], pieces[1::2], strict=True)] + [(pieces[-1], -1)]
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the tokens' strings, one after the other."""
@@ -148,7 +151,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, pa.array([own.decode_text(ids[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -172,7 +175,7 @@ def encode_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     back.append(hashlib.sha256(text.encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(hashes, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_mod, mix64, table
+from .common import blocks, crc_mod, mix64, table, tidy
 
 BUCKETS = 1 << 14
 _TABLES: dict[str, np.ndarray] = {}
@@ -92,7 +92,7 @@ def train_counts(labelled: DataFrame) -> DataFrame:
             slots = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slots)), pa.array(slots), pa.array(own[slots].astype(np.int64))], ["lang", "bucket", "n"])
 
-    return labelled.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return labelled.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(tidy(run), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def codewords(k: int) -> np.ndarray:
@@ -168,7 +168,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 lang, score, unsure = zip(*sent.value.predict(texts[a:b]), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lang), pa.array(score, pa.float64()), pa.array(unsure)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

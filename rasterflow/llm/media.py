@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 #: Samples in a row of a stored frame, rows in a frame at most, and hundredths of a second a frame is shown.
 WIDTH, ROWS, DELAY = 64, 2048, 10
@@ -260,7 +260,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 part = [_payload(t) for t in texts.slice(a, 256).to_pylist()]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, 256), pa.array([p[0] for p in part], pa.int64()), pa.array([encode_gif(p[1]) for p in part], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, n_bytes long, media binary")
 
 
 def frames(media: DataFrame, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
@@ -283,7 +283,7 @@ def frames(media: DataFrame, id_column: str = "doc_id", media_column: str = "med
                 if rows:
                     yield _frame_rows(rows)
 
-    return media.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{media_column}`").alias("media")).mapInArrow(run, "id long, frame int, delay_ms int, width int, height int, pixels binary, histogram array<long>, error string")
+    return media.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{media_column}`").alias("media")).mapInArrow(tidy(run), "id long, frame int, delay_ms int, width int, height int, pixels binary, histogram array<long>, error string")
 
 
 def _frame_rows(rows):
@@ -310,7 +310,7 @@ def payload_digests(media: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:

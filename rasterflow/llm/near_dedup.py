@@ -8,28 +8,32 @@ must pass a check of the whole signatures with wide margin, then the exact test
 
 Where a region has more promising pairs than a few per node, a spanning part of them is tested first.
 Such regions, and those cut into blocks, stay open: once components are known, all promising pairs between
-different components of an open region are tested as well, in cells of bounded size, so nothing is given up.
-
-Components come from large-star/small-star contractions. Null or word-less texts have no shingle and link with
-nothing; rows with null doc_id link with nothing and are kept (component null); rows with the same doc_id are one
-document (linked if any of them is); an empty table gives no row; further columns are ignored by
-``near_duplicates`` and returned unchanged by ``keep_representatives``.
+different components of an open region are tested as well, in cells of bounded size, so nothing is given up. Nodes of
+the region's largest component stand in one row of cells each; only the others are copied.
+
+Components come from star contractions; tasks contract the links that they confirm before any exchange. Null or word-less texts have
+no shingle and link with nothing; rows with null doc_id link with nothing and are kept (component null); rows with the
+same doc_id are one document (linked if any of them is); an empty table gives no row; very long texts are hashed whole;
+further columns are ignored by ``near_duplicates`` and returned unchanged by ``keep_representatives``. Shingles are
+compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import RangeHash, byte_blocks, checkpoint, fresh_dir, mix64, ragged, table
-from .partitions import NULL_ID, fixed_scan, side, write_side
+from .common import byte_blocks, checkpoint, fresh_dir, mix64, ragged, range_sums, small_batches, table, tidy
+from .partitions import fixed_scan, side, write_side
 
 WORDS, PERCENT = 5, 75
 TREES, SLOTS, DEPTH = 12, 8, 2
 #: Nodes of a block or cell, and of a region whose pairs are all tested at once.
 BLOCK, SMALL = 1024, 8
+#: Edges that a task contracts at a time.
+STARS = 500_000
 #: Equal signature slots (of TREES * SLOTS, compared in 8 bits) that a pair needs: 4.5 deviations below similarity 0.75.
 LEAST_EQUAL = 53
 #: Slots of the finer sketch that decides which pairs of open regions are tested, and equal ones needed: 4.5 deviations as well.
@@ -55,13 +59,16 @@ def shingles(data: np.ndarray, at: np.ndarray, words: int = WORDS) -> tuple[np.n
     before = np.searchsorted(starts, at)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    tokens = mix64(RangeHash(_SYMBOL[data]).of(starts, ends) + (ends - starts).astype(np.uint64))
-    rolled = RangeHash(tokens)
+    tokens = range_sums(_SYMBOL[data], starts, ends)
     n = np.diff(before)
     count = np.where(n >= words, n - words + 1, np.minimum(n, 1))
     first = ragged(before[:-1], count)
     text = np.repeat(np.arange(len(n)), count)
-    hashes = mix64(rolled.of(first, np.minimum(first + words, before[1:][text])))
+    last = np.minimum(first + words, before[1:][text])
+    hashes = np.zeros(len(first), np.uint64)
+    for k in range(words):  # as a chain, so that order counts; places beyond a short text add nothing
+        there = first + k < last
+        hashes = np.where(there, mix64(hashes * np.uint64(0x9E3779B97F4A7C15) + tokens[np.minimum(first + k, len(tokens) - 1)]), hashes)
     order = np.lexsort((hashes, text))
     hashes, text = hashes[order], text[order]
     once = np.ones(len(hashes), bool)
@@ -103,7 +110,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.arange(0, (b - a + 1) * wide, wide, dtype=np.int32)), pa.py_buffer(sig.astype(">u4").tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(cuts)), pa.array(one), pa.array(two), packed, pa.array(np.full(b - a, pid, np.int32))], ["doc_id", "n_shingles", "key", "more", "sig", "pid"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key long, more long, sig binary, pid int")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, key long, more long, sig binary, pid int")
 
 
 def _matrix(column: pa.Array, width: int, kind: str) -> np.ndarray:
@@ -123,7 +130,7 @@ def forest_rows(nodes: DataFrame) -> DataFrame:
                 own = np.ascontiguousarray(sig[:, t * SLOTS : (t + 1) * SLOTS])
                 yield pa.RecordBatch.from_arrays([pa.array(_region(t, own)), pa.array([x.tobytes() for x in own[:, DEPTH:]]), batch.column(0), batch.column(1), sketch], ["region", "slots", "node", "n", "sketch"])
 
-    return nodes.select("node", "n", "sig").mapInArrow(run, "region long, slots binary, node long, n long, sketch binary")
+    return nodes.select("node", "n", "sig").mapInArrow(tidy(run), "region long, slots binary, node long, n long, sketch binary")
 
 
 def _promising(a, b, n, sketch):
@@ -248,9 +255,10 @@ def _regions(region, node, n, sketch, edges):
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; texts: node, text."""
+    """The pairs whose full shingle sets are similar enough, contracted to stars (u, v) by task; texts: node, text."""
 
     def run(batches):
+        held = []
         for batch in batches:
             a, b = batch.column(0), batch.column(1)
             keep = np.zeros(batch.num_rows, bool)
@@ -276,29 +284,51 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 every, row = every[order], row[order]
                 both = np.bincount(row[1:][(every[1:] == every[:-1]) & (row[1:] == row[:-1])], minlength=rows)
                 keep[k : k + step] = (100 * both >= PERCENT * (n + m - both)) & (both > 0)
-            yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], ["a", "b"])
+            held.append((a.to_numpy()[keep], b.to_numpy()[keep]))
+            if sum(len(x) for x, _ in held) > STARS:
+                held = [_contract(*map(np.concatenate, zip(*held, strict=True)))]
+                if len(held[0][0]) > STARS // 2:
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, held.pop())), ["u", "v"])
+        if held:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, _contract(*map(np.concatenate, zip(*held, strict=True))))), ["u", "v"])
 
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
     both = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "left", "right").mapInArrow(tidy(run), "u long, v long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least member) for the nodes of edges (a, b), by large-star and small-star steps."""
-    now = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
+def _contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars (node, least node it hangs together with) for edges (a, b); least nodes have none."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    parent = np.arange(len(nodes))
+    while True:
+        p, q = parent[x], parent[y]
+        apart = p != q
+        if not apart.any():
+            own = np.flatnonzero(parent != np.arange(len(nodes)))
+            return nodes[own], nodes[parent[own]]
+        x, y = x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+
+
+def components(stars: DataFrame) -> DataFrame:
+    """node, component (its least member) for the nodes of edges (u, v), u > v.
+
+    Rounds of two steps: a node's lower neighbours, and itself, hang on the least of them; then every node hangs on what its
+    lower neighbour hangs on. A component's centre is only ever looked up, so its rows are those of a join that adaptive execution can split."""
+    now = stars
     while True:
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if mark == state or not mark[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = mark
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        now = checkpoint(small.distinct())
+        low = now.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        one = low.select("u", F.col("m").alias("v")).unionByName(low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+        one = checkpoint(one)
+        least = checkpoint(one.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("high")))
+        moved = checkpoint(one.join(least.select(F.col("u").alias("v"), F.col("v").alias("to")), "v", "left"))
+        if moved.where("to is not null").isEmpty() and least.where("v < high").isEmpty():
+            return least.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        now = moved.select("u", F.coalesce("to", "v").alias("v"))
 
 
 def _fine_sketches(texts: DataFrame) -> DataFrame:
@@ -312,7 +342,7 @@ def _fine_sketches(texts: DataFrame) -> DataFrame:
                 regions = np.stack([_region(t, sig[:, t * SLOTS :]) for t in range(TREES)], 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in low], pa.binary()), pa.array([x.tobytes() for x in regions], pa.binary())], ["node", "fine", "regions"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, fine binary, regions binary").dropDuplicates(["node"])
+    return texts.select("node", "text").mapInArrow(tidy(run), "node long, fine binary, regions binary").dropDuplicates(["node"])
 
 
 def _region(tree: int, slots: np.ndarray) -> np.ndarray:
@@ -324,17 +354,21 @@ def _region(tree: int, slots: np.ndarray) -> np.ndarray:
 
 
 def _cross_pairs(rows: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
-    """All promising pairs of open regions' rows whose components differ, found in cells of bounded size."""
+    """All promising pairs of open regions' rows whose components differ, found in cells of bounded size.
+
+    One end of such a pair lies outside the region's largest component. So nodes are dealt to parts and, again,
+    those outside to groups; the cell of a part and a group holds some BLOCK nodes of either."""
     own = rows.select("region", F.col("a").alias("node"), "n", "sketch").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = own.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
-    parts = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    left = checkpoint(own.join(mixed.select("region", parts.alias("parts")), "region"))
-    cells = (
-        left.join(_fine_sketches(texts.join(left.select("node").distinct(), "node", "left_semi")), "node")
-        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("region", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "node", "component", "n", "sketch", "part", "fine", "regions")
-    )
+    sizes = own.groupBy("region", "component").agg(F.count("*").alias("k"))
+    mixed = checkpoint(sizes.groupBy("region").agg(F.sum("k").alias("size"), F.max(F.struct("k", "component")).alias("top")).where("size > top.k"))
+    cells = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    left = checkpoint(own.join(mixed.select("region", cells(F.col("size")).alias("parts"), cells(F.col("size") - F.col("top.k")).alias("groups"), F.col("top.component").alias("top")), "region"))
+    dealt = left.join(_fine_sketches(texts.join(left.select("node").distinct(), "node", "left_semi")), "node")
+    place = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    outside = F.col("component") != F.col("top")
+    kept = ["node", "component", "n", "sketch", "fine", "regions"]
+    every = dealt.select("region", place("parts", 1).alias("x"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("y"), F.lit(0).alias("side"), outside.alias("outside"), *kept)
+    others = dealt.where(outside).select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("x"), place("groups", 2).alias("y"), F.lit(1).alias("side"), F.lit(True).alias("outside"), *kept)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
@@ -342,7 +376,7 @@ def _cross_pairs(rows: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [*[batch.column(k).to_numpy() for k in range(7)], _matrix(batch.column(7), TREES * SLOTS, np.uint8), _matrix(batch.column(8), FINE, np.uint8), _matrix(batch.column(9), TREES, np.int64)]
+            rows = [*[batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)], _matrix(batch.column(8), TREES * SLOTS, np.uint8), _matrix(batch.column(9), FINE, np.uint8), _matrix(batch.column(10), TREES, np.int64)]
             if carry is not None:
                 rows = [np.concatenate(x) for x in zip(carry, rows, strict=True)]
             change = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])
@@ -353,36 +387,39 @@ def _cross_pairs(rows: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFra
         if carry is not None:
             yield from cell(*carry)
 
-    def cell(region, x, y, node, component, count, part, sketch, fine, regions):
+    def cell(region, _x, _y, side, outside, node, component, count, sketch, fine, regions):
         # a repeated doc_id may stand here by another of its texts: it shares no earlier region then
         own = regions == region[0]
         known = own.any(1)
         tree = int(own[known].argmax(1)[0]) if known.any() else 0
         earlier = np.where(known[:, None], regions, np.arange(len(regions))[:, None])[:, :tree]
-        for k in range(0, len(node), BLOCK):
-            r = slice(k, k + BLOCK)
-            for j in range(k, len(node), BLOCK):
-                c = slice(j, j + BLOCK)
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        for k in range(0, len(one), BLOCK):
+            r = one[k : k + BLOCK]
+            for j in range(0, len(two), BLOCK):
+                c = two[j : j + BLOCK]
                 good = _equal(sketch[r], sketch[c]) >= LEAST_EQUAL
                 good &= (component[r][:, None] != component[c][None]) & (PERCENT * np.maximum.outer(count[r], count[c]) <= 100 * np.minimum.outer(count[r], count[c]))
-                if x[0] != y[0]:
-                    good &= part[r][:, None] != part[c][None]  # pairs within a part have a cell of their own
-                a, b = np.nonzero(np.triu(good) if k == j else good)
+                good &= ~outside[r][:, None] | (node[r][:, None] < node[c][None])  # two outside meet in two cells
+                a, b = np.nonzero(good)
                 near = np.zeros(len(a), bool)
                 for q in range(0, len(a), 20_000):
-                    p, o = a[q : q + 20_000], b[q : q + 20_000]
+                    p, o = r[a[q : q + 20_000]], c[b[q : q + 20_000]]
                     # a pair that shares a region in an earlier tree is looked at there
-                    near[q : q + 20_000] = ((fine[r][p] == fine[c][o]).sum(1) >= LEAST_FINE) & ~(earlier[r][p] == earlier[c][o]).any(1)
-                a, b = a[near], b[near]
+                    near[q : q + 20_000] = ((fine[p] == fine[o]).sum(1) >= LEAST_FINE) & ~(earlier[p] == earlier[o]).any(1)
+                a, b = node[r[a[near]]], node[c[b[near]]]
                 if len(a):
-                    low, high = np.minimum(node[r][a], node[c][b]), np.maximum(node[r][a], node[c][b])
-                    yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return cells.repartition(n, "region", "x", "y").sortWithinPartitions("region", "x", "y").select("region", "x", "y", "node", "component", "n", "part", "sketch", "fine", "regions").mapInArrow(run, "a long, b long").distinct()
+    # a cell's rows at a hash of its own, not its region's: large regions spread
+    return every.unionByName(others).repartition(n, "region", "x", "y").sortWithinPartitions("region", "x", "y").select("region", "x", "y", "side", "outside", *kept).mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, folder: str) -> DataFrame:
-    """node, text of the wanted nodes (node, pid): each partition of the scan looks for its own, so other texts don't move."""
+    """node, text of the wanted nodes (node, pid): each partition of the scan looks for its own, so other texts don't move.
+
+    What isn't found where the earlier scan saw it, because files were dealt differently since, is fetched by a join."""
+    spark = docs.sparkSession
     write_side(wanted, f"{folder}/wanted")
 
     def run(batches):
@@ -390,13 +427,17 @@ def _texts(docs: DataFrame, wanted: DataFrame, folder: str) -> DataFrame:
 
         nodes = np.array([x[0] for x in side([f"{folder}/wanted"], TaskContext.get().partitionId(), ("node",), 65536)], np.int64)
         for batch in batches:
-            keep = np.isin(batch.column(0).to_numpy(), nodes)
+            keep = np.isin(batch.column(0).fill_null(0).to_numpy(), nodes) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             if keep.any():
                 some = batch.filter(pa.array(keep))
                 yield pa.RecordBatch.from_arrays(some.columns, ["node", "text"])
 
-    docs.mapInArrow(run, "node long, text string").write.parquet(f"{folder}/texts")
-    return docs.sparkSession.read.parquet(f"{folder}/texts")
+    docs.mapInArrow(tidy(run), "node long, text string").write.parquet(f"{folder}/texts")
+    texts = spark.read.parquet(f"{folder}/texts")
+    missing = checkpoint(spark.read.schema("node long, pid int").parquet(f"{folder}/wanted").select("node").distinct().join(texts.select("node").distinct(), "node", "left_anti"))
+    if missing.isEmpty():
+        return texts
+    return texts.unionByName(docs.select(F.col("doc_id").alias("node"), "text").join(missing, "node"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -405,21 +446,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     folder = fresh_dir(spark, "near")
     fixed = fixed_scan(docs)
     sketches(fixed).write.parquet(f"{folder}/sketches")
-    every = spark.read.parquet(f"{folder}/sketches").withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
+    every = spark.read.parquet(f"{folder}/sketches")
     own_key = ["key", "more", "n_shingles"]
     first = F.min(F.struct("doc_id", "pid"))
     every.where("n_shingles > 0 and doc_id is not null").groupBy(*own_key).agg(first.alias("first"), F.first("sig").alias("sig")).select("key", "more", F.col("n_shingles").alias("n"), F.col("first.doc_id").alias("node"), F.col("first.pid").alias("pid"), "sig").write.parquet(f"{folder}/nodes")
     nodes = spark.read.parquet(f"{folder}/nodes")
-    forest_rows(nodes).repartitionByRange("region", "slots", "node").sortWithinPartitions("region", "slots", "node").mapInArrow(_neighbours, _PAIRS).write.parquet(f"{folder}/found")
+    forest_rows(nodes).repartitionByRange("region", "slots", "node").sortWithinPartitions("region", "slots", "node").mapInArrow(tidy(_neighbours), _PAIRS).write.parquet(f"{folder}/found")
     found = spark.read.parquet(f"{folder}/found")
     ids = found.select(F.explode(F.array("a", "b")).alias("node")).dropna().distinct()
     texts = _texts(fixed, nodes.select("node", "pid").join(ids, "node", "left_semi"), folder)
 
-    first = checkpoint(_links(found.where("kind = 0").select("a", "b").distinct(), texts))
-    comps = components(first)
-    more = checkpoint(_cross_pairs(found.where("kind = 1").distinct(), comps, texts))
-    if not more.isEmpty():
-        comps = components(first.unionByName(_links(more, texts)))
+    with small_batches(spark):  # rows of two texts
+        comps = components(checkpoint(_links(found.where("kind = 0").select("a", "b").distinct(), texts)))
+        more = checkpoint(_cross_pairs(found.where("kind = 1").distinct(), comps, texts))
+        if not more.isEmpty():
+            links = checkpoint(_links(more, texts))
+            if not links.isEmpty():
+                comps = components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
     # equal sets first: their node, then the node's component
     final = nodes.select("key", "more", F.col("n").alias("n_shingles"), "node").join(comps, "node", "left").select(*own_key, F.coalesce("component", "node").alias("component"))
     return (

@@ -11,17 +11,25 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, filesystem
 
-#: Stands for a null doc_id: larger than all others.
-NULL_ID = (1 << 63) - 1
+#: Logical operators through which a scan's rows stay in the scan's partitions and order.
+_NARROW = {"Project", "Filter", "LogicalRelation", "DataSourceV2ScanRelation"}
 
 
 def fixed_scan(docs: DataFrame, *more) -> DataFrame:
-    """doc_id and text (and more) in partitions that stay as they are from scan to scan."""
-    chosen = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    if any(x in plan for x in ("Join", "Aggregate", "Repartition", "Sort", "Window", "Distinct", "MapIn", "Limit", "Sample", "Generate", "UDF", "Union", "Logical")):
-        return checkpoint(chosen)
-    return chosen
+    """doc_id and text (and more) in partitions that stay as they are from scan to scan.
+
+    How files are dealt to partitions depends on the number of cores at hand, which changes as executors come and go: the
+    present number is held for the session, unless one is set. Anything but a plain file scan is checkpointed first."""
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", max(1, spark.sparkContext.defaultParallelism))
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+
+    def plain(node) -> bool:
+        children = node.children()
+        return node.nodeName() in _NARROW and node.deterministic() and all(plain(children.apply(k)) for k in range(children.size()))
+
+    return chosen if plain(docs._jdf.queryExecution().optimizedPlan()) else checkpoint(chosen)
 
 
 def write_side(rows: DataFrame, folder: str) -> None:

@@ -12,7 +12,7 @@ import unicodedata
 
 import numpy as np
 
-from .common import RangeHash, blocks, mix64
+from .common import blocks, mix64, ragged, range_sums
 
 SPACE, LETTER, NUMBER, OTHER, COMPLEX, UNKNOWN = 0, 1, 2, 3, 4, 255
 BLOCK_CHARS = 1 << 20
@@ -66,15 +66,13 @@ class Splitter:
             hard[np.unique(np.searchsorted(at, np.flatnonzero(kind == COMPLEX), "right") - 1)] = True
         low = self.low[codes] if self.words else codes
         starts, ends = self._bounds(kind, low, at)
-        rolled = RangeHash(self.symbol[low])
         out = Split()
         out.low, out.starts, out.ends, out.complex = low, starts, ends, hard
         out.text_of = np.searchsorted(at, starts, "right") - 1
         if hard.any():
             keep = ~hard[out.text_of]
             out.starts, out.ends, out.text_of = starts[keep], ends[keep], out.text_of[keep]
-        # 64-bit range hashes, told apart further by length
-        out.hashes = mix64(rolled.of(out.starts, out.ends) + (out.ends - out.starts).astype(np.uint64))
+        out.hashes = range_sums(self.symbol[low], out.starts, out.ends)
         return out
 
     def _bounds(self, kind: np.ndarray, low: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +121,32 @@ class Split:
 
     def pieces(self, which: np.ndarray) -> list[str]:
         """The pre-tokens' strings."""
-        return [self.low[s:e].tobytes().decode("utf-32-le") for s, e in zip(self.starts[which].tolist(), self.ends[which].tolist(), strict=True)]
+        text = self.low.tobytes().decode("utf-32-le")
+        return [text[s:e] for s, e in zip(self.starts[which].tolist(), self.ends[which].tolist(), strict=True)]
+
+    def classes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(a pre-token of each different string, the class of each pre-token). Hashes group, the strings decide."""
+        _, first, back = np.unique(self.hashes, return_index=True, return_inverse=True)
+        n = self.ends - self.starts
+        other = np.flatnonzero(first[back] != np.arange(len(back)))
+        like = first[back[other]]
+        differs = n[other] != n[like]
+        some = np.flatnonzero(~differs)
+        if len(some):
+            differs[some] = ~_equal_strings(self.low, self.starts[other[some]], self.low, self.starts[like[some]], n[like[some]])
+        if differs.any():  # strings whose hashes meet get classes of their own
+            odd = other[differs]
+            own: dict[str, int] = {}
+            numbers = [own.setdefault(x, len(own)) for x in self.pieces(odd)]
+            back[odd] = len(first) + np.array(numbers)
+            first = np.append(first, odd[np.unique(numbers, return_index=True)[1]])
+        return first, back
+
+
+def _equal_strings(left: np.ndarray, left_at: np.ndarray, right: np.ndarray, right_at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the code points at both places agree, n of them each."""
+    same = left[ragged(left_at, n)] == right[ragged(right_at, n)]
+    return np.logical_and.reduceat(same, np.cumsum(n) - n)
 
 
 def cut(text: str, limit: int = BLOCK_CHARS) -> list[str]:
@@ -140,39 +163,62 @@ def cut(text: str, limit: int = BLOCK_CHARS) -> list[str]:
 
 
 class Lexicon:
-    """Ids of the pre-tokens seen so far in this Python worker, by hash; forgotten as a whole beyond limit entries."""
+    """Ids of the pre-tokens seen so far in this Python worker; forgotten as a whole beyond limit entries. Hashes find, strings decide."""
 
-    def __init__(self, encode, limit: int = 1_500_000):
+    def __init__(self, encode, limit: int = 400_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.string_at, self.string_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.strings, self.strings_used = np.zeros(1 << 16, np.uint32), 0
+
+    @staticmethod
+    def _put(pool: np.ndarray, used: int, flat: np.ndarray) -> np.ndarray:
+        while used + len(flat) > len(pool):
+            pool = np.concatenate([pool, np.zeros_like(pool)])
+        pool[used : used + len(flat)] = flat
+        return pool
 
     def look_up(self, split: Split) -> tuple[np.ndarray, np.ndarray]:
         """(position in the pool, number of ids) of each pre-token of split."""
-        keys, where, back = np.unique(split.hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > self.limit:
+        first, back = split.classes()
+        if len(self.keys) + len(first) > self.limit:
             self.clear()
-        slot = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
+        hashes, length, begin = split.hashes[first], (split.ends - split.starts)[first], split.starts[first]
+        slot = np.searchsorted(self.keys, hashes)
+        met = np.zeros(len(first), bool)
         inside = slot < len(self.keys)
-        known[inside] = self.keys[slot[inside]] == keys[inside]
+        met[inside] = self.keys[slot[inside]] == hashes[inside]
+        known = met.copy()
+        known[met] = self.string_n[slot[met]] == length[met]
+        some = np.flatnonzero(known)
+        if len(some):
+            known[some] = _equal_strings(split.low, begin[some], self.strings, self.string_at[slot[some]], length[some])
+        at, n = np.zeros(len(first), np.int64), np.zeros(len(first), np.int32)
+        at[known], n[known] = self.at[slot[known]], self.n[slot[known]]
         if not known.all():
             new = np.flatnonzero(~known)
-            ids = self.encode(split.pieces(where[new]))
-            n = np.fromiter(map(len, ids), np.int32, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used : self.used + len(flat)] = flat
-            at = self.used + np.cumsum(n, dtype=np.int64) - n
+            ids = self.encode(split.pieces(first[new]))
+            n[new] = np.fromiter(map(len, ids), np.int32, len(ids))
+            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(n[new].sum()))
+            self.pool = self._put(self.pool, self.used, flat)
+            at[new] = self.used + np.cumsum(n[new], dtype=np.int64) - n[new]
             self.used += len(flat)
-            put = slot[new]
-            self.keys, self.at, self.n = np.insert(self.keys, put, keys[new]), np.insert(self.at, put, at), np.insert(self.n, put, n)
-            slot = np.searchsorted(self.keys, keys)
-        return self.at[slot][back], self.n[slot][back]
+            # a string whose hash another has is encoded each time
+            put = new[~met[new]]
+            put = put[np.unique(hashes[put], return_index=True)[1]]
+            flat = split.low[ragged(begin[put], length[put])]
+            self.strings = self._put(self.strings, self.strings_used, flat)
+            string_at = self.strings_used + np.cumsum(length[put]) - length[put]
+            self.strings_used += len(flat)
+            where = slot[put]
+            self.keys, self.at, self.n = np.insert(self.keys, where, hashes[put]), np.insert(self.at, where, at[put]), np.insert(self.n, where, n[put])
+            self.string_at, self.string_n = np.insert(self.string_at, where, string_at), np.insert(self.string_n, where, length[put])
+        return at[back], n[back]
 
 
 def library_encoder(tokenizer):

@@ -20,9 +20,12 @@ The passes scan the documents in the same partitions; what a pass finds for a pa
 folder, read by that partition's task in the next pass, which also checks that it sees the same documents. So texts are
 never shuffled. Input that isn't a plain file scan is checkpointed first.
 
-Null text is empty; documents under 50 bytes lose nothing; a null doc_id counts as larger than all others; rows with
-the same doc_id count as one document; an empty table gives no row; further columns are ignored by
-``removed_spans`` and returned unchanged by ``drop_repeats``.
+Runs and hot anchors' windows are compared, within equal anchors, by polynomial hashes modulo the prime 2 ** 61 - 1 whose
+base the driver draws for each job: two different texts of n bytes meet with a chance of n / 2 ** 61, whatever they are.
+
+Null text is empty; documents under 50 bytes lose nothing; a null doc_id counts as the largest number there is; rows with
+the same doc_id count as one document; an empty table gives no row; very long texts are looked at whole, as a
+block of their own; further columns are ignored by ``removed_spans`` and returned unchanged by ``drop_repeats``.
 """
 
 from __future__ import annotations
@@ -35,15 +38,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, blocks, byte_blocks, fresh_dir, mix64, ragged, table
-from .partitions import NULL_ID, fixed_scan, side, write_side
+from .common import RangeHash, blocks, byte_blocks, draw_base, fresh_dir, mix64, ragged, table, tidy
+from .partitions import fixed_scan, side, write_side
 
 LENGTH, GRAM = 50, 20
 #: Runs that a task combines at a time, and different runs of one anchor, in a task or over all, beyond which the anchor is hot.
 HELD, HOT = 800_000, 128
 #: Bytes of text that a pass looks at at a time, and of contexts that are sorted together.
 BLOCK, SORTED, PARTS = 1 << 20, 1 << 20, 4096
-_SYMBOL = mix64(np.arange(1, 257, dtype=np.uint64))
+#: Stands for a null doc_id, which counts as large as any.
+NULL_ID = (1 << 63) - 1
 SETTLED, OPEN, SEEN, LOOSE = 0, 1, 2, 4
 SIDE = "pid int, kind int, blob binary"
 
@@ -70,13 +74,24 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the gram bytes from each place on: eight bytes at a time, the last eight as they end."""
+    n = len(data) - gram + 1
+    room = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data),), "<u8", room.data, 0, (1,))
+    out = np.zeros(n, np.uint64)
+    for k in [*range(0, gram - 7, 8), gram - 8]:
+        out ^= eight[k : k + n]
+        out = mix64(out)
+    return out
+
+
+def runs(data: np.ndarray, at: np.ndarray, base: int, length: int = LENGTH, gram: int = GRAM):
     """(text, first window's byte within it, windows, anchor hash, hash of the run's text) for the runs of a block of texts."""
     n, wide = len(data), length - gram + 1
     if n < length:
         return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
-    rolled = RangeHash(_SYMBOL[data])
-    least = mix64(rolled.of(np.arange(n - gram + 1), np.arange(gram, n + 1)))
+    least = gram_hashes(data, gram)
     w = 1
     while 2 * w <= wide:
         least = np.minimum(least[:-w], least[w:])
@@ -92,7 +107,7 @@ def runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRA
     keep = inside[start]
     start, end = start[keep], end[keep]
     own = text[start].astype(np.int64)
-    whole = mix64(rolled.of(start, end + length - 1) + (end - start).astype(np.uint64))
+    whole = mix64(RangeHash(data, base).of(start, end + length - 1) + (end - start).astype(np.uint64))
     return own, start - at[own], end - start, least[start], whole
 
 
@@ -184,7 +199,7 @@ def _batches(batches):
     """(first row within the partition, doc_ids, block bytes, offsets)."""
     row = 0
     for batch in batches:
-        ids = batch.column(0).to_numpy()
+        ids = batch.column(0).fill_null(NULL_ID).to_numpy()
         for a, b, data, at in byte_blocks(batch.column(1), BLOCK):
             yield row + a, ids[a:b], data, at
         row += len(ids)
@@ -194,7 +209,7 @@ def _mark(ids_seen: int, total: int) -> bytes:
     return np.array([ids_seen, total], "<u8").tobytes()
 
 
-def _anchor_rows(batches, n_buckets: int):
+def _anchor_rows(batches, n_buckets: int, base: int):
     """Pass 1 of a task: what to send by anchor, and what it has settled itself."""
     from pyspark import TaskContext
 
@@ -233,7 +248,7 @@ def _anchor_rows(batches, n_buckets: int):
         held.clear()
 
     for first, ids, data, at in _batches(batches):
-        own, start, n, anchor, whole = runs(data, at)
+        own, start, n, anchor, whole = runs(data, at, base)
         held.append(((own + first).astype(np.int32), start.astype(np.int32), n.astype(np.int32), anchor, whole, ids[own]))
         count += len(own)
         seen ^= np.bitwise_xor.reduce(mix64(ids.astype(np.uint64))) if len(ids) else np.uint64(0)
@@ -312,7 +327,7 @@ def _check(marks: list[bytes], seen, total) -> None:
         raise RuntimeError("a partition's documents changed between scans")
 
 
-def _contexts(batches, folder: str, n_buckets: int):
+def _contexts(batches, folder: str, n_buckets: int, base: int):
     """Texts of the open runs, dealt by anchor; windows of hot anchors' runs, dealt by their hashes."""
     from pyspark import TaskContext
 
@@ -374,7 +389,7 @@ def _contexts(batches, folder: str, n_buckets: int):
         total += len(ids)
         a, b = np.searchsorted(loose_row, [first, first + len(ids)])
         if a < b:
-            rolled = RangeHash(_SYMBOL[data])
+            rolled = RangeHash(data, base)
             # a few runs at a time, as each byte of them begins a window
             for c, d in blocks(loose_n[a:b], HELD):
                 own = loose_row[a + c : a + d] - first
@@ -472,10 +487,11 @@ def _settle(docs: DataFrame) -> list[str]:
     kinds = "bucket int, pid int, kind int, blob binary"
     side_kinds = [pa.int32(), pa.int32(), pa.binary()]
     one, two = fresh_dir(spark, "repeats-1"), fresh_dir(spark, "repeats-2")
-    sent = docs.mapInArrow(lambda it: _rows(_anchor_rows(it, n), _NAMES, _KINDS), kinds)
-    write_side(sent.repartitionById(n, "bucket").mapInArrow(lambda it: _rows(_by_anchor(it), ["pid", "kind", "blob"], side_kinds), SIDE), one)
-    open_runs = docs.mapInArrow(lambda it: _rows(_contexts(it, one, n), _NAMES, _KINDS), kinds)
-    write_side(open_runs.repartitionById(n, "bucket").mapInArrow(lambda it: _rows(_by_suffix(it), ["pid", "kind", "blob"], side_kinds), SIDE), two)
+    base = draw_base()
+    sent = docs.mapInArrow(tidy(lambda it: _rows(_anchor_rows(it, n, base), _NAMES, _KINDS)), kinds)
+    write_side(sent.repartitionById(n, "bucket").mapInArrow(tidy(lambda it: _rows(_by_anchor(it), ["pid", "kind", "blob"], side_kinds)), SIDE), one)
+    open_runs = docs.mapInArrow(tidy(lambda it: _rows(_contexts(it, one, n, base), _NAMES, _KINDS)), kinds)
+    write_side(open_runs.repartitionById(n, "bucket").mapInArrow(tidy(lambda it: _rows(_by_suffix(it), ["pid", "kind", "blob"], side_kinds)), SIDE), two)
     return [one, two]
 
 
@@ -521,9 +537,15 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     span = pa.struct([("from_byte", pa.int64()), ("to_byte", pa.int64())])
 
     def run(batches):
-        part = []
-        for name, data, starts, ends in _covered(batches, folders):
-            part.append((None if name == NULL_ID else name, len(data), [{"from_byte": a, "to_byte": b} for a, b in zip(starts, ends, strict=True)], hashlib.sha256(_kept(data, starts, ends)).hexdigest()))
+        part, known = [], []
+
+        def noted():
+            for batch in batches:
+                known.extend(reversed(batch.column(0).to_pylist()))
+                yield batch
+
+        for _, data, starts, ends in _covered(noted(), folders):
+            part.append((known.pop(), len(data), [{"from_byte": a, "to_byte": b} for a, b in zip(starts, ends, strict=True)], hashlib.sha256(_kept(data, starts, ends)).hexdigest()))
             if len(part) == 4096:
                 yield rows(part)
                 part = []
@@ -533,7 +555,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     def rows(part):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), (pa.int64(), pa.int64(), pa.list_(span), pa.string()), strict=True)], ["doc_id", "n_bytes", "spans", "kept_sha256"])
 
-    return stable.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<from_byte:long,to_byte:long>>, kept_sha256 string")
+    return stable.mapInArrow(tidy(run), "doc_id long, n_bytes long, spans array<struct<from_byte:long,to_byte:long>>, kept_sha256 string")
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
@@ -557,7 +579,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                 done = []
 
     kind = stable.schema["row"].dataType.simpleString()
-    found = stable.mapInArrow(run, f"row {kind}, kept string")
+    found = stable.mapInArrow(tidy(run), f"row {kind}, kept string")
     new = {"text": F.when(F.col("row.text").isNotNull(), F.col("kept")), "n_chars": F.length(F.when(F.col("row.text").isNotNull(), F.col("kept")))}
     return found.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 

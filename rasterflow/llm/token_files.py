@@ -10,7 +10,8 @@ their own per task attempt and only those of the successful attempt reach the ma
 ``read_tokens`` memory-maps the parts (or reads them through Arrow where the store isn't local).
 
 Null text encodes as empty; a null doc_id sorts first and is read back as null; repeated ids keep all
-their rows, in text order; an empty table gives no part; further columns of the input are ignored.
+their rows, in text order; an empty table gives no part; very long texts are encoded in parts that no pre-token
+spans; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .common import filesystem, fresh_dir, table
+from .common import filesystem, fresh_dir, ragged, table, tidy
 
-NULL_ID = -(1 << 63)
-MANIFEST = "part long, path string, base long, n_docs long, n_tokens long, width int"
+MANIFEST = "part long, path string, base long, n_docs long, n_null long, n_tokens long, width int"
 _ENCODERS: dict = {}
 
 
@@ -65,7 +65,7 @@ class Encoder:
             where, n = self.lexicon.look_up(s)
             own = owner[a:b][s.text_of]
             counts += np.bincount(own, n, len(texts)).astype(np.int64)
-            flats.append(self.lexicon.pool[pretokens_index(where, n)])
+            flats.append(self.lexicon.pool[ragged(where, n.astype(np.int64))])
             at.append(np.repeat(own, n))
             for i in np.unique(owner[a:b][s.complex]).tolist():
                 slow[i] = None
@@ -85,12 +85,6 @@ class Encoder:
         return ids, counts
 
 
-def pretokens_index(where: np.ndarray, n: np.ndarray) -> np.ndarray:
-    from .common import ragged
-
-    return ragged(where, n.astype(np.int64))
-
-
 def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
@@ -110,12 +104,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         store, root = filesystem(folder)
         store.create_dir(root, recursive=True)
         base = f"part-{context.partitionId():06d}-{context.taskAttemptId()}"
-        n_docs = n_tokens = 0
+        n_docs = n_null = n_tokens = 0
         with store.open_output_stream(f"{root}/{base}.ids") as ids_to, store.open_output_stream(f"{root}/{base}.offsets") as at_to, store.open_output_stream(f"{root}/{base}.docs") as docs_to:
             at_to.write(np.zeros(1, "<i8").tobytes())
             for batch in batches:
                 texts = batch.column(1).to_pylist()
-                names = batch.column(0).fill_null(NULL_ID).to_numpy()
+                n_null += batch.column(0).null_count  # null ids come first
+                names = batch.column(0).fill_null(0).to_numpy()
                 texts = [t or "" for t in texts]
                 for a, b in pretokens.text_blocks(texts):
                     ids, n = enc.encode(texts[a:b])
@@ -126,12 +121,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
                     docs_to.write(names[a:b].astype("<i8").tobytes())
                     n_docs, n_tokens = n_docs + b - a, n_tokens + len(ids)
         if n_docs:
-            yield pa.RecordBatch.from_arrays([pa.array([context.partitionId()]), pa.array([base]), pa.array([n_docs]), pa.array([n_tokens]), pa.array([width], pa.int32())], ["part", "path", "n_docs", "n_tokens", "width"])
+            yield pa.RecordBatch.from_arrays([pa.array([context.partitionId()]), pa.array([base]), pa.array([n_docs]), pa.array([n_null]), pa.array([n_tokens]), pa.array([width], pa.int32())], ["part", "path", "n_docs", "n_null", "n_tokens", "width"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "part long, path string, n_docs long, n_tokens long, width int").collect()
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidy(write), "part long, path string, n_docs long, n_null long, n_tokens long, width int").collect()
     total, manifest = 0, []
     for r in sorted(rows):  # a row per part: their number follows the partitions, not the documents
-        manifest.append((r.part, f"{folder}/{r.path}", total, r.n_docs, r.n_tokens, r.width))
+        manifest.append((r.part, f"{folder}/{r.path}", total, r.n_docs, r.n_null, r.n_tokens, r.width))
         total += r.n_tokens
     return spark.createDataFrame(manifest, MANIFEST).repartition(max(1, len(manifest)))
 
@@ -161,9 +156,9 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     b = min(a + 4096, r["n_docs"])
                     crc = [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(at[a:b].tolist(), at[a + 1 : b + 1].tolist(), strict=True)]
                     own = np.array(names[a:b])
-                    yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == NULL_ID), pa.array(r["base"] + at[a:b]), pa.array(np.diff(at[a : b + 1])), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(own, mask=np.arange(a, b) < r["n_null"]), pa.array(r["base"] + at[a:b]), pa.array(np.diff(at[a : b + 1])), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,31 +12,35 @@ that aren't toxic. A document's evidence is the best sum of its r best segments
 held within -20 (also that of no segment) and 60, so that far values don't tilt the fit; a logistic curve
 fitted to the labelled rows turns evidence into the score, 0.5 and more being toxic.
 
-Bounds: at most ``label_rows`` labelled rows (a hash of doc_id chooses) and ``features`` features reach the driver and
-every task; corpus frequencies count all documents.
-
-Null or word-less text has no passage and scores as an empty one; labels with null doc_id or null toxic aren't
-learned, repeated labels count as toxic if one is; null or repeated doc_ids keep a row each; without labels of
-both kinds, or without evidence in any of them, every score is 0; an empty table gives no rows; further columns are ignored by
-``score_documents`` and returned unchanged by ``drop_toxic``.
+Bounds: at most ``label_rows`` labelled rows are learned from (a hash of doc_id chooses); a kind and an evidence of each
+reach the driver, and the features that stand out in them, which are what tasks are sent. Counts, z scores and
+the extreme-value law's sums are aggregated by Spark; corpus frequencies count all documents. A bit table of fixed size, in
+which candidates are looked up before their exact join, keeps other features from being shuffled.
+
+Null or word-less text has no passage and scores as an empty one; very long texts are scanned whole; labels with null
+doc_id or null toxic aren't learned, repeated labels count as toxic if one is; null or repeated doc_ids keep a row each;
+features with equal counts are kept or left alike; without labels of both kinds, or without evidence in any of them,
+every score is 0; an empty table gives no rows; further columns are ignored by ``score_documents`` and returned unchanged by ``drop_toxic``.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, byte_blocks, crc_mod, mix64, table
+from .common import byte_blocks, checkpoint, crc_mod, mix64, range_sums, table, tidy
 
 PREFIXES = (5, 6, 7, 8)
 #: Weight of the Dirichlet prior in documents; least z score, log-odds and number of toxic documents of a kept feature; what a word without evidence costs.
 PRIOR, LEAST_Z, LEAST_ODDS, LEAST_COUNT, DRIFT = 200.0, 4.0, 1.5, 6, 0.35
-LABEL_ROWS, FEATURES = 200_000, 65_536
+LABEL_ROWS = 200_000
+#: Bits of the table in which candidate features are looked up.
+TABLE_BITS = 23
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
@@ -61,7 +65,7 @@ class Words:
         stop[cut - 1] = word[cut - 1]
         self.starts, self.ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
         self.before = np.searchsorted(self.starts, at)
-        self._rolled = RangeHash(_SYMBOL[low])
+        self._symbols = _SYMBOL[low]
 
     def features(self):
         """(words that have it, hash) for each level, short prefixes first, whole words last."""
@@ -72,7 +76,7 @@ class Words:
         yield np.arange(len(length)), self._hash(self.starts, self.ends, 0)
 
     def _hash(self, start, end, level):
-        return (mix64(self._rolled.of(start, end)) + np.uint64(level)).view(np.int64)
+        return (range_sums(self._symbols, start, end) + np.uint64(level)).view(np.int64)
 
 
 def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,23 +114,25 @@ class Model:
         self.keys, self.scores, self.drift = keys[order], scores[order], drift
         self.rate, self.scale, self.slope, self.offset = 1.0, 1.0, 0.0, -40.0
 
-    def word_scores(self, words: Words) -> np.ndarray:
-        out = np.full(len(words.starts), -self.drift)
+    def word_scores(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(score, place of its feature or -1) of each word."""
+        out, feature = np.full(len(words.starts), -self.drift), np.full(len(words.starts), -1)
         for own, keys in words.features():
             hit, slot = _found(self.keys, keys)
             out[own[hit]] = self.scores[slot[hit]] - self.drift
-        return out
+            feature[own[hit]] = slot[hit]
+        return out, feature
 
     def passages(self, data: np.ndarray, at: np.ndarray):
-        """(words, segments, positive word scores) of each text of a block."""
+        """(words, segments, features of words with positive scores) of each text of a block."""
         words = Words(data, at)
-        scores = self.word_scores(words)
+        scores, feature = self.word_scores(words)
         up = np.flatnonzero(scores > 0)
         cuts = np.searchsorted(up, words.before)
         for k in range(len(at) - 1):
             own = up[cuts[k] : cuts[k + 1]]
             n, first = int(words.before[k + 1] - words.before[k]), int(words.before[k])
-            yield n, (segments(scores[own], own - first, self.drift) if len(own) else []), scores[own], words, first
+            yield n, (segments(scores[own], own - first, self.drift) if len(own) else []), feature[own], words, first
 
     def evidence(self, n: int, sums: list[float]) -> float:
         """The best of the normalised sums of the r best segments."""
@@ -140,28 +146,25 @@ class Model:
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * evidence + self.offset))))
 
-    def calibrate(self, rows: list[tuple[int, int, list[float], list[float]]]) -> None:
-        """rows: (toxic, words, segment scores, positive word scores) of labelled documents."""
-        ground = [r for r in rows if r[0] == 0]
-        ups = np.array([s for r in ground for s in r[3]])
-        words = sum(r[1] for r in ground)
-        if words and len(ups) and len(ups) < words:
-            value = lambda x: ((words - len(ups)) * math.exp(-x * self.drift) + np.exp(x * ups).sum()) / words - 1
-            low, high = 1e-3, 1.0
-            while value(high) < 0 and high < 64:
-                high *= 2
-            if value(low) < 0:
-                for _ in range(60):
-                    mid = (low + high) / 2
-                    low, high = (mid, high) if value(mid) < 0 else (low, mid)
-                self.rate = low
-            weight = sum(r[1] * math.exp(-self.rate * max(r[2], default=0.0)) for r in ground)
-            self.scale = max(len(ground) / max(weight, 1e-9), 1e-9)
-        x = np.array([self.evidence(r[1], r[2]) for r in rows])
-        y = np.array([r[0] for r in rows], float)
+    def find_rate(self, words: int, ups: np.ndarray, counts: np.ndarray) -> None:
+        """lambda: among words of background, of which counts score ups (positive) and all others -drift, exp(lambda * score) means 1."""
+        many = counts.sum()
+        if not 0 < many < words:
+            return
+        value = lambda x: ((words - many) * math.exp(-x * self.drift) + (counts * np.exp(x * ups)).sum()) / words - 1
+        low, high = 1e-3, 1.0
+        while value(high) < 0 and high < 64:
+            high *= 2
+        if value(low) < 0:
+            for _ in range(60):
+                mid = (low + high) / 2
+                low, high = (mid, high) if value(mid) < 0 else (low, mid)
+            self.rate = low
+
+    def find_curve(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Two-parameter logistic regression of y on evidence x by Newton steps, on standardised evidence, with a slight ridge."""
         if not len(y) or y.min() == y.max() or x.min() == x.max():
             return
-        # two-parameter logistic regression by Newton steps, on standardised evidence, with a slight ridge
         mean, spread = x.mean(), max(x.std(), 1e-6)
         z, w = np.stack([(x - mean) / spread, np.ones(len(x))], 1), np.zeros(2)
         cost = lambda w: float(np.logaddexp(0, z @ w).sum() - y @ (z @ w) + 5e-3 * w @ w)
@@ -176,57 +179,89 @@ class Model:
         self.slope, self.offset = w[0] / spread, w[1] - w[0] * mean / spread
 
 
-def log_odds(toxic: np.ndarray, other: np.ndarray, corpus: np.ndarray, totals: tuple[float, float, float], prior: float = PRIOR):
-    """(log-odds, z) of features from the numbers of toxic, other and all documents that have them; totals: all documents of each."""
-    alpha = prior * np.maximum(corpus, 1) / max(totals[2], 1)
-    one = np.log((toxic + alpha) / np.maximum(totals[0] + prior - toxic - alpha, 0.5))
-    two = np.log((other + alpha) / np.maximum(totals[1] + prior - other - alpha, 0.5))
-    delta = one - two
-    return delta, delta / np.sqrt(1 / (toxic + alpha) + 1 / (other + alpha))
+def _slots(features: np.ndarray) -> np.ndarray:
+    return (mix64(features.view(np.uint64)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
-def _count(labelled: DataFrame, keys=None) -> DataFrame:
-    """(kind, feature, n): documents of a kind (1 toxic, 0 other, -1 unlabelled) that have a feature; feature null counts documents. With keys, only those, by place."""
+def _count(labelled: DataFrame, table=None) -> DataFrame:
+    """(kind, feature, n): documents of a kind (1 toxic, 0 other, -1 unlabelled) that have a feature; feature null counts documents.
+
+    With table, a broadcast of bits, only features whose bit is set."""
 
     def run(batches):
-        sums: dict = {}
+        found: list[tuple[np.ndarray, ...]] = []
+        totals: dict[int, int] = {}
+        size = 0
+
+        def added():
+            kind, feature, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((feature, kind))
+            kind, feature, n = kind[order], feature[order], n[order]
+            head = np.flatnonzero(np.concatenate([[True], (feature[1:] != feature[:-1]) | (kind[1:] != kind[:-1])]))
+            return kind[head], feature[head], np.add.reduceat(n, head)
+
+        def sent(kind, feature, n):
+            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(feature, pa.int64()), pa.array(n, pa.int64())], ["kind", "feature", "n"])
+
         for batch in batches:
             kinds = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b, data, at in byte_blocks(batch.column(1)):
                 words = Words(data, at)
                 text_of = np.repeat(np.arange(b - a), np.diff(words.before))
                 for k, n in zip(*[x.tolist() for x in np.unique(kinds[a:b], return_counts=True)], strict=True):
-                    sums[k, None] = sums.get((k, None), 0) + n
-                for own, found in words.features():
+                    totals[k] = totals.get(k, 0) + n
+                for own, feature in words.features():
                     text = text_of[own]
-                    if keys is not None:
-                        hit, slot = _found(keys.value, found)
-                        text, found = text[hit], slot[hit]
-                    order = np.lexsort((found, text))
-                    text, found = text[order], found[order]
+                    if table is not None:
+                        hit = table.value[_slots(feature)]
+                        text, feature = text[hit], feature[hit]
+                    order = np.lexsort((feature, text))
+                    text, feature = text[order], feature[order]
                     once = np.ones(len(text), bool)
-                    once[1:] = (text[1:] != text[:-1]) | (found[1:] != found[:-1])
-                    kind, found = kinds[a:b][text[once]], found[once]
-                    for k in np.unique(kind).tolist():
-                        if keys is None:
-                            for h, n in zip(*[x.tolist() for x in np.unique(found[kind == k], return_counts=True)], strict=True):
-                                sums[k, h] = sums.get((k, h), 0) + n
-                        else:
-                            every = sums.setdefault((k, -1), np.zeros(len(keys.value), np.int64))
-                            every += np.bincount(found[kind == k], minlength=len(every))
-        for (k, h), n in list(sums.items()):
-            if isinstance(n, np.ndarray):
-                del sums[k, h]
-                sums |= {(k, int(i)): int(n[i]) for i in np.flatnonzero(n)}
-        out = list(sums.items())
-        for i in range(0, len(out), 100_000):
-            part = out[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0][0] for x in part], pa.int32()), pa.array([x[0][1] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64())], ["kind", "feature", "n"])
-
-    return labelled.select("kind", "text").mapInArrow(run, "kind int, feature long, n long").groupBy("kind", "feature").agg(F.sum("n").alias("n"))
-
-
-def fit(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, features: int = FEATURES) -> Model:
+                    once[1:] = (text[1:] != text[:-1]) | (feature[1:] != feature[:-1])
+                    if once.any():
+                        found.append((kinds[a:b][text[once]], feature[once], np.ones(int(once.sum()), np.int64)))
+                        size += len(found[-1][0])
+            if size > 500_000:
+                found = [added()]
+                size = len(found[0][0])
+                if size > 300_000:
+                    yield sent(*found.pop())
+                    size = 0
+        if found:
+            yield sent(*added())
+        if totals:
+            yield sent(list(totals), [None] * len(totals), list(totals.values()))
+
+    return labelled.select("kind", "text").mapInArrow(tidy(run), "kind int, feature long, n long").groupBy("kind", "feature").agg(F.sum("n").alias("n"))
+
+
+def _bits(candidates: DataFrame):
+    """A table of 2 ** TABLE_BITS bits with those of the candidate features set."""
+
+    def run(batches):
+        out = np.zeros(1 << TABLE_BITS, bool)
+        for batch in batches:
+            out[_slots(batch.column(0).to_numpy())] = True
+        words = np.packbits(out, bitorder="little").view(np.int64)
+        place = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(words[place])], ["place", "bits"])
+
+    words = np.zeros((1 << TABLE_BITS) // 64, np.int64)
+    for r in candidates.select("feature").mapInArrow(tidy(run), "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).collect():  # of fixed size
+        words[r.place] = r.bits
+    return np.unpackbits(words.view(np.uint8), bitorder="little").view(bool)
+
+
+def _standing_out(toxic, other, corpus, totals):
+    """Columns (log-odds, z) of features from the numbers of toxic, other and all documents that have them; totals: all documents of each."""
+    alpha = PRIOR * F.greatest(corpus, F.lit(1)) / max(totals[2], 1)
+    one = F.log((toxic + alpha) / F.greatest(totals[0] + PRIOR - toxic - alpha, F.lit(0.5)))
+    two = F.log((other + alpha) / F.greatest(totals[1] + PRIOR - other - alpha, F.lit(0.5)))
+    return one - two, (one - two) / F.sqrt(1 / (toxic + alpha) + 1 / (other + alpha))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> Model:
     """Learns from the labelled rows (doc_id, toxic) and the documents' texts."""
     sc = docs.sparkSession.sparkContext
     clean = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("kind")).dropna().groupBy("doc_id").agg(F.max("kind").alias("kind"))
@@ -235,33 +270,47 @@ def fit(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, featur
         clean = clean.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * 0.98 * label_rows / total)).limit(label_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labelled = texts.join(F.broadcast(clean), "doc_id").select("kind", "text")  # label_rows narrow rows at most
-    found = _count(labelled.where("kind = 1")).where(F.col("feature").isNotNull() & (F.col("n") >= LEAST_COUNT)).orderBy(F.desc("n"), "feature").limit(features).collect()
-    model = Model(np.zeros(0, np.int64), np.zeros(0))
-    if found:
-        keys = np.sort(np.array([r.feature for r in found], np.int64))
-        counts, totals = np.zeros((3, len(keys))), [0, 0, 0]
-        everything = texts.join(F.broadcast(clean), "doc_id", "left").select(F.coalesce("kind", F.lit(-1)).cast("int").alias("kind"), "text")
-        for r in _count(everything, sc.broadcast(keys)).collect():  # three kinds x features numbers at most
-            for k in {1: (0, 2), 0: (1, 2), -1: (2,)}[r.kind]:
-                if r.feature is None:
-                    totals[k] += r.n
-                else:
-                    counts[k, r.feature] += r.n
-        delta, z = log_odds(*counts, tuple(totals))
-        keep = (z >= LEAST_Z) & (delta >= LEAST_ODDS)  # with many documents even slight differences stand out
-        model = Model(keys[keep], delta[keep])
+    candidates = checkpoint(_count(labelled.where("kind = 1")).where(F.col("feature").isNotNull() & (F.col("n") >= LEAST_COUNT)).select("feature"))
+    everything = texts.join(F.broadcast(clean), "doc_id", "left").select(F.coalesce("kind", F.lit(-1)).cast("int").alias("kind"), "text")
+    counted = checkpoint(_count(everything, sc.broadcast(_bits(candidates))))
+    by_kind = {r.kind: r.n for r in counted.where("feature is null").collect()}  # three rows
+    totals = (by_kind.get(1, 0), by_kind.get(0, 0), sum(by_kind.values()))
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0))
+    sums = counted.join(candidates, "feature").groupBy("feature").agg(of(1).alias("toxic"), of(0).alias("other"), F.sum("n").alias("corpus"))
+    delta, z = _standing_out(F.col("toxic"), F.col("other"), F.col("corpus"), totals)
+    # with many documents even slight differences stand out, so both bounds count
+    kept = sums.select("feature", delta.alias("delta"), z.alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("delta") >= LEAST_ODDS)).collect()
+    model = Model(np.array([r.feature for r in kept], np.int64), np.array([r.delta for r in kept], float))
     sent = sc.broadcast(model)
 
     def rate(batches):
         for batch in batches:
-            kinds = batch.column(0).to_pylist()
+            kinds = batch.column(0)
             for a, b, data, at in byte_blocks(batch.column(1)):
                 rows = [(n, [s[0] for s in own], up.tolist()) for n, own, up, _, _ in sent.value.passages(data, at)]
-                n, sums, ups = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds[a:b], pa.int32()), pa.array(n, pa.int64()), pa.array(sums, pa.list_(pa.float64())), pa.array(ups, pa.list_(pa.float64()))], ["kind", "n", "sums", "ups"])
+                n, scores, ups = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([kinds.slice(a, b - a).cast(pa.int32()), pa.array(n, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(ups, pa.list_(pa.int32()))], ["kind", "n", "sums", "ups"])
+
+    rated = checkpoint(labelled.mapInArrow(tidy(rate), "kind int, n long, sums array<double>, ups array<int>"))
+    ground = rated.where("kind = 0")
+    hits = ground.select(F.explode("ups").alias("up")).groupBy("up").count().collect()  # a row per kept feature at most
+    counts = np.zeros(len(model.keys))
+    for r in hits:
+        counts[r.up] = r["count"]
+    size = ground.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+    model.find_rate(size.words, model.scores - model.drift, counts)
+    if 0 < counts.sum() < size.words:
+        weight = ground.agg(F.sum(F.col("n") * F.exp(-model.rate * F.coalesce(F.array_max("sums"), F.lit(0.0))))).first()[0]
+        model.scale = max(size.documents / max(weight, 1e-9), 1e-9)
+    fitted = sc.broadcast(model)
+
+    def weigh(batches):
+        for batch in batches:
+            found = [fitted.value.evidence(n, own) for n, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["kind", "x"])
 
-    # a narrow row per labelled document of the bounded sample
-    model.calibrate(sorted(map(tuple, labelled.mapInArrow(rate, "kind int, n long, sums array<double>, ups array<double>").collect())))
+    points = sorted(map(tuple, rated.select("kind", "n", "sums").mapInArrow(tidy(weigh), "kind int, x double").collect()))  # two numbers a labelled row
+    model.find_curve(np.array([x for _, x in points]), np.array([float(k > 0) for k, _ in points]))
     return model
 
 
@@ -283,19 +332,23 @@ def score_documents(docs: DataFrame, model: Model, significant: float = 0.05) ->
                     found.append([r for r in rows if r["e_value"] < significant])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score), pa.array(evidence), pa.array(found, pa.list_(passage))], ["doc_id", "score", "evidence", "passages"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, evidence double, passages array<struct<from_byte:long,to_byte:long,score:double,e_value:double>>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, score double, evidence double, passages array<struct<from_byte:long,to_byte:long,score:double,e_value:double>>")
 
 
 def drop_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The documents that score below least, with all their columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        out = []
-        for _, _, data, at in byte_blocks(pa.array(texts, pa.string(), from_pandas=True)):
-            out += [sent.value.score(sent.value.evidence(n, [s[0] for s in segs])) < least for n, segs, *_ in sent.value.passages(data, at)]
-        return pd.Series(out, dtype=bool)
+    def judge(batches):
+        for texts in batches:
+            out = []
+            for _, _, data, at in byte_blocks(texts):
+                out += [sent.value.score(sent.value.evidence(n, [s[0] for s in segs])) < least for n, segs, *_ in sent.value.passages(data, at)]
+            yield pa.array(out, pa.bool_())
+
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(judge)(texts)
 
     return docs.where(clean(F.col("text").cast("string")))
 
