@@ -45,7 +45,7 @@ def test_windows_against_brute_force(spark, part_bytes):
     docs = [(1, None), (2, ""), (3, " !! "), (None, "a b"), *[(k, text(random.randint(0, 80))) for k in range(4, 60)], (60, "zz the zz"), (60, "zz the zz")]
     items = [(k, text(random.choice([0, 1, 3, 9, 10, 14]))) for k in range(9)] + [(None, "zz"), (77, None)]
     found = deco.contamination(make(spark, [(i, t, None) for i, t in docs]), spark.createDataFrame(items, "item_id long, text string"), part_bytes=part_bytes).collect()
-    want = hits(docs, [x for x in items if x[0] is not None])
+    want = [(i, n, k, [x for x in own if x != "None"]) for i, n, k, own in hits(docs, items)]
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in found), key=str) == sorted(want, key=str)
 
 
@@ -116,14 +116,14 @@ def test_hot_passage_is_spread_over_buckets(spark, tasks):
     # ends of few letters, so that some windows over the passage's edges repeat and most don't
     rows = [(k, letters(60) + letters(3, "xy") + passage + letters(3, "xy") + letters(60)) for k in range(500)]
     docs = make(spark, [(*r, None) for r in rows]).repartition(tasks)
-    n = 16
+    n, base = 16, suffix_dedup.draw_base()
     stable = suffix_dedup.fixed_scan(docs)
     folder = suffix_dedup.fresh_dir(spark, "hot")
     kinds = "bucket int, pid int, kind int, blob binary"
-    sent = stable.mapInArrow(lambda it: suffix_dedup._rows(suffix_dedup._anchor_rows(it, n), suffix_dedup._NAMES, suffix_dedup._KINDS), kinds)
+    sent = stable.mapInArrow(lambda it: suffix_dedup._rows(suffix_dedup._anchor_rows(it, n, base), suffix_dedup._NAMES, suffix_dedup._KINDS), kinds)
     side_kinds = [pa.int32(), pa.int32(), pa.binary()]
     suffix_dedup.write_side(sent.repartitionById(n, "bucket").mapInArrow(lambda it: suffix_dedup._rows(suffix_dedup._by_anchor(it), ["pid", "kind", "blob"], side_kinds), suffix_dedup.SIDE), folder)
-    dealt = stable.mapInArrow(lambda it: suffix_dedup._rows(suffix_dedup._contexts(it, folder, n), suffix_dedup._NAMES, suffix_dedup._KINDS), kinds)
+    dealt = stable.mapInArrow(lambda it: suffix_dedup._rows(suffix_dedup._contexts(it, folder, n, base), suffix_dedup._NAMES, suffix_dedup._KINDS), kinds)
     sizes = [r[0] for r in dealt.selectExpr("bucket", "length(blob) as size").groupBy("bucket").sum("size").select("sum(size)").collect()]
     assert len(sizes) == n and max(sizes) <= 2 * sum(sizes) / n
     assert digest(suffix_dedup.removed_spans(docs)) == sorted(removed(rows), key=str)
