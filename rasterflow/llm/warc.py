@@ -10,7 +10,7 @@ The reader yields a row per record as it stands in the files; ``reassemble`` gro
 orders them by number, verifies the total length (and that no number is missing) and decodes the framing.
 
 Null html is an empty payload; null or repeated page_ids keep a row each (a null id's page is always a
-response); empty tables give empty archives; further columns are ignored. A damaged or incomplete
+response); of repeated largest ids all are responses; empty tables give empty archives; very long payloads are cut in segments and joined again whole; further columns are ignored. A damaged or incomplete
 record comes back with valid = false and null payload columns rather than failing the job.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_dir, table
+from .common import filesystem, fresh_dir, table, tidy
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -68,13 +68,15 @@ def _record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
     return packer.compress(raw) + packer.flush()
 
 
-def page_records(page_id, row: int, url: str | None, payload: bytes, refers_to, segment_bytes: int) -> list[bytes]:
-    """The records of one page. row tells repeated page_ids apart."""
+def page_records(page_id, row: int, url: str | None, payload: bytes, refers_to, refers_uri: str | None, segment_bytes: int) -> list[bytes]:
+    """The records of one page. row tells repeated page_ids apart; a revisit names its response by target URI and date, and by page."""
     name = lambda what, n=0: f"<urn:uuid:{uuid.uuid5(_SPACE, f'{what}/{n}')}>"
-    fields = [("WARC-Record-ID", name(f"{page_id}/{row}")), ("WARC-Target-URI", (url or "").replace("\r", "").replace("\n", "")), ("WARC-Payload-Digest", "sha1:" + digest32(payload)), ("X-Page-ID", "" if page_id is None else str(page_id)), ("Content-Type", "application/http; msgtype=response")]
+    uri = lambda x: (x or "").replace("\r", "").replace("\n", "")
+    target = ("WARC-Target-URI", uri(url))
+    fields = [("WARC-Record-ID", name(f"{page_id}/{row}")), target, ("WARC-Payload-Digest", "sha1:" + digest32(payload)), ("X-Page-ID", "" if page_id is None else str(page_id)), ("Content-Type", "application/http; msgtype=response")]
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if refers_to is not None:
-        return [_record("revisit", [*fields, ("WARC-Profile", PROFILE), ("WARC-Refers-To", str(refers_to))], head + b"Content-Length: %d\r\n\r\n" % len(payload))]
+        return [_record("revisit", [*fields, ("WARC-Profile", PROFILE), ("WARC-Refers-To-Target-URI", uri(refers_uri)), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-ID", str(refers_to))], head + b"Content-Length: %d\r\n\r\n" % len(payload))]
     block = head + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     if len(block) <= segment_bytes:
         return [_record("response", fields, block)]
@@ -82,18 +84,18 @@ def page_records(page_id, row: int, url: str | None, payload: bytes, refers_to,
     out = [_record("response", [*fields, ("WARC-Segment-Number", "1")], block[:segment_bytes])]
     for n, k in enumerate(cuts[1:], 2):
         last = [("WARC-Segment-Total-Length", str(len(block)))] if n == len(cuts) else []
-        out.append(_record("continuation", [("WARC-Record-ID", name(f"{page_id}/{row}", n)), ("WARC-Segment-Origin-ID", fields[0][1]), ("WARC-Segment-Number", str(n)), *last], block[k : k + segment_bytes]))
+        out.append(_record("continuation", [("WARC-Record-ID", name(f"{page_id}/{row}", n)), target, ("WARC-Segment-Origin-ID", fields[0][1]), ("WARC-Segment-Number", str(n)), *last], block[k : k + segment_bytes]))
     return out
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, segment_bytes: int = 32768, file_bytes: int = 64 << 20) -> DataFrame:
     """Writes the archives; returns their paths. Of equal payloads of min_bytes or more, the one with the largest page_id is stored."""
     own = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("key", F.sha1("payload"))
-    narrow = own.select("page_id", "key", F.octet_length("payload").alias("n"))
-    kept = narrow.where(F.col("n") >= min_bytes).groupBy("key", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1")
+    narrow = own.select("page_id", "url", "key", F.octet_length("payload").alias("n"))
+    kept = narrow.where(F.col("n") >= min_bytes).groupBy("key", "n").agg(F.max("page_id").alias("refers_to"), F.max_by("url", F.struct("page_id", "url")).alias("refers_uri"), F.count("*").alias("copies")).where("copies > 1")
     # a digest may be hot, but rows are narrow and either side of the join can be split
-    revisits = narrow.join(kept, ["key", "n"]).where("page_id < refers_to").select("page_id", "key", "refers_to").distinct()
-    rows = own.join(revisits, ["page_id", "key"], "left").select("page_id", "url", "payload", "refers_to")
+    revisits = narrow.join(kept, ["key", "n"]).where("page_id < refers_to").select("page_id", "key", "refers_to", "refers_uri").distinct()
+    rows = own.join(revisits, ["page_id", "key"], "left").select("page_id", "url", "payload", "refers_to", "refers_uri")
 
     def write(batches):
         from pyspark import TaskContext
@@ -103,9 +105,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, segment_by
         store.create_dir(root, recursive=True)
         out, size, files, row = None, 0, [], 0
         for batch in batches:
-            for page_id, url, payload, refers_to in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for page_id, url, payload, refers_to, refers_uri in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 row += 1
-                for record in page_records(page_id, (context.partitionId() << 40) + row, url, payload, refers_to, segment_bytes):
+                for record in page_records(page_id, (context.partitionId() << 40) + row, url, payload, refers_to, refers_uri, segment_bytes):
                     if out is None or size >= file_bytes:
                         if out is not None:
                             out.close()
@@ -118,7 +120,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, segment_by
             out.close()
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{f}" for f in files], pa.string())], ["path"])
 
-    paths = [r.path for r in rows.mapInArrow(write, "path string").collect()]
+    paths = [r.path for r in rows.mapInArrow(tidy(write), "path string").collect()]
     return pages.sparkSession.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
 
 
@@ -162,7 +164,7 @@ def read_records(paths: DataFrame) -> DataFrame:
                             f, block = parse_record(raw)
                             whole = len(block) == int(f.get("content-length", "-1"))
                             number = int(f["warc-segment-number"]) if "warc-segment-number" in f else 0
-                            rows.append((path, f.get("warc-record-id"), f.get("x-page-id") or None, f.get("warc-type") if whole else None, f.get("warc-segment-origin-id", f.get("warc-record-id")), number, int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, f.get("warc-refers-to"), (f.get("warc-payload-digest") or "").removeprefix("sha1:") or None, block))
+                            rows.append((path, f.get("warc-record-id"), f.get("x-page-id") or None, f.get("warc-type") if whole else None, f.get("warc-segment-origin-id", f.get("warc-record-id")), number, int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, f.get("x-refers-to-page-id"), (f.get("warc-payload-digest") or "").removeprefix("sha1:") or None, block))
                             size += len(block)
                             if size > 4 << 20:
                                 yield _rows(rows)
@@ -171,7 +173,7 @@ def read_records(paths: DataFrame) -> DataFrame:
                         rows.append((path, *[None] * 9))
                 yield _rows(rows)
 
-    return paths.mapInArrow(read, RECORD)
+    return paths.mapInArrow(tidy(read), RECORD)
 
 
 def _rows(rows):
@@ -182,17 +184,17 @@ def _rows(rows):
 
 
 def reassemble(records: DataFrame) -> DataFrame:
-    """Whole records: those of one segment as they are, others joined from their segments once the total length holds."""
+    """Whole records, as the blocks of their segments in order: those of one segment as they are, others once numbers and total length hold."""
     first = lambda c: F.max(F.when(F.col("number") == 1, F.col(c))).alias(c)
     joined = (
         records.where("number > 0").groupBy("origin")
         .agg(*[first(c) for c in ("file", "record_id", "page_id", "record_type", "refers_to", "digest")], F.max("total").alias("total"), F.max("number").alias("last"), F.sort_array(F.collect_set(F.struct("number", "block"))).alias("parts"))
         .withColumn("size", F.aggregate("parts", F.lit(0).cast("long"), lambda s, p: s + F.octet_length(p.block)))
         .withColumn("complete", F.coalesce((F.size("parts") == F.col("last")) & (F.col("size") == F.col("total")), F.lit(False)))
-        .withColumn("block", F.expr("unhex(array_join(transform(parts, p -> hex(p.block)), ''))"))
+        .withColumn("blocks", F.transform("parts", lambda p: p.block))
     )
-    names = ["file", "record_id", "page_id", "record_type", "refers_to", "digest", "complete", "block"]
-    return records.where("number = 0 or number is null").withColumn("complete", F.col("record_type").isNotNull()).select(names).unionByName(joined.select(names))
+    names = ["file", "record_id", "page_id", "record_type", "refers_to", "digest", "complete", "blocks"]
+    return records.where("number = 0 or number is null").withColumn("complete", F.col("record_type").isNotNull()).withColumn("blocks", F.array("block")).select(names).unionByName(joined.select(names))
 
 
 def payloads(whole: DataFrame) -> DataFrame:
@@ -204,7 +206,7 @@ def payloads(whole: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 payload, n, digest, valid = None, None, r["digest"], bool(r["complete"])
                 if valid:
-                    head, _, body = r["block"].partition(b"\r\n\r\n")
+                    head, _, body = b"".join(r["blocks"]).partition(b"\r\n\r\n")
                     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
                     try:
                         if r["record_type"] == "response":
@@ -220,7 +222,7 @@ def payloads(whole: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest", "valid"])
 
-    return whole.select("page_id", "record_type", "refers_to", "digest", "complete", "block").mapInArrow(run, "page_id long, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, valid boolean")
+    return whole.select("page_id", "record_type", "refers_to", "digest", "complete", "blocks").mapInArrow(tidy(run), "page_id long, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, valid boolean")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
