@@ -9,22 +9,26 @@ block, and these are compared byte by byte. Many places of a block of documents
 numpy: each lane owns the windows that end in its stretch of the stream.
 
 The item table is a query set: it is taken in parts of a proven size (``part_bytes``), each broadcast and
-searched in all documents; one part is the usual case, more are combined by a shuffle of hits alone.
+searched in all documents; one part is the usual case. With more, each part's hits go to a table in the shared folder before
+the next is read, so the driver holds one part at a time, and are combined by a shuffle of hits alone.
 
-Null or word-less texts have no words and no hits; null and repeated doc_ids keep a row each; an empty
-documents or items table gives no rows or no hits; further columns of the inputs are ignored, except
-that ``clean_documents`` returns the documents' columns unchanged.
+Null or word-less texts have no words and no hits; null and repeated doc_ids keep a row each; windows of an item
+with null item_id hit like others, but the list of items can't name it; items with equal windows are all named; an empty
+documents or items table gives no rows or no hits; very long texts are searched whole; further columns of the
+inputs are ignored, except that ``clean_documents`` returns the documents' columns unchanged.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_blocks, mix64, ragged, table
+from .common import byte_blocks, checkpoint, fresh_dir, mix64, ragged, table, tidy
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -35,6 +39,8 @@ for _low, _high in ((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)):
 GROUPS = (24, 8, 1)
 TABLE_BITS = 20
 LANE = 2048
+#: Bytes of item texts that are searched at a time; their windows take some ten times as much.
+PART_BYTES = 8 << 20
 
 
 def word_stream(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +146,7 @@ class Patterns:
         return [places[same], g["length"][tests[same]], g["ids"][tests[same]]]
 
 
-def item_windows(items: list[tuple[str, str | None]], width: int = 10) -> tuple[list[bytes], list[list[str]]]:
+def item_windows(items: list[tuple[str | None, str | None]], width: int = 10) -> tuple[list[bytes], list[list[str]]]:
     """The distinct windows of the items and, for each, the ids of the items that have it."""
     owners: dict[bytes, dict[str, None]] = {}
     for name, text in items:
@@ -148,7 +154,9 @@ def item_windows(items: list[tuple[str, str | None]], width: int = 10) -> tuple[
         stream, starts, _ = word_stream(data, np.array([0, len(data)]))
         words = stream[2:].tobytes().split() if len(starts) else []
         for i in range(max(1, len(words) - width + 1) if words else 0):
-            owners.setdefault(b" " + b" ".join(words[i : i + width]) + b" ", {})[name] = None
+            own = owners.setdefault(b" " + b" ".join(words[i : i + width]) + b" ", {})
+            if name is not None:
+                own[name] = None
     return list(owners), [list(x) for x in owners.values()]
 
 
@@ -156,7 +164,7 @@ def _parts(benchmark: DataFrame, part_bytes: int):
     """The items, a bounded part at a time."""
     part, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
-        if r[0] is None or not r[1]:
+        if not r[1]:
             continue
         if part and size + len(r[1]) > part_bytes:
             yield part
@@ -202,10 +210,10 @@ def _search_part(docs: DataFrame, part: list, keep: list[str], width: int, merge
                 yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(before)), pa.array(hit), pa.array(items, pa.list_(pa.string())), pa.array(spots, pa.list_(pa.int64()))], [*keep, *names])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.mapInArrow(run, f"{kinds}, n_words long, n_hit long, items array<string>, places array<long>")
+    return docs.mapInArrow(tidy(run), f"{kinds}, n_words long, n_hit long, items array<string>, places array<long>")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, part_bytes: int = 16 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit and items (sorted ids of the items that occur) for each document."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = _parts(benchmark, part_bytes)
@@ -215,10 +223,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, part_b
         return _search_part(chosen, first, ["doc_id"], width, False).drop("places")
     # more than one part: rows are told apart by a hash of id and text, equal rows have equal hits
     keyed = chosen.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    every = [_search_part(keyed, p, ["doc_id", "row"], width, True) for p in [first, second, *parts]]
-    hits = every[0].withColumn("part", F.lit(0))
-    for k, e in enumerate(every[1:], 1):
-        hits = hits.unionByName(e.where("n_hit > 0").withColumn("part", F.lit(k)))
+    folder, k = fresh_dir(docs.sparkSession, "hits"), 0
+    for part in itertools.chain([first, second], parts):
+        found = _search_part(keyed, part, ["doc_id", "row"], width, True)
+        (found if k == 0 else found.where("n_hit > 0")).write.parquet(f"{folder}/part={k}")
+        k += 1
+    hits = docs.sparkSession.read.parquet(folder)
     copies = F.count_if(F.col("part") == 0)
     return (
         hits.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), copies.alias("n"))
@@ -229,26 +239,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, part_b
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The documents without any benchmark window, with all their columns."""
     columns = docs.columns
-    parts = _parts(benchmark, 16 << 20)
-    for part in parts:
+    for k, part in enumerate(_parts(benchmark, PART_BYTES)):
+        if k:
+            docs = checkpoint(docs)  # done with the part before
         docs = docs.where(~_hit_udf(docs.sparkSession, part, width)(F.col("text").cast("string")))
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def _hit_udf(spark: SparkSession, part: list, width: int):
     sent = spark.sparkContext.broadcast(item_windows(part, width)[0])
-    made: list = []
 
-    @F.pandas_udf("boolean")
-    def hit(texts: pd.Series) -> pd.Series:
-        if not made:
-            made.append(Patterns(sent.value))
-        out = np.zeros(len(texts), bool)
-        for a, _, data, at in byte_blocks(pa.array(texts, pa.string(), from_pandas=True)):
-            stream, starts, before = word_stream(data, at)
-            place, _, _ = made[0].search(stream)
-            out[a + np.searchsorted(before, np.searchsorted(starts, place), "right") - 1] = True
-        return pd.Series(out)
+    def search(batches):
+        patterns = Patterns(sent.value)
+        for texts in batches:
+            out = np.zeros(len(texts), bool)
+            for a, _, data, at in byte_blocks(texts):
+                stream, starts, before = word_stream(data, at)
+                place, _, _ = patterns.search(stream)
+                out[a + np.searchsorted(before, np.searchsorted(starts, place), "right") - 1] = True
+            yield pa.array(out)
+
+    @F.arrow_udf("boolean")
+    def hit(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(search)(texts)
 
     return hit
 
