@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The configured checkpoint folder; one of our own only where none is set, as in tests."""
+    """The configured checkpoint folder; one of our own only on a single machine where none is set, as in tests."""
     sc = spark.sparkContext
     set_already = sc._jsc.sc().getCheckpointDir()
-    found = spark.conf.get("spark.checkpoint.dir", None) or (set_already.get() if set_already.isDefined() else None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or (set_already.get() if set_already.isDefined() else None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     if not set_already.isDefined():
         sc.setCheckpointDir(found)

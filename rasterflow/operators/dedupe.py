@@ -27,10 +27,9 @@ def first_occurrence(files: DataFrame, order: str = "ord") -> DataFrame:
 
 def signature(coefficients: Column) -> Column:
     """64 bits of an 8 x 8 block of coefficients: each against the median of rows 1 to 7, the first coefficient highest."""
-    ordered = F.array_sort(F.slice(coefficients, 9, 56))
-    median = (F.get(ordered, F.lit(27)) + F.get(ordered, F.lit(28))) / 2
-    bits = F.transform(coefficients, lambda c: F.when(c > median, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b))
+    middle = P.once(F.array_sort(F.slice(coefficients, 9, 56)), lambda o: (F.get(o, F.lit(27)) + F.get(o, F.lit(28))) / 2)
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    return P.once(middle, lambda median: F.aggregate(coefficients, zero, lambda s, c: F.shiftleft(s, 1).bitwiseOR(F.when(c > median, one).otherwise(zero))))
 
 
 def signature_hex(bits: Column) -> Column:
@@ -58,70 +57,86 @@ def perceptual_hash(df: DataFrame, column: str = "px16") -> DataFrame:
     return df.withColumn("phash", run(F.col(column)))
 
 
-def bands(bits: Column, near: int) -> Column:
-    """near + 1 parts of the 64 bits: signatures that differ in at most near bits agree in at least one part."""
-    n = near + 1
-    cuts = [64 * k // n for k in range(n + 1)]
-    # values may be negative: the mask keeps an unsigned part of the shifted value
-    return F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(bits, a).bitwiseAND((1 << (b - a)) - 1 if b - a < 63 else -1).alias("part")) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))])
+#: Parts of a signature that pairs are looked up by, and bits of each.
+PARTS, WIDE = 4, 16
+
+
+def _part(bits: Column, k: int) -> Column:
+    return F.shiftrightunsigned(bits, WIDE * k).bitwiseAND((1 << WIDE) - 1)
 
 
 def near_pairs(left: DataFrame, right: DataFrame, near: int = NEAR, left_id: str = "left_id", right_id: str = "right_id") -> DataFrame:
-    """Pairs (left_id, right_id, distance) of rows (id, sig) within near bits: an equi-join by band, then the exact distance."""
-    a = left.select(left_id, F.col("sig").alias("left_sig"), F.explode(bands(F.col("sig"), near)).alias("b")).select(left_id, "left_sig", "b.band", "b.part")
-    b = right.select(right_id, F.col("sig").alias("right_sig"), F.explode(bands(F.col("sig"), near)).alias("b")).select(right_id, "right_sig", "b.band", "b.part")
-    distance = P.hamming(F.col("left_sig"), F.col("right_sig"))
-    return a.join(b, ["band", "part"]).withColumn("distance", distance).where(F.col("distance") <= near).select(left_id, right_id, "distance").distinct()
-
-
-def _fold(rows: pd.DataFrame, near: int) -> list[tuple[int, int, int, int]]:
-    """(leader ordinal, creation ordinal, position, ordinal) of the members of the groups that a walk in order makes."""
-    seen: dict[str, int] = {}
-    groups: list[tuple[int, int, list[int]]] = []  # leader's signature, creation ordinal, members
-    sigs = dict(zip(rows.ord.tolist(), rows.sig.tolist(), strict=True))
-    for o, sha, sig in zip(rows.ord.tolist(), rows.sha.tolist(), rows.sig.tolist(), strict=True):
-        if sha in seen:
-            groups.append((sigs[seen[sha]], o, [seen[sha], o]))
-            continue
-        seen[sha] = o
-        for leader, _, members in groups:
-            if ((leader ^ sig) & ((1 << 64) - 1)).bit_count() <= near:
-                members.append(o)
-                break
-        else:
-            groups.append((sig, o, [o]))
-    return [(members[0], created, k, o) for _, created, members in groups for k, o in enumerate(members)]
+    """Pairs (left_id, right_id, distance) of rows (id, sig) within near bits, 7 at most.
+
+    Of 4 parts of 16 bits one differs in a single bit at most if the whole differs in 7, so each left signature is looked
+    up by its parts and their one-bit neighbours: 68 keys, each of which a random signature meets with 1 / 65536. A pair
+    counts in its first such part only. Equal signatures are looked up once, and ids join the pairs that were found."""
+    if near > 2 * PARTS - 1:
+        raise ValueError("more than 7 bits need more parts")
+    flips = F.array(F.lit(0), *[F.lit(1 << b) for b in range(WIDE)])
+
+    def probed(k):
+        return F.transform(flips, lambda f: F.struct(F.lit(k).alias("part"), _part(F.col("left_sig"), k).bitwiseXOR(f.cast("long")).alias("key")))
+
+    probes = F.flatten(F.array(*map(probed, range(PARTS))))
+    stored = F.array(*[F.struct(F.lit(k).alias("part"), _part(F.col("right_sig"), k).alias("key")) for k in range(PARTS)])
+    a = left.select(F.col("sig").alias("left_sig")).distinct().select("left_sig", F.inline(probes))
+    b = right.select(F.col("sig").alias("right_sig")).distinct().select("right_sig", F.inline(stored))
+    gap = F.col("left_sig").bitwiseXOR(F.col("right_sig"))
+    first = F.lit(PARTS)
+    for k in reversed(range(PARTS)):
+        first = F.when(F.bit_count(_part(gap, k)) <= 1, k).otherwise(first)
+    met = a.join(b, ["part", "key"]).withColumn("distance", P.hamming(F.col("left_sig"), F.col("right_sig"))).where((F.col("distance") <= near) & (F.col("part") == first))
+    mine = left.select(left_id, F.col("sig").alias("left_sig"))
+    theirs = right.select(right_id, F.col("sig").alias("right_sig"))
+    return met.select("left_sig", "right_sig", "distance").join(mine, "left_sig").join(theirs, "right_sig").select(left_id, right_id, "distance")
+
+
+def _decided(nodes: DataFrame, near: int) -> DataFrame:
+    """(node, created, leader) for nodes (node, sig, copied, copied_first): the group that a walk in order puts each in.
+
+    A node is the first file of its signature, copied the first repeated content there, which opens a group under copied_first. A
+    node joins the earliest group near it, unless an undecided node before it might lead an earlier one; it leads a group of
+    its own once all before it are decided and none is near. Every round of joins decides at least the first
+    undecided node of each stretch of near ones."""
+    sides = near_pairs(nodes.select(F.col("node").alias("a"), "sig"), nodes.select(F.col("node").alias("b"), "sig"), near, "a", "b").where("a <> b")
+    other = nodes.select(F.col("node").alias("b"), "copied", "copied_first")
+    edges = checkpoint(sides.join(other, "b").where("b < a or copied < a").select("a", "b", "copied", "copied_first"))
+    alone = nodes.select("node").join(edges.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
+    done = checkpoint(alone.select("node", F.col("node").alias("created"), F.col("node").alias("leader")))
+    left = checkpoint(edges.select(F.col("a").alias("node")).distinct())
+    while not left.isEmpty():
+        known = done.select(F.col("node").alias("b"), (F.col("created") == F.col("node")).alias("leads"))
+        open_edges = edges.join(left.withColumnRenamed("node", "a"), "a").join(known, "b", "left")
+        led = F.when(F.col("leads") & (F.col("b") < F.col("a")), F.struct(F.col("b").alias("created"), F.col("b").alias("leader")))
+        copied = F.when(F.col("copied") < F.col("a"), F.struct(F.col("copied").alias("created"), F.col("copied_first").alias("leader")))
+        waits = F.when(F.col("leads").isNull() & (F.col("b") < F.col("a")), F.col("b"))
+        found = open_edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min(led), F.min(copied)).alias("group"), F.min(waits).alias("wait"))
+        joins = F.col("group").isNotNull() & (F.col("wait").isNull() | (F.col("group.created") < F.col("wait")))
+        leads = F.col("group").isNull() & F.col("wait").isNull()
+        step = checkpoint(found.where(joins | leads).select("node", F.coalesce("group.created", "node").alias("created"), F.coalesce("group.leader", "node").alias("leader")))
+        done, left = checkpoint(done.unionByName(step)), checkpoint(left.join(step, "node", "left_anti"))
+    return done
 
 
 def groups(files: DataFrame, near: int = NEAR) -> DataFrame:
-    """Members (group, position, ord) of the duplicate groups of files (ord, sha, sig), numbered in order of creation.
-
-    A walk in order opens a group [first, this] for each repeated content, else joins the first group whose leader is
-    near, else opens a group of one. It can only join leaders of its own component of near or equal files, so
-    components are found first and walked each on its own; groups of one are left out.
-    """
-    first = files.groupBy("sha").agg(F.min("ord").alias("first"))
-    later = files.join(first, "sha").where(F.col("ord") > F.col("first"))
-    second = later.groupBy("sha").agg(F.min("ord").alias("second"))
-    # a third and further copy only makes its own group: no later file can find that before the second copy's
-    copies = later.join(second, "sha").where(F.col("ord") > F.col("second")).select(F.col("first").alias("leader"), F.col("ord").alias("created"))
-    walked = files.join(first.join(second, "sha", "left"), "sha").where((F.col("ord") == F.col("first")) | (F.col("ord") == F.col("second"))).select("ord", "sha", "sig")
-    sigs = walked.groupBy("sig").agg(F.min("ord").alias("node"))
-    pairs = near_pairs(sigs.select(F.col("node").alias("left_id"), "sig"), sigs.select(F.col("node").alias("right_id"), "sig"), near).where("left_id < right_id")
-    comps = components(pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
-    placed = walked.join(sigs, "sig").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    big = placed.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
-    work = placed.join(big, "component").select("component", "ord", "sha", "sig")
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_fold(rows.sort_values("ord"), near), columns=["leader", "created", "position", "ord"])
-
-    members = work.groupBy("component").applyInPandas(walk, "leader long, created long, position int, ord long")
-    pair = F.explode(F.array(F.struct(F.lit(0).alias("position"), F.col("leader").alias("ord")), F.struct(F.lit(1).alias("position"), F.col("created").alias("ord"))))
-    members = members.unionByName(copies.select("leader", "created", pair.alias("m")).select("leader", "created", "m.position", "m.ord"))
-    members = checkpoint(members)
+    """Members (group, position, ord, leader) of the duplicate groups of files (ord, sha, sig), numbered in order of creation.
+
+    The groups are those of a walk in order, which opens a group [first, this] for each repeated content, else joins the
+    first group whose leader is near, else opens a group of one; groups of one are left out. Files of equal signature
+    follow the first of them, and these are decided in rounds of joins, so no component is walked in one task."""
+    first = files.groupBy("sha").agg(F.min(F.struct("ord", "sig")).alias("f")).select("sha", F.col("f.ord").alias("first"), F.col("f.sig").alias("sig"))
+    copies = files.select("ord", "sha").join(first.select("sha", "first", "sig"), "sha").where("ord > first")
+    second = copies.groupBy("sig").agg(F.min(F.struct(F.col("ord").alias("copied"), F.col("first").alias("copied_first"))).alias("c")).select("sig", "c.copied", "c.copied_first")
+    nodes = checkpoint(first.groupBy("sig").agg(F.min("first").alias("node")).join(second, "sig", "left").select("node", "sig", "copied", "copied_first"))
+    placed = first.join(nodes.select("sig", "node"), "sig").join(_decided(nodes, near), "node")
+    walked = placed.select("created", "leader", F.lit(1).alias("late"), F.col("first").alias("ord"))
+    pair = F.explode(F.array("first", "ord"))
+    repeated = copies.select(F.col("ord").alias("created"), F.col("first").alias("leader"), F.lit(0).alias("late"), pair.alias("ord"))
+    members = checkpoint(walked.unionByName(repeated))
     several = members.groupBy("created").agg(F.count("*").alias("members")).where("members > 1")
-    return members.join(_numbered(several), "created").select("group", "position", "ord", "leader")
+    place = F.row_number().over(Window.partitionBy("created").orderBy("late", "ord")) - 1
+    return members.join(several.select("created"), "created").withColumn("position", place).join(_numbered(several), "created").select("group", "position", "ord", "leader")
 
 
 def _numbered(several: DataFrame) -> DataFrame:

@@ -137,9 +137,11 @@ def _spec_fields(raw: Column) -> Column:
 
 
 def spec_by_priority(sidecar: Column, plain: Column, own_catalogue: Column, parent_catalogue: Column, capability: Column) -> Column:
-    """The specification's text: sidecar, plain file, then the first catalogue there is, even if it lacks the capability."""
-    entry = lambda c: F.coalesce(F.try_element_at(F.from_json(c, "map<string, string>"), capability), F.lit("{}"))
-    return F.coalesce(sidecar, plain, F.when(own_catalogue.isNotNull(), entry(own_catalogue)), F.when(parent_catalogue.isNotNull(), entry(parent_catalogue)), F.lit("{}"))
+    """The specification's text: sidecar, plain file, then the first catalogue, even if it lacks the capability; what isn't JSON is passed over."""
+    read = lambda c: F.from_json(c, "map<string, string>")
+    valid = lambda c: F.when(read(c).isNotNull(), c)
+    entry = lambda c: F.when(read(c).isNotNull(), F.coalesce(F.try_element_at(read(c), capability), F.lit("{}")))
+    return F.coalesce(valid(sidecar), valid(plain), entry(own_catalogue), entry(parent_catalogue), F.lit("{}"))
 
 
 def spec_errors(s, capability: Column) -> Column:
