@@ -315,7 +315,8 @@ def pack_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(c("l_returnflag") == "A", "").otherwise(c("l_shipdate").cast("string")).alias("sha256"), provided.alias("providers"),
         F.when(c("l_linestatus") == "O", c("l_quantity").cast("long") + (c("l_linenumber") == 1).cast("int")).alias("actual_size"), F.when(c("l_tax") < 0.06, c("l_shipdate").cast("string")).otherwise("x").alias("actual_sha"),
     )
-    faults = packs.pack_errors(F.col, packs.safe_member(c("filename")), c("actual_size"), c("actual_sha"))
+    files = files.withColumn("root_safe", packs.safe_member(c("filename")))  # once a row, not once a test
+    faults = packs.pack_errors(F.col, c("root_safe"), c("actual_size"), c("actual_sha"))
     return files.select(F.explode(faults).alias("fault")).groupBy("fault").agg(F.count("*").alias("files"))
 
 
@@ -429,11 +430,22 @@ def perceptual_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enhanced_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole pipeline over 8 x 8 colour rasters; pixels come back as a digest."""
-    from rasterflow.plans.enhance import enhance
-
-    df = enhance(rasters.colour_rasters(spark, sf_dir), 8, 8)
-    return df.select("photo_id", "plan_name", "ordinal", "n_steps", R("before", 3), R("after", 3), "quality_accepted", "safe", "review_needed", F.sha2("data", 256).alias("data_sha256"))
+    """The whole pipeline over 8 x 8 colour rasters, with faces by id, the profiles that fit and a horizon; pixels come back as a digest."""
+    from rasterflow.plans import enhance as plan
+
+    r = rasters.colour_rasters(spark, sf_dir)
+    key = F.col("photo_id")
+    box = F.struct((key % 3).cast("int").alias("x"), (key % 2).cast("int").alias("y"), F.lit(4).alias("w"), F.lit(5).alias("h"))
+    df = plan.seen(r, 8, 8).withColumns({
+        "faces": F.when(key % 4 == 0, F.array(box)).otherwise(F.array().cast(plan.FACES)),
+        "horizon_angle": (key % 25 - 12).cast("double"), "upscale": F.when(key % 10 == 9, "2x").otherwise("none"),
+    })
+    settings = F.create_map(F.lit("denoise"), F.lit("0.4"), F.lit("shadow_recovery"), F.lit("0.5"), F.lit("detail_recovery"), F.lit("0.3"), F.lit("colour"), F.lit("0.2"))
+    profiles = spark.createDataFrame(PROFILES, "profile_order int, pack_id string, pack_type string, scene_hints array<string>, depends_on array<string>").withColumn("settings", settings)
+    judged = plan.with_profiles(plan.judged(df), profiles, F.array(F.lit("auto-restoration-core"), F.lit("auto-heritage")))
+    done = plan.finished(judged, "Professional")
+    kept = F.concat_ws(",", F.transform(F.filter("steps", lambda s: s.applied), lambda s: s.step)).alias("applied")
+    return done.select("photo_id", "plan_name", "ordinal", "n_steps", R("before", 3), R("after", 3), "quality_accepted", "safe", "review_needed", "faces_protected", "height", "width", kept, F.sha2("data", 256).alias("data_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -71,10 +71,11 @@ def test_requested_capabilities(spark, over, want):
 def test_planned_and_executed_thresholds_differ(spark):
     df = inspection(spark, compression=10.0, blur=170.0)
     assert df.select(rules.plan_stages(F.col).alias("s")).first().s == ["professional colour and lighting", "quality validation with retry"]
-    from rasterflow.plans.enhance import steps_of
+    from rasterflow.plans.enhance import strategy_steps
 
-    named = df.withColumnsRenamed({"compression": "compression_axes", "dark": "dark_35", "highlight": "light_248"})
-    assert [x.split(":")[0] for x in named.select(steps_of(F.lit("balanced")).alias("s")).first().s] == ["repair_compression", "recover_detail", "recover_lighting", "finish"]
+    r = df.first()
+    steps = strategy_steps(1, r.is_screenshot, r.compression, r.is_monochrome, r.noise, r.blur, r.dark, r.highlight)
+    assert [name for name, _ in steps] == ["repair_compression", "detail", "recover_lighting", "finish"]
 
 
 def test_plan_routing(spark):
