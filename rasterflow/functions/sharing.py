@@ -14,7 +14,7 @@ def shared_folder(spark: SparkSession) -> str:
     set_already = sc._jsc.sc().getCheckpointDir()
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or (set_already.get() if set_already.isDefined() else None)
     if not found:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        if not re.match(r"local(\[.*\])?$", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     if not set_already.isDefined():
