@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,3 +26,12 @@ def shared_folder(spark: SparkSession) -> str:
 def checkpoint(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Adds name, 1, 2, ... by order: counts of range partitions are summed up, so no task holds all rows."""
+    ordered = checkpoint(df.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+    sizes = ordered.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(order))
+    return ordered.join(F.broadcast(before), "part").withColumn(name, place + F.col("before")).drop("part", "before")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterflow.functions import pixels as P
-from rasterflow.functions.sharing import checkpoint
+from rasterflow.functions.sharing import checkpoint, numbered
+from rasterflow.sources import rasters
 
 #: Differing bits up to which two signatures count as near duplicates.
 NEAR = 7
@@ -136,16 +137,7 @@ def groups(files: DataFrame, near: int = NEAR) -> DataFrame:
     members = checkpoint(walked.unionByName(repeated))
     several = members.groupBy("created").agg(F.count("*").alias("members")).where("members > 1")
     place = F.row_number().over(Window.partitionBy("created").orderBy("late", "ord")) - 1
-    return members.join(several.select("created"), "created").withColumn("position", place).join(_numbered(several), "created").select("group", "position", "ord", "leader")
-
-
-def _numbered(several: DataFrame) -> DataFrame:
-    """1, 2, ... in order of creation: counts of range partitions are summed up, so no task holds all groups."""
-    ordered = checkpoint(several.select("created").repartitionByRange("created").withColumn("part", F.spark_partition_id()))
-    sizes = ordered.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("created"))
-    return ordered.join(F.broadcast(before), "part").select("created", (place + F.col("before")).alias("group"))
+    return members.join(several.select("created"), "created").withColumn("position", place).join(numbered(several.select("created"), "created", "group"), "created").select("group", "position", "ord", "leader")
 
 
 def best_of_group(members: DataFrame, scores: DataFrame) -> DataFrame:
@@ -155,6 +147,16 @@ def best_of_group(members: DataFrame, scores: DataFrame) -> DataFrame:
     return scored.withColumn("is_best", place == 1)
 
 
+def group_outputs(members: DataFrame) -> DataFrame:
+    """Adds copy, where a member (group, path, is_best) goes for review, and best_copy, where the best one's enhanced file goes (null for others)."""
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    ending = F.regexp_extract(name, r"(\.[^.]*)$", 1)
+    folder = F.concat(F.lit("Duplicate Review/Group "), F.when(F.col("group") < 1000, F.lpad(F.col("group").cast("string"), 3, "0")).otherwise(F.col("group").cast("string")), F.lit("/"))
+    copy = F.concat(folder, rasters.stem(F.col("path")), F.when(F.col("is_best"), "_BEST").otherwise(""), ending)
+    enhanced = F.regexp_extract(rasters.output_path(F.col("path")), r"([^/]*)$", 1)
+    return members.withColumns({"copy": copy, "best_copy": F.when(F.col("is_best"), F.concat(F.lit("Best Photos/"), enhanced))})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least member) of the nodes of edges (a, b): least labels spread along edges and are followed until nothing changes."""
     both = checkpoint(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())

@@ -120,6 +120,46 @@ def choose(matched: DataFrame, key: str, installed: Column, limit: int = 2) -> D
     return ready.withColumn("outcome", F.when(F.size("missing") > 0, "missing dependency").when(place <= limit, "applied").otherwise("limit reached"))
 
 
+def step_messages(chosen: DataFrame, key: str) -> DataFrame:
+    """key, place (from 0), step and message: a photo's applied profiles beside its messages by position.
+
+    Messages of profiles that were passed over count as well, so a step may stand beside another one's message. A photo
+    has at most one row per profile, so its lists are short."""
+    name = F.col("pack_id")
+    # fixed values: the messages' words
+    message = F.when(F.size("missing") > 0, F.concat(F.lit("Skipped "), name, F.lit(": install "), F.concat_ws(", ", "missing"), F.lit(" first"))).when(F.col("outcome") == "applied", F.concat(F.lit("Applied installed profile: "), name)).otherwise(F.concat(F.lit("Skipped "), name, F.lit(": safe profile stacking limit reached")))
+    row = F.struct((F.col("pack_type") != "hybrid-core").alias("late"), "profile_order", "pack_id", (F.col("outcome") == "applied").alias("applied"), message.alias("message"))
+    told = chosen.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("told"))
+    applied = F.filter("told", lambda t: t["applied"])
+    pairs = F.transform(applied, lambda t, k: F.struct(F.concat(F.lit("profile:"), t["pack_id"]).alias("step"), F.get(F.col("told"), k)["message"].alias("message")))
+    return told.select(key, F.posexplode(pairs).alias("at", "pair")).select(key, F.col("at").cast("long").alias("place"), "pair.step", "pair.message")
+
+
+def capability_map(found: DataFrame) -> DataFrame:
+    """One row with models, a map of capability to filename for those that have one; found: a row for each of the nine names."""
+    return found.where(F.col("filename").isNotNull()).agg(F.map_from_entries(F.collect_list(F.struct("capability", "filename"))).alias("models"))
+
+
+def installed(manifests: DataFrame, errors: DataFrame, pack_id: str) -> DataFrame:
+    """The pack of this id with valid, or no row if it isn't there; an unreadable manifest is invalid. errors: pack_validity."""
+    one = manifests.where(F.col("directory") == pack_id)
+    return one.join(errors.select("pack_id", F.col("valid").alias("files_valid")), "pack_id", "left").withColumn("valid", ~F.col("corrupt") & F.coalesce("files_valid", F.lit(True))).drop("files_valid")
+
+
+def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """A row per pack of a catalogue file, in its order."""
+    pack = "pack_id: string, name: string, version: string, status: string, description: string, capabilities: array<string>, neural_capabilities: array<string>, profile_capabilities: array<string>, release_tag: string"
+    raw = spark.read.option("multiLine", "true").schema(f"schema_version int, catalog_version string, packs array<struct<{pack}>>").json(path)
+    return raw.select("catalog_version", F.posexplode("packs").alias("pack_order", "p")).select("catalog_version", "pack_order", "p.*")
+
+
+def read_templates(spark: SparkSession, path: str) -> DataFrame:
+    """A row per pack of a file of profile templates; settings as texts."""
+    template = "name: string, description: string, scene_hints: array<string>, capabilities: array<string>, depends_on: array<string>, settings: map<string, string>"
+    raw = spark.read.option("multiLine", "true").schema(f"schema_version int, profile_version string, packs map<string, struct<{template}>>").json(path)
+    return raw.select("profile_version", F.explode("packs").alias("pack_id", "t")).select("profile_version", "pack_id", "t.*")
+
+
 def spec(json_text: Column) -> Column:
     """A model specification with defaults and clamps: lower-cased names, tile 64 or more, overlap 0 or more, blend 0 .. 1."""
     kinds = "layout string, colour_order string, input_range string, output_range string, input_name string, output_name string, tile_size int, overlap int, preserve_size boolean, blend_strength double"
@@ -137,10 +177,10 @@ def _spec_fields(raw: Column) -> Column:
 
 
 def spec_by_priority(sidecar: Column, plain: Column, own_catalogue: Column, parent_catalogue: Column, capability: Column) -> Column:
-    """The specification's text: sidecar, plain file, then the first catalogue, even if it lacks the capability; what isn't JSON is passed over."""
+    """The specification's text: sidecar, plain file, then the first catalogue, even if it lacks the capability; what isn't a JSON object is passed over."""
     read = lambda c: F.from_json(c, "map<string, string>")
     valid = lambda c: F.when(read(c).isNotNull(), c)
-    entry = lambda c: F.when(read(c).isNotNull(), F.coalesce(F.try_element_at(read(c), capability), F.lit("{}")))
+    entry = lambda c: F.when(F.map_contains_key(read(c), capability), valid(F.try_element_at(read(c), capability))).when(read(c).isNotNull(), "{}")
     return F.coalesce(valid(sidecar), valid(plain), entry(own_catalogue), entry(parent_catalogue), F.lit("{}"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterflow.sources import rasters
+
 #: Columns of the report, in order.
 COLUMNS = ["filename", "quality_score", "scene", "blur_score", "brightness", "dark_fraction", "clipped_highlights", "contrast", "noise_score", "face_count", "horizon_angle", "review_reason"]
 
@@ -49,3 +51,20 @@ def counters(results: DataFrame) -> DataFrame:
 def split_errors(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, dead letters) of an outcome column error."""
     return results.where(F.col("error").isNull()).drop("error"), results.where(F.col("error").isNotNull())
+
+
+def error_files(failed: DataFrame) -> DataFrame:
+    """Adds error_file, the file below the output folder that takes a failed photo's message; path: the source."""
+    return failed.withColumn("error_file", F.concat(F.lit("Review Needed/"), rasters.stem(F.col("path")), F.lit("_ERROR.txt")))
+
+
+def review_files(photos: DataFrame) -> DataFrame:
+    """Adds review_file, details_file and details of photos for review (path, image_type, plan_name, problems, stages)."""
+    base = F.concat(F.lit("Review Needed/"), rasters.stem(F.col("path")), F.lit("_enhanced"))
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    # fixed values: the words before each part
+    lines = F.array_compact(F.array(
+        F.concat(F.lit("["), name, F.lit("]")), F.concat(F.lit("Detected: "), "image_type"), F.concat(F.lit("Pipeline: "), "plan_name"),
+        F.when(F.size("problems") > 0, F.concat(F.lit("Problems: "), F.concat_ws(", ", "problems"))), F.concat(F.lit("Stages: "), F.concat_ws(" \u2192 ", "stages")),
+    ))
+    return photos.withColumns({"review_file": F.concat(base, F.lit(".jpg")), "details_file": F.concat(base, F.lit(".txt")), "details": F.array_join(lines, "\n")})

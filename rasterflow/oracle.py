@@ -14,14 +14,15 @@ PLAIN = f"plain AS (SELECT vec_id AS photo_id, [{_BASE}::INTEGER FOR v IN embedd
 
 def tiled(side: int) -> str:
     n, edge = side * side, 8 * side
-    place = f"tiles[(i // {edge}) // 8 * {side} + (i % {edge}) // 8 + 1][(i // {edge}) % 8 * 8 + (i % {edge}) % 8 + 1]"
-    return f"{PLAIN}, tiled AS (SELECT photo_id, [{place} FOR i IN range({edge * edge})] AS px FROM (SELECT photo_id // {n} AS photo_id, list(px ORDER BY photo_id) AS tiles FROM plain GROUP BY 1) WHERE len(tiles) = {n})"
+    place = f"tiles[((i // {edge}) // 8 * {side} + (i % {edge}) // 8) % len(tiles) + 1][(i // {edge}) % 8 * 8 + (i % {edge}) % 8 + 1]"
+    return f"{PLAIN}, tiled AS (SELECT photo_id, [{place} FOR i IN range({edge * edge})] AS px FROM (SELECT photo_id // {n} AS photo_id, list(px ORDER BY photo_id) AS tiles FROM plain GROUP BY 1))"
 
 
 COLOUR = (
     PLAIN
     + ", three AS (SELECT photo_id // 3 AS photo_id, max(CASE WHEN photo_id % 3 = 0 THEN px END) AS b, max(CASE WHEN photo_id % 3 = 1 THEN px END) AS g, max(CASE WHEN photo_id % 3 = 2 THEN px END) AS r FROM plain GROUP BY 1)"
-    + ", colour AS (SELECT photo_id, CASE WHEN photo_id % 3 = 0 THEN [(b[i] + 15 * g[i]) // 16 FOR i IN range(1, 65)] ELSE b END AS b, g, CASE WHEN photo_id % 3 = 0 THEN [(r[i] + 15 * g[i]) // 16 FOR i IN range(1, 65)] ELSE r END AS r FROM three WHERE b IS NOT NULL AND g IS NOT NULL AND r IS NOT NULL)"
+    + ", filled AS (SELECT photo_id, coalesce(b, g, r) AS b, coalesce(g, b, r) AS g, coalesce(r, g, b) AS r FROM three)"
+    + ", colour AS (SELECT photo_id, CASE WHEN photo_id % 3 = 0 THEN [(b[i] + 15 * g[i]) // 16 FOR i IN range(1, 65)] ELSE b END AS b, g, CASE WHEN photo_id % 3 = 0 THEN [(r[i] + 15 * g[i]) // 16 FOR i IN range(1, 65)] ELSE r END AS r FROM filled)"
 )
 
 
@@ -119,7 +120,7 @@ ASKED = listed(
     ("is_screenshot OR compression_axes > 12", "jpeg_repair"), ("noise > 8.5", "denoise"), ("blur < 160", "deblur"), ("face_count > 0 AND (smallest_face < 0.025 OR blur < 220 OR is_screenshot)", "face_recovery"), ("face_count > 0", "face_protect"),
     ("dark_35 > 0.08", "lighting"), ("NOT is_monochrome", "colour"), ("is_low_resolution OR is_screenshot", "super_resolution"),
 )
-PAIRS = f"{SMALL}, pairs AS (SELECT a.photo_id, a.px, CASE WHEN a.photo_id % 2 = 0 THEN [(15 * a.px[i] + b.px[i]) // 16 FOR i IN range(1, 65)] ELSE b.px END AS out_px FROM small a JOIN small b ON b.photo_id = a.photo_id + 1)"
+PAIRS = f"{SMALL}, pairs AS (SELECT a.photo_id, a.px, CASE WHEN b.px IS NULL THEN a.px WHEN a.photo_id % 2 = 0 THEN [(15 * a.px[i] + b.px[i]) // 16 FOR i IN range(1, 65)] ELSE b.px END AS out_px FROM small a LEFT JOIN small b ON b.photo_id = a.photo_id + 1)"
 
 
 def correlation(a: str, b: str, strict: bool) -> str:
@@ -203,8 +204,54 @@ def _flip_sum() -> str:
     return f"[(bits[p + 1] + {flips}) % 2 FOR p IN range(64)]"
 
 
+def _groups() -> str:
+    """members (grp, position, ord, leader): files walked one by one in order, with all groups so far in lists."""
+    flips = "sig"
+    for k in range(9):
+        flips = f"xor({flips}, CASE WHEN key % 10 > {k} THEN 1::UBIGINT << ((key * 7 + {k * 13}) % 64) ELSE 0::UBIGINT END)"
+    digits = lambda a, n: f"('0x' || substr(sha, {a}, {n}))::BIGINT"
+    new = "CASE WHEN f.first < f.ord OR coalesce(list_position([bit_count(xor(s, f.sig)) <= 7 FOR s IN w.sigs], true), 0) = 0 THEN len(w.sigs) + 1 ELSE list_position([bit_count(xor(s, f.sig)) <= 7 FOR s IN w.sigs], true) END"
+    return (
+        f"WITH RECURSIVE {SIGNATURES}, words AS (SELECT photo_id, list_sum([bits[k + 1]::UBIGINT * (1::UBIGINT << (63 - k)) FOR k IN range(64)])::UBIGINT AS sig FROM bits), "
+        f"docs AS (SELECT doc_id AS ord, sha256(coalesce(text, '')) AS sha FROM documents), keyed AS (SELECT ord, sha, {digits(1, 8)} % (SELECT count(*) FROM embeddings) AS photo_id, ({digits(9, 4)} % 1000)::INTEGER AS key FROM docs), "
+        f"files AS (SELECT ord, sha, {flips} AS sig, row_number() OVER (ORDER BY ord) AS i, min(ord) OVER (PARTITION BY sha) AS first FROM keyed JOIN words USING (photo_id)), "
+        f"w AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS ord, NULL::BIGINT AS first, 0::BIGINT AS g, []::UBIGINT[] AS sigs, []::BIGINT[] AS leaders UNION ALL "
+        f"SELECT i, ord, first, g, CASE WHEN g > len(sigs) THEN list_append(sigs, sig) ELSE sigs END, CASE WHEN g > len(leaders) THEN list_append(leaders, first) ELSE leaders END FROM (SELECT f.i, f.ord, f.first, f.sig, w.sigs, w.leaders, ({new})::BIGINT AS g FROM w JOIN files f ON f.i = w.i + 1)), "
+        f"walked AS (SELECT g, ord, 1 AS late, leaders[g] AS leader FROM w WHERE i > 0 AND ord = first UNION ALL SELECT g, unnest([first, ord]) AS ord, 0 AS late, first AS leader FROM w WHERE i > 0 AND ord > first), "
+        f"several AS (SELECT g, row_number() OVER (ORDER BY g) AS grp FROM walked GROUP BY g HAVING count(*) > 1), "
+        f"members AS (SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY late, ord) - 1 AS position, ord, leader FROM walked JOIN several USING (g)), "
+        f"judged AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, position) = 1 AS is_best FROM (SELECT members.*, coalesce(quality, 0) AS score FROM members LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) ON doc_id = ord))"
+    )
+
+
+def _told() -> str:
+    name, out = "pack_id", _OUTCOME
+    said = f"CASE WHEN len(missing) > 0 THEN 'Skipped ' || {name} || ': install ' || array_to_string(missing, ', ') || ' first' WHEN outcome = 'applied' THEN 'Applied installed profile: ' || {name} ELSE 'Skipped ' || {name} || ': safe profile stacking limit reached' END"
+    return (
+        f"{SCORED}, profiles(profile_order, pack_id, pack_type, hints, needs) AS (VALUES {_profiles()}), m AS (SELECT photo_id, profile_order, pack_id, pack_type, [q FOR q IN needs IF q NOT IN ('auto-restoration-core', 'auto-heritage')] AS missing FROM inspected JOIN profiles ON CASE WHEN len(hints) = 0 THEN pack_type = 'hybrid-core' ELSE len([q FOR q IN hints IF contains(lower({TYPE} || ' ' || {SCENE}), lower(q))]) > 0 END), "
+        f"o AS (SELECT *, {out} AS outcome FROM m), told AS (SELECT photo_id, {said} AS message, row_number() OVER (PARTITION BY photo_id ORDER BY pack_type <> 'hybrid-core', profile_order) - 1 AS place FROM o), "
+        "done AS (SELECT photo_id, pack_id, row_number() OVER (PARTITION BY photo_id ORDER BY pack_type <> 'hybrid-core', profile_order) - 1 AS place FROM o WHERE outcome = 'applied')"
+    )
+
+
+_MODELS = "[" + ", ".join(f"'{c}'" for c in packs.CAPABILITIES) + "]"
+_FIVE = f"{_MODELS}[1:5]"
+
+
 def oracle_sql() -> dict[str, str]:
+    groups = _groups()
     return {
+        "duplicate_groups": f'{groups} SELECT grp AS "group", position, ord, leader FROM members',
+        "best_of_group": f'{groups} SELECT grp AS "group", ord AS doc_id, score FROM judged WHERE is_best',
+        "duplicate_outputs": f"""{groups} SELECT grp AS "group", ord AS doc_id, 'Duplicate Review/Group ' || CASE WHEN grp < 1000 THEN lpad(grp::VARCHAR, 3, '0') ELSE grp::VARCHAR END || '/doc-' || ord || CASE WHEN is_best THEN '_BEST' ELSE '' END || '.jpg' AS copy, CASE WHEN is_best THEN 'Best Photos/doc-' || ord || '_enhanced.jpg' END AS best_copy FROM judged""",
+        "dead_letters": "SELECT vec_id AS photo_id, 'Review Needed/photo-' || vec_id || '_ERROR.txt' AS error_file, 'unreadable' AS error FROM embeddings WHERE vec_id % 29 = 0",
+        "review_copies": f"WITH {SCORED} SELECT photo_id, 'Review Needed/photo-' || photo_id || '_enhanced.jpg' AS review_file, 'Review Needed/photo-' || photo_id || '_enhanced.txt' AS details_file, '[photo-' || photo_id || '.jpg]' || chr(10) || 'Detected: ' || {TYPE} || chr(10) || 'Pipeline: ' || {ROUTED} || chr(10) || CASE WHEN len({PROBLEMS}) > 0 THEN 'Problems: ' || array_to_string({PROBLEMS}, ', ') || chr(10) ELSE '' END || 'Stages: ' || array_to_string({STAGES}, ' \u2192 ') AS details FROM inspected WHERE photo_id % 29 <> 0 AND {_needed()}",
+        "source_index": "SELECT page_id, path, row_number() OVER (ORDER BY path) AS place FROM (SELECT page_id, '/photos/' || regexp_replace(url, '^[a-z]+://', '') || '/im' || page_id || CASE page_id % 3 WHEN 0 THEN '.jpg' ELSE '.png' END AS path FROM pages WHERE page_id % 3 <> 2)",
+        "profile_messages": f"WITH {_told()} SELECT photo_id, place, 'profile:' || pack_id AS step, message FROM done JOIN told USING (photo_id, place)",
+        "pack_duplicates": "SELECT l_suppkey AS pack_id, p_brand AS capability, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2 HAVING count(*) > 1",
+        "installed_map": f"WITH c AS (SELECT unnest({_MODELS}) AS capability, unnest(range(9)) AS k), f AS (SELECT {_MODELS}[l_partkey % 5 + 1] AS capability, 'm-' || l_partkey || '.onnx' AS filename FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag <> 'R' QUALIFY row_number() OVER (PARTITION BY l_partkey % 5 ORDER BY l_suppkey, l_orderkey * 8 + l_linenumber, l_partkey::VARCHAR) = 1), m AS (SELECT capability, coalesce(f.filename, CASE WHEN n_nationkey IS NOT NULL THEN capability || CASE WHEN capability = 'super_resolution' THEN '_x2' ELSE '' END || '.onnx' END) AS filename FROM c LEFT JOIN f USING (capability) LEFT JOIN nation ON n_nationkey = k AND k <> 6 AND k <> 0) SELECT row_number() OVER (ORDER BY capability) - 1 AS place, capability, filename FROM m WHERE filename IS NOT NULL",
+        "capability_steps": f"WITH {SCORED}, a AS (SELECT photo_id, {ASKED} AS asked FROM inspected) SELECT photo_id, {joined(f'[z FOR z IN asked IF list_contains({_FIVE}, z)]', ',')} AS applied, {joined(f'[z FOR z IN asked IF NOT list_contains({_FIVE}, z)]', ',')} AS missing FROM a",
+        "spec_priority": "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 100 WHEN event_id % 5 = 0 THEN 200 WHEN event_id % 3 = 0 THEN 300 + event_id % 10 WHEN event_id % 11 = 2 THEN 256 WHEN event_id % 2 = 0 THEN 400 ELSE 256 END AS tile_size FROM events",
         "raster_tone": f"WITH {METRICS} SELECT photo_id, round(brightness, 6) AS brightness, round(contrast, 6) AS contrast, round(dark_35, 6) AS dark_35, round(dark_8, 6) AS dark_8, round(light_250, 6) AS light_250, round(light_248, 6) AS light_248, round(clipped_250, 6) AS clipped_250 FROM metrics",
         "raster_focus": f"WITH {METRICS} SELECT photo_id, round(blur, 4) AS blur, round(noise, 6) AS noise FROM metrics",
         "raster_blockiness": f"WITH {tiled(3)}, s AS (SELECT photo_id, {steps('px', 24, 24, False)} AS a, {steps('px', 24, 24, True)} AS d FROM tiled), e AS (SELECT *, [a[k + 1] FOR k IN range(552) IF k % 23 % 8 = 7] AS ab, [d[k + 1] FOR k IN range(552) IF k // 24 % 8 = 7] AS db FROM s) SELECT photo_id, round({clip(f'(({mean("ab")} / ({mean("a")} + 1e-6::DOUBLE) + {mean("db")} / ({mean("d")} + 1e-6::DOUBLE)) / 2 - 0.88::DOUBLE) * 120.0::DOUBLE', '0.0::DOUBLE', '100.0::DOUBLE')}, 6) AS compression_axes, round({clip(f'((({mean("ab")} + {mean("db")}) / 2) / (({mean("a")} + {mean("d")}) / 2 + 1e-6::DOUBLE) - 0.9::DOUBLE) * 115.0::DOUBLE', '0.0::DOUBLE', '100.0::DOUBLE')}, 6) AS compression_pooled FROM e",
@@ -231,7 +278,7 @@ def oracle_sql() -> dict[str, str]:
         "report_rows": f"WITH {SCORED}, {HORIZON} SELECT 'photo-' || lpad(photo_id::VARCHAR, 6, '0') || '.jpg' AS filename, analyser AS quality_score, {SCENE} AS scene, round(round_even(blur, 2), 1) AS blur_score, round(round_even(brightness, 2), 1) AS brightness, round(round_even(dark_35, 4), 3) AS dark_fraction, round(round_even(light_250, 4), 3) AS clipped_highlights, round(round_even(contrast, 2), 1) AS contrast, round(round_even(noise, 2), 1) AS noise_score, face_count, round(round_even(angle, 2), 1) AS horizon_angle, {joined(REASONS, ', ')} AS review_reason FROM inspected JOIN horizon ON vec_id = photo_id",
         "face_profiles": f"WITH {PROFILED} SELECT photo_id, k, round(area_ratio, 6) AS area_ratio, round(brightness, 6) AS brightness, round(contrast, 6) AS contrast, round(sharpness, 4) AS sharpness, level, CASE level WHEN 'Maximum' THEN 0.10::DOUBLE WHEN 'High' THEN 0.16::DOUBLE ELSE 0.24::DOUBLE END AS most_change FROM levelled",
         "face_summary": f"WITH {PROFILED}, s AS (SELECT photo_id, count(*) AS n, min(area_ratio) AS m, bool_or(level = 'Maximum') AS x FROM levelled GROUP BY 1) SELECT vec_id AS photo_id, coalesce(n, 0) AS face_count, round(coalesce(m, 0.0::DOUBLE), 6) AS smallest_face, coalesce(x, false) AS any_maximum FROM embeddings LEFT JOIN s ON photo_id = vec_id",
-        "face_similarity": f"WITH {FACES}, pairs AS (SELECT a.photo_id, CASE WHEN a.photo_id % 2 = 0 THEN [(15 * a.px[i] + b.px[i]) // 16 FOR i IN range(1, 65)] ELSE b.px END AS out_px FROM small a JOIN small b ON b.photo_id = a.photo_id + 1), p AS (SELECT boxes.photo_id, px, out_px, greatest(0, x - (greatest(w, h) * 0.12::DOUBLE)::INTEGER) AS x0, greatest(0, y - (greatest(w, h) * 0.12::DOUBLE)::INTEGER) AS y0, least(8, x + w) AS x1, least(8, y + h) AS y1 FROM boxes JOIN pairs USING (photo_id)), c AS (SELECT photo_id, [px[(y0 + i // (x1 - x0)) * 8 + x0 + i % (x1 - x0) + 1] FOR i IN range((x1 - x0) * (y1 - y0))] AS a, [out_px[(y0 + i // (x1 - x0)) * 8 + x0 + i % (x1 - x0) + 1] FOR i IN range((x1 - x0) * (y1 - y0))] AS b FROM p), s AS (SELECT photo_id, min({correlation('a', 'b', True)}) AS m, count(*) AS n FROM c GROUP BY 1) SELECT pairs.photo_id, round(coalesce(m, 1.0::DOUBLE), 6) AS identity, coalesce(n, 0) AS faces FROM pairs LEFT JOIN s USING (photo_id)",
+        "face_similarity": f"WITH {FACES}, pairs AS (SELECT a.photo_id, CASE WHEN b.px IS NULL THEN a.px WHEN a.photo_id % 2 = 0 THEN [(15 * a.px[i] + b.px[i]) // 16 FOR i IN range(1, 65)] ELSE b.px END AS out_px FROM small a LEFT JOIN small b ON b.photo_id = a.photo_id + 1), p AS (SELECT boxes.photo_id, px, out_px, greatest(0, x - (greatest(w, h) * 0.12::DOUBLE)::INTEGER) AS x0, greatest(0, y - (greatest(w, h) * 0.12::DOUBLE)::INTEGER) AS y0, least(8, x + w) AS x1, least(8, y + h) AS y1 FROM boxes JOIN pairs USING (photo_id)), c AS (SELECT photo_id, [px[(y0 + i // (x1 - x0)) * 8 + x0 + i % (x1 - x0) + 1] FOR i IN range((x1 - x0) * (y1 - y0))] AS a, [out_px[(y0 + i // (x1 - x0)) * 8 + x0 + i % (x1 - x0) + 1] FOR i IN range((x1 - x0) * (y1 - y0))] AS b FROM p), s AS (SELECT photo_id, min({correlation('a', 'b', True)}) AS m, count(*) AS n FROM c GROUP BY 1) SELECT pairs.photo_id, round(coalesce(m, 1.0::DOUBLE), 6) AS identity, coalesce(n, 0) AS faces FROM pairs LEFT JOIN s USING (photo_id)",
         "profile_outcomes": f"WITH {SCORED}, profiles(profile_order, pack_id, pack_type, hints, needs) AS (VALUES {_profiles()}), m AS (SELECT photo_id, profile_order, pack_id, pack_type, [q FOR q IN needs IF q NOT IN ('auto-restoration-core', 'auto-heritage')] AS missing FROM inspected JOIN profiles ON CASE WHEN len(hints) = 0 THEN pack_type = 'hybrid-core' ELSE len([q FOR q IN hints IF contains(lower({TYPE} || ' ' || {SCENE}), lower(q))]) > 0 END) SELECT photo_id, pack_id, {_OUTCOME} AS outcome, {joined('missing', ',')} AS missing FROM m",
         "capability_resolution": "WITH f AS (SELECT p_brand AS capability, l_suppkey AS supplier, l_orderkey * 8 + l_linenumber AS position, p_name AS filename FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal > 0 AND l_returnflag <> 'R'), c AS (SELECT DISTINCT p_brand AS capability FROM part) SELECT c.capability, supplier, filename FROM c LEFT JOIN (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY capability ORDER BY supplier, position, filename) = 1) USING (capability)",
         "manifest_validation": f"WITH f AS ({_PACK_FILES}), e AS (SELECT *, {_FAULT} AS error FROM f) SELECT pack_id, count(*) AS n_files, count(error) AS n_errors, arg_min(error, position) FILTER (error IS NOT NULL) AS first_error, count(error) = 0 AS valid FROM e GROUP BY 1",

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterflow.functions import pixels as P
+from rasterflow.functions.sharing import numbered
 from rasterflow.operators import candidates, dedupe, faces, measure, packs, reports, rules, tiles
 from rasterflow.sources import rasters
 from rasterflow.sources.rasters import table
@@ -148,8 +149,9 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     sigs = _signatures(spark, sf_dir)
     photos = sigs.agg(F.count("*").alias("n"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    keyed = docs.crossJoin(F.broadcast(photos)).withColumn("photo_id", F.pmod(F.xxhash64("sha"), F.col("n")))
-    return keyed.join(sigs, "photo_id").select("ord", "sha", _flipped(F.col("sig"), F.pmod(F.xxhash64("sha"), F.lit(1000))).alias("sig"))
+    digits = lambda a, n: F.conv(F.substring("sha", a, n), 16, 10).cast("long")
+    keyed = docs.crossJoin(F.broadcast(photos)).withColumn("photo_id", digits(1, 8) % F.col("n"))
+    return keyed.join(sigs, "photo_id").select("ord", "sha", _flipped(F.col("sig"), digits(9, 4) % 1000).alias("sig"))
 
 
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,11 +171,19 @@ def strategy_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("photo_id", "strategy", R("before", 3), R("after", 3), "accepted", R("improvement", 3))
 
 
+def duplicate_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each member of a duplicate group goes: the group's folder, the best one marked, its enhanced copy among the best photos."""
+    scores = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord"), F.col("quality").alias("score"))
+    members = dedupe.best_of_group(dedupe.groups(_files(spark, sf_dir)), scores)
+    paths = dedupe.group_outputs(members.withColumn("path", F.concat(F.lit("/photos/doc-"), F.col("ord").cast("string"), F.lit(".jpg"))))
+    return paths.select("group", F.col("ord").alias("doc_id"), "copy", "best_copy")
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each photo with its follower as a candidate; every other candidate is the photo itself, mixed with a little of the follower."""
+    """Each photo with its follower (the last with itself) as a candidate; every other candidate is the photo itself, mixed with a little of the follower."""
     r = rasters.small_rasters(spark, sf_dir)
     follower = r.select((F.col("photo_id") - 1).alias("photo_id"), F.col("px").alias("out_px"))
-    pairs = r.join(follower, "photo_id")
+    pairs = r.join(follower, "photo_id", "left").withColumn("out_px", F.coalesce("out_px", "px"))
     mixed = F.zip_with("px", "out_px", lambda a, b: F.floor((15 * a + b) / 16).cast("int"))
     return pairs.withColumn("out_px", F.when(F.col("photo_id") % 2 == 0, mixed).otherwise(F.col("out_px")))
 
@@ -232,6 +242,28 @@ def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({n: F.round(n, 1) for n in ("blur_score", "brightness", "contrast", "noise_score", "horizon_angle")} | {n: F.round(n, 3) for n in ("dark_fraction", "clipped_highlights")})
 
 
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos that failed, with the file that takes the message."""
+    path = F.concat(F.lit("/photos/photo-"), F.col("photo_id").cast("string"), F.lit(".jpg"))
+    return reports.error_files(reports.split_errors(_review(spark, sf_dir).withColumn("path", path))[1]).select("photo_id", "error_file", "error")
+
+
+def review_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos for review: their copies and the texts beside them."""
+    path = F.concat(F.lit("/photos/photo-"), F.col("photo_id").cast("string"), F.lit(".jpg"))
+    done = reports.split_errors(_review(spark, sf_dir).withColumn("path", path))[0].where("review_needed")
+    told = done.withColumns({"image_type": rules.image_type(_i), "plan_name": rules.plan_name(_i, F.lit("Auto Detect")), "problems": rules.problems(_i), "stages": rules.plan_stages(_i)})
+    return reports.review_files(told).select("photo_id", "review_file", "details_file", "details")
+
+
+def source_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as photographs in path order, numbered from 1."""
+    kinds = F.array(*map(F.lit, [".jpg", ".png", ".txt"]))
+    path = F.concat(F.lit("/photos/"), F.regexp_replace("url", r"^[a-z]+://", ""), F.lit("/im"), F.col("page_id").cast("string"), F.get(kinds, (F.col("page_id") % 3).cast("int")))
+    files = table(spark, sf_dir, "pages").select("page_id", path.alias("path")).where(rasters.supported(F.col("path")))
+    return numbered(files, "path", "place").select("page_id", "path", "place")
+
+
 def _faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """None to three boxes in each small raster, by its id."""
     r = rasters.small_rasters(spark, sf_dir)
@@ -280,6 +312,53 @@ def profile_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("photo_id", "pack_id", "outcome", F.concat_ws(",", "missing").alias("missing"))
 
 
+def profile_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The applied profiles of each photo beside its messages, paired by position."""
+    c = F.col
+    photos = _scored(spark, sf_dir).select("photo_id", rules.image_type(_i).alias("image_type"), rules.scene(c("face_count"), c("brightness"), F.lit(100.0), c("width"), c("height")).alias("scene"))
+    profiles = spark.createDataFrame(PROFILES, "profile_order int, pack_id string, pack_type string, scene_hints array<string>, depends_on array<string>")
+    chosen = packs.choose(packs.match(photos, profiles), "photo_id", F.array(F.lit("auto-restoration-core"), F.lit("auto-heritage")))
+    return packs.step_messages(chosen, "photo_id").select("photo_id", "place", "step", "message")
+
+
+def pack_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capabilities (part brands) that a pack (supplier) names more than once."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("pack_id"), "l_partkey")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("capability"))
+    return packs.duplicate_capabilities(lines.join(parts, "l_partkey"))
+
+
+def installed_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model of each of the nine capabilities, by name: a pack's for the first five, else the file outside packs that a nation stands for."""
+    names = F.array(*map(F.lit, packs.CAPABILITIES))
+    lines = table(spark, sf_dir, "lineitem")
+    files = lines.select(F.get(names, (F.col("l_partkey") % 5).cast("int")).alias("capability"), F.col("l_suppkey").alias("pack_order"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("position"),
+                         F.concat(F.lit("m-"), F.col("l_partkey").cast("string"), F.lit(".onnx")).alias("filename"), (F.col("l_linestatus") == "O").alias("valid"), (F.col("l_returnflag") != "R").alias("there"))
+    outside = table(spark, sf_dir, "nation").where("n_nationkey < 9 and n_nationkey <> 6").select(F.concat(F.get(names, F.col("n_nationkey").cast("int")), F.lit(".onnx")).alias("filename"))
+    every = spark.createDataFrame([(n,) for n in packs.CAPABILITIES], "capability string")
+    return packs.capability_map(packs.with_legacy(every, packs.resolve(files), outside)).select(F.posexplode(F.array_sort(F.map_entries("models"))).alias("place", "m")).select(F.col("place").cast("long").alias("place"), "m.key", "m.value").toDF("place", "capability", "filename")
+
+
+def capability_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capabilities asked for by photo: those that there is a model for (line items of the first five), and those missing."""
+    names = F.array(*map(F.lit, packs.CAPABILITIES))
+    have = table(spark, sf_dir, "lineitem").select(F.get(names, (F.col("l_partkey") % 5).cast("int")).alias("capability")).distinct()
+    asked = _scored(spark, sf_dir).select("photo_id", rules.requested_capabilities(_i).alias("requested"))
+    return packs.steps(asked, have).select("photo_id", F.concat_ws(",", "applied").alias("applied"), F.concat_ws(",", "missing").alias("missing"))
+
+
+def spec_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as models with files beside them, some broken: the tile size of the specification that counts."""
+    k = F.col("event_id")
+    own = lambda text: F.concat(F.lit('{"denoise": '), text, F.lit("}"))
+    sidecar = F.when(k % 7 == 0, '{"tile_size": 100}').when(k % 7 == 1, "{ broken").when(k % 7 == 2, "[1]")
+    plain = F.when(k % 5 == 0, '{"tile_size": 200}').when(k % 5 == 1, "nothing")
+    near = F.when(k % 3 == 0, own(F.concat(F.lit('{"tile_size": '), (300 + k % 10).cast("string"), F.lit("}")))).when(k % 11 == 1, own(F.lit("5"))).when(k % 11 == 2, '{"deblur": {}}')
+    far = F.when(k % 2 == 0, own(F.lit('{"tile_size": 400}')))
+    text = packs.spec_by_priority(sidecar, plain, near, far, F.lit("denoise"))
+    return table(spark, sf_dir, "events").select("event_id", packs.spec(text)["tile_size"].alias("tile_size"))
+
+
 def capability_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as packs in key order, their line items as files, part brands as capabilities: the first file of a valid pack."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("pack_order"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("position"), "l_partkey", (F.col("l_returnflag") != "R").alias("there"))
@@ -453,4 +532,5 @@ QUERIES = {f.__name__: f for f in (
     capability_request, capability_counts, exact_duplicates, signature_bits, near_pairs, duplicate_groups, best_of_group, strategy_accept, pair_correlation, post_validation, candidate_rank, review_flag,
     batch_counters, report_rows, face_profiles, face_summary, face_similarity, profile_outcomes, capability_resolution, manifest_validation, pack_lint, spec_parse, service_response, output_paths,
     mode_names, straighten_plan, screenshot_score, crop_rows, tile_grid, overlap_add, encode_decode, provider_choice, perceptual_hashes, enhanced_photos,
+    duplicate_outputs, dead_letters, review_copies, source_index, profile_messages, pack_duplicates, installed_map, capability_steps, spec_priority,
 )}

@@ -94,7 +94,8 @@ def colour_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """photo_id, b, g, r, px: an 8 x 8 colour raster of each three consecutive vectors (every third one faded)."""
     e = small_rasters(spark, sf_dir, shaped=False)
     three = e.groupBy(F.floor(F.col("photo_id") / 3).alias("photo_id")).agg(*[F.max(F.when(F.col("photo_id") % 3 == k, F.col("px"))).alias(c) for k, c in enumerate("bgr")])
-    whole = three.where("b is not null and g is not null and r is not null")
+    # channels that the last photo lacks are those it has
+    whole = three.select("photo_id", F.coalesce("b", "g", "r").alias("b"), F.coalesce("g", "b", "r").alias("g"), F.coalesce("r", "g", "b").alias("r"))
     # every third photo is faded: its channels are pulled to the green one
     pull = lambda c: F.when(F.col("photo_id") % 3 == 0, F.zip_with(F.col(c), F.col("g"), lambda x, y: F.floor((x + 15 * y) / 16).cast("int"))).otherwise(F.col(c))
     out = whole.select("photo_id", pull("b").alias("b"), F.col("g"), pull("r").alias("r"))
@@ -102,14 +103,14 @@ def colour_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tiled_rasters(spark: SparkSession, sf_dir: str, side: int = 3) -> DataFrame:
-    """photo_id, px: side x side vectors laid out as tiles of one raster of 8 * side pixels a side."""
+    """photo_id, px: side x side vectors laid out as tiles of one raster of 8 * side pixels a side; the last one repeats its tiles."""
     e, n = small_rasters(spark, sf_dir, shaped=False), side * side
     edge = 8 * side
-    tiles = e.groupBy(F.floor(F.col("photo_id") / n).alias("photo_id")).agg(F.sort_array(F.collect_list(F.struct((F.col("photo_id") % n).alias("k"), "px"))).alias("tiles")).where(F.size("tiles") == n)
+    tiles = e.groupBy(F.floor(F.col("photo_id") / n).alias("photo_id")).agg(F.sort_array(F.collect_list(F.struct((F.col("photo_id") % n).alias("k"), "px"))).alias("tiles"))
 
     def pixel(i):
         row, column = (i / edge).cast("int"), i % edge
-        tile = F.get(F.col("tiles"), (row / 8).cast("int") * side + (column / 8).cast("int"))
+        tile = F.get(F.col("tiles"), ((row / 8).cast("int") * side + (column / 8).cast("int")) % F.size("tiles"))
         return F.get(tile["px"], row % 8 * 8 + column % 8)
 
     return tiles.select("photo_id", F.transform(F.sequence(F.lit(0), F.lit(edge * edge - 1)), pixel).alias("px"))
