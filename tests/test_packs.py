@@ -80,3 +80,26 @@ def test_paths_and_report(spark, tmp_path):
     assert reports.write_single(report.limit(0), str(tmp_path / "none.csv")) == 0 and not (tmp_path / "none.csv").exists()
     batch = spark.createDataFrame([(True, None), (False, "x"), (False, None)], "review_needed boolean, error string")
     assert tuple(reports.counters(batch).first()) == (2, 2, 1)
+
+
+def test_catalogue_templates_and_one_pack(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"schema_version": 1, "catalog_version": "2", "packs": [{"pack_id": "a", "name": "A", "capabilities": ["denoise"]}, {"pack_id": "b", "name": "B"}]}))
+    assert [(r.pack_order, r.pack_id, r.capabilities) for r in packs.read_catalogue(spark, str(tmp_path / "c.json")).orderBy("pack_order").collect()] == [(0, "a", ["denoise"]), (1, "b", None)]
+    (tmp_path / "t.json").write_text(json.dumps({"profile_version": "1", "packs": {"a": {"name": "A", "scene_hints": ["Low"], "settings": {"denoise": 0.5, "lock": True}}}}))
+    one = packs.read_templates(spark, str(tmp_path / "t.json")).first()
+    assert (one.pack_id, one.scene_hints, one.settings) == ("a", ["Low"], {"denoise": "0.5", "lock": "true"})
+    own = tmp_path / "packs"
+    own.mkdir()
+    put(own, "a", "manifest.json", {"pack_id": "a", "name": "A", "version": "1"})
+    put(own, "b", "manifest.json", "{ broken")
+    found = packs.read_manifests(spark, str(own))
+    errors = spark.createDataFrame([("a", True)], "pack_id string, valid boolean")
+    assert [r.valid for n in ("a", "b", "gone") for r in packs.installed(found, errors, n).collect()] == [True, False]
+
+
+def test_specification_that_is_no_object_is_passed_over(spark):
+    none = F.lit(None).cast("string")
+    pick = packs.spec_by_priority(F.lit("[1]"), F.lit("{ broken"), F.lit('{"denoise": 5}'), F.lit('{"denoise": {"overlap": 9}}'), F.lit("denoise"))
+    last = packs.spec_by_priority(none, none, F.lit("broken"), none, F.lit("denoise"))
+    row = spark.range(1).select(packs.spec(pick)["overlap"].alias("a"), packs.spec(last)["overlap"].alias("b")).first()
+    assert (row.a, row.b) == (9, 32)
