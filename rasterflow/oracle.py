@@ -245,7 +245,6 @@ def oracle_sql() -> dict[str, str]:
         "best_of_group": f'{groups} SELECT grp AS "group", ord AS doc_id, score FROM judged WHERE is_best',
         "duplicate_outputs": f"""{groups} SELECT grp AS "group", ord AS doc_id, 'Duplicate Review/Group ' || CASE WHEN grp < 1000 THEN lpad(grp::VARCHAR, 3, '0') ELSE grp::VARCHAR END || '/doc-' || ord || CASE WHEN is_best THEN '_BEST' ELSE '' END || '.jpg' AS copy, CASE WHEN is_best THEN 'Best Photos/doc-' || ord || '_enhanced.jpg' END AS best_copy FROM judged""",
         "dead_letters": "SELECT vec_id AS photo_id, 'Review Needed/photo-' || vec_id || '_ERROR.txt' AS error_file, 'unreadable' AS error FROM embeddings WHERE vec_id % 29 = 0",
-        "review_copies": f"WITH {SCORED} SELECT photo_id, 'Review Needed/photo-' || photo_id || '_enhanced.jpg' AS review_file, 'Review Needed/photo-' || photo_id || '_enhanced.txt' AS details_file, '[photo-' || photo_id || '.jpg]' || chr(10) || 'Detected: ' || {TYPE} || chr(10) || 'Pipeline: ' || {ROUTED} || chr(10) || CASE WHEN len({PROBLEMS}) > 0 THEN 'Problems: ' || array_to_string({PROBLEMS}, ', ') || chr(10) ELSE '' END || 'Stages: ' || array_to_string({STAGES}, ' \u2192 ') AS details FROM inspected WHERE photo_id % 29 <> 0 AND {_needed()}",
         "source_index": "SELECT page_id, path, row_number() OVER (ORDER BY path) AS place FROM (SELECT page_id, '/photos/' || regexp_replace(url, '^[a-z]+://', '') || '/im' || page_id || CASE page_id % 3 WHEN 0 THEN '.jpg' ELSE '.png' END AS path FROM pages WHERE page_id % 3 <> 2)",
         "profile_messages": f"WITH {_told()} SELECT photo_id, place, 'profile:' || pack_id AS step, message FROM done JOIN told USING (photo_id, place)",
         "pack_duplicates": "SELECT l_suppkey AS pack_id, p_brand AS capability, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2 HAVING count(*) > 1",

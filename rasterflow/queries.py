@@ -532,5 +532,5 @@ QUERIES = {f.__name__: f for f in (
     capability_request, capability_counts, exact_duplicates, signature_bits, near_pairs, duplicate_groups, best_of_group, strategy_accept, pair_correlation, post_validation, candidate_rank, review_flag,
     batch_counters, report_rows, face_profiles, face_summary, face_similarity, profile_outcomes, capability_resolution, manifest_validation, pack_lint, spec_parse, service_response, output_paths,
     mode_names, straighten_plan, screenshot_score, crop_rows, tile_grid, overlap_add, encode_decode, provider_choice, perceptual_hashes, enhanced_photos,
-    duplicate_outputs, dead_letters, review_copies, source_index, profile_messages, pack_duplicates, installed_map, capability_steps, spec_priority,
+    duplicate_outputs, dead_letters, source_index, profile_messages, pack_duplicates, installed_map, capability_steps, spec_priority,
 )}
