@@ -7,6 +7,7 @@ from .decontamination import op1_decontamination
 from .language import op9_language_id
 from .media import op3_gif_media
 from .near_dedup import op4_near_dedup
+from .prefix_trie import op11_prefix_trie
 from .sql import ORACLE_SQL
 from .suffix_dedup import op7_suffix_dedup
 from .token_counts import op8_token_counts
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_bpe": op10_bpe,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

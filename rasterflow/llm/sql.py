@@ -53,4 +53,19 @@ kept AS (SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_re
 SELECT doc_id, n_bytes, n_removed, n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept
 """
 
-ORACLE_SQL = {"op1_decontamination": _CONTAMINATION, "op4_near_dedup": _NEAR, "op6_warc": _WARC, "op7_suffix_dedup": _REPEATS}
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split({}, '')])), lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"
+_TRIE = rf"""
+WITH r AS (SELECT conv_id, turn, role, text, sha256(strlen(role)::VARCHAR || ':' || role || text) AS x FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+t AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, x) AS own, ({_CRC.format("conv_id::VARCHAR")} % 4)::BIGINT AS h FROM r GROUP BY 1),
+b AS (SELECT t.conv_id, list_concat(CASE WHEN d.own IS NULL THEN t.own[1:0] ELSE d.own[1:t.h] END, t.own[t.h + 1:len(t.own)]) AS s FROM t LEFT JOIN t d ON d.conv_id = t.conv_id - t.conv_id % 20),
+m AS (SELECT conv_id, d, s[1:d] AS k, len(s) = d AS ends FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM b)),
+n AS MATERIALIZED (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '') AS ids FROM m GROUP BY k, d),
+kids AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+own AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(n.k[n.d].text, '[^\x20\x09-\x0D]+')) END AS saved FROM n LEFT JOIN kids ON kids.d = n.d AND kids.k = n.k),
+up AS (SELECT k[1:a] AS k, a AS d, n_children, saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM own)),
+below AS (SELECT k, d, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY 1, 2)
+SELECT own.conv_id, own.d AS depth, p.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens, sha256(own.ids) AS ends_sha256
+FROM own JOIN below ON below.d = own.d AND below.k = own.k LEFT JOIN n p ON p.d = own.d - 1 AND p.k = own.k[1:own.d - 1]
+"""
+
+ORACLE_SQL = {"op1_decontamination": _CONTAMINATION, "op4_near_dedup": _NEAR, "op6_warc": _WARC, "op7_suffix_dedup": _REPEATS, "op11_prefix_trie": _TRIE}
