@@ -8,6 +8,7 @@ from .language import op9_language_id
 from .media import op3_gif_media
 from .near_dedup import op4_near_dedup
 from .prefix_trie import op11_prefix_trie
+from .spelling import op13_spelling_variants
 from .sql import ORACLE_SQL
 from .suffix_dedup import op7_suffix_dedup
 from .token_counts import op8_token_counts
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_bpe": op10_bpe,
     "op11_prefix_trie": op11_prefix_trie,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

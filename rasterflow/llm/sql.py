@@ -53,7 +53,7 @@ kept AS (SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_re
 SELECT doc_id, n_bytes, n_removed, n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept
 """
 
-_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split({}, '')])), lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten([[('0x' || substr(hex(encode({0})), 2 * k + 1, 2))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR k IN range(strlen({0}))])), lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"
 _TRIE = rf"""
 WITH r AS (SELECT conv_id, turn, role, text, sha256(strlen(role)::VARCHAR || ':' || role || text) AS x FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
 t AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, x) AS own, ({_CRC.format("conv_id::VARCHAR")} % 4)::BIGINT AS h FROM r GROUP BY 1),
@@ -68,4 +68,24 @@ SELECT own.conv_id, own.d AS depth, p.conv_id AS parent_conv_id, own.n_convs, ow
 FROM own JOIN below ON below.d = own.d AND below.k = own.k LEFT JOIN n p ON p.d = own.d - 1 AND p.k = own.k[1:own.d - 1]
 """
 
-ORACLE_SQL = {"op1_decontamination": _CONTAMINATION, "op4_near_dedup": _NEAR, "op6_warc": _WARC, "op7_suffix_dedup": _REPEATS, "op11_prefix_trie": _TRIE}
+_VARIANTS = rf"""
+WITH RECURSIVE r AS (SELECT id, run, count(*) AS times FROM (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY 1, 2),
+c AS (SELECT run, times, {_CRC.format("id || ':' || run")} AS h FROM r),
+w AS MATERIALIZED (SELECT word, sum(times)::BIGINT AS n FROM (SELECT times, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM c) WHERE length(word) >= 5 GROUP BY 1 HAVING sum(times) >= 3),
+cut AS MATERIALIZED (SELECT word, n, i, left(word, i) || '*' || substr(word, i + 2) AS hole, left(word, i) || substr(word, i + 2) AS less FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM w)),
+near AS MATERIALIZED (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT cut.word, w.word, w.n FROM cut JOIN w ON w.word = less UNION SELECT w.word, cut.word, cut.n FROM cut JOIN w ON w.word = less),
+best AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, encode(near)) AS k, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+forms AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n FROM w LEFT JOIN best ON best.word = w.word AND k = 1),
+way AS (SELECT word, word AS root, form AS next FROM forms UNION ALL SELECT way.word, way.next, forms.form FROM way JOIN forms ON forms.word = way.next)
+SELECT forms.word, forms.form, way.root, forms.n, n_near, form_n FROM forms JOIN way ON way.word = forms.word AND way.next IS NULL
+"""
+
+ORACLE_SQL = {
+    "op1_decontamination": _CONTAMINATION,
+    "op4_near_dedup": _NEAR,
+    "op6_warc": _WARC,
+    "op7_suffix_dedup": _REPEATS,
+    "op11_prefix_trie": _TRIE,
+    "op13_spelling_variants": _VARIANTS,
+}
