@@ -15,6 +15,7 @@ from .token_counts import op8_token_counts
 from .token_files import op2_token_files
 from .toxicity import op5_toxicity
 from .warc import op6_warc
+from .wrappers import op12_main_text
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_bpe": op10_bpe,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_main_text": op12_main_text,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
