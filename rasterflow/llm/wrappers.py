@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import fresh_dir, small_batches, table, tidy
 from .partitions import fixed_scan, side, write_side
 
-#: From so many pages on, a text slot that never changes is part of the template.
-TEMPLATE_PAGES = 8
+#: A slot that has no more than FIXED_TEXTS texts, each TEMPLATE_PAGES times on average, is part of the template.
+TEMPLATE_PAGES, FIXED_TEXTS = 8, 4
 #: Share of a slot group's letters within links from which it is a menu.
 LINK_SHARE = 0.8
 #: Partial wrappers of a host are merged in so many lots first.
@@ -138,12 +138,12 @@ def tokens(page: str):
 
 
 class Node:
-    """An element or text slot of a wrapper: n instances, their letters (also those in links), and the one text of a slot, if all are equal."""
+    """An element or text slot of a wrapper: n instances, their letters (also those in links), and a slot's texts (digests), None if they are many."""
 
     __slots__ = ("n", "chars", "links", "const", "groups", "where", "kids", "seen")
 
     def __init__(self):
-        self.n, self.chars, self.links, self.const = 0, 0, 0, ""
+        self.n, self.chars, self.links, self.const = 0, 0, 0, set()
         self.groups: list[list] = []  # [repeated, names], in order
         self.where: dict[str, int] = {}  # name to group
         self.kids: dict[str, Node] = {}
@@ -165,9 +165,13 @@ class Node:
             self.groups[first : last + 1] = [[repeated or any(g[0] for g in self.groups[first : last + 1]), [*names, *more]]]
             self._index(first)
 
+    def fixed(self, pages: int = 1) -> bool:
+        return self.const is not None and self.n >= pages * len(self.const) > 0
+
     def text(self, value: str, linked: bool) -> None:
-        known = hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()[:32]
-        self.const = known if self.const in ("", known) else "*"
+        if self.const is not None:
+            self.const.add(hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()[:32])
+            self.const = self.const if len(self.const) <= FIXED_TEXTS else None
         self.n += 1
         self.chars += len(value)
         self.links += len(value) if linked else 0
@@ -254,7 +258,8 @@ def merge(one: Node, other: Node) -> Node:
     while pairs:
         a, b = pairs.pop()
         a.n, a.chars, a.links = a.n + b.n, a.chars + b.chars, a.links + b.links
-        a.const = a.const if b.const in ("", a.const) else b.const if not a.const else "*"
+        both = None if a.const is None or b.const is None else a.const | b.const
+        a.const = None if both is None or len(both) > FIXED_TEXTS else both
         at = -1
         for repeated, names in b.groups:
             mine = [a.where[x] for x in names if x in a.where]
@@ -282,7 +287,7 @@ def dumps(root: Node) -> bytes:
     rows, todo = [], [(root, -1, "", 0)]
     while todo:
         node, up, name, seen = todo.pop()
-        rows.append([up, name, seen, node.n, node.chars, node.links, node.const, node.groups])
+        rows.append([up, name, seen, node.n, node.chars, node.links, None if node.const is None else sorted(node.const), node.groups])
         todo += [(kid, len(rows) - 1, key, node.seen[key]) for key, kid in node.kids.items()]
     return zlib.compress(json.dumps(rows, ensure_ascii=True).encode(), 1)
 
@@ -291,7 +296,7 @@ def loads(blob: bytes) -> Node:
     nodes = []
     for up, name, seen, n, chars, links, const, groups in json.loads(zlib.decompress(blob)):
         node = Node()
-        node.n, node.chars, node.links, node.const, node.groups = n, chars, links, const, groups
+        node.n, node.chars, node.links, node.const, node.groups = n, chars, links, None if const is None else set(const), groups
         node._index(0)
         if up >= 0:
             nodes[up].kids[name], nodes[up].seen[name] = node, seen
@@ -312,7 +317,7 @@ def expression(root: Node) -> str:
             inner = []
             for name in names:
                 kid, mark = step.kids[name], "?" if step.seen[name] < step.n else ""
-                inner += ['"#"' + mark if kid.const != "*" else "#" + mark] if name == "#" else [("(" if mark else "") + f"<{name}>", kid, f"</{name.split(' ')[0]}>" + (")?" if mark else "")]
+                inner += ['"#"' + mark if kid.fixed() else "#" + mark] if name == "#" else [("(" if mark else "") + f"<{name}>", kid, f"</{name.split(' ')[0]}>" + (")?" if mark else "")]
             parts += ["(", *inner, ")+"] if repeated else inner
         todo += parts[::-1]
     return "".join(out)
@@ -403,8 +408,7 @@ class Judge:
                 buffers[state[-1]].append(event[1])
                 if state[-1] == self.BODY and event[1].strip():
                     node = stack[-1][0]
-                    slot = node.kids["#"]
-                    constant.append((slot.const != "*" and slot.n >= TEMPLATE_PAGES) or (stack[-1][1] in ("li", "ul", "ol", "td", "div") and self.menu(node)))
+                    constant.append(node.kids["#"].fixed(TEMPLATE_PAGES) or (stack[-1][1] in ("li", "ul", "ol", "td", "div") and self.menu(node)))
         flush()
         return "\n".join(blocks[self.MAIN] or blocks[self.BODY] or fixed)
 
