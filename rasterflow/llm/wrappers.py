@@ -16,6 +16,7 @@ import html
 import json
 import re
 import zlib
+from collections import Counter
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -206,9 +207,11 @@ class Frame:
 
 def _events(page: str):
     """Tokens with end tags supplied: ("open", key, tag), ("close",), ("text", text, in a link), ("break",)."""
-    stack = []
+    stack, there = [], Counter()
 
     def position(names, bounds=()):
+        if not any(there[x] for x in names):
+            return -1
         for k in range(len(stack) - 1, -1, -1):
             if stack[k] in names:
                 return k
@@ -222,14 +225,15 @@ def _events(page: str):
             tag = token[1].split(" ", 1)[0]
             at = position(*_SIBLINGS[tag]) if tag in _SIBLINGS else position(("p",), ("td", "th", "li", "article", "section", "div")) if tag in _CLOSES_P else -1
             while 0 <= at < len(stack):
-                stack.pop()
+                there[stack.pop()] -= 1
                 yield ("close",)
             stack.append(tag)
+            there[tag] += 1
             yield "open", token[1], tag
         elif kind == ">":
             at = position((token[1],)) if token[1] not in ("html", "body") else -1
             while 0 <= at < len(stack):
-                stack.pop()
+                there[stack.pop()] -= 1
                 yield ("close",)
         else:
             yield token
