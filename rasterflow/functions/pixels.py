@@ -85,9 +85,14 @@ def _stencil(px: Column, height: int, width: int, weights: dict[tuple[int, int],
     return F.array(*[value(row, column) for row in range(height) for column in range(width)])
 
 
-def laplacian(px: Column, height: int, width: int) -> Column:
-    """Four-neighbour second differences."""
-    if height * width <= 256:
+def _unrolled(height, width) -> bool:
+    """Whether a raster's size is known beforehand and small."""
+    return isinstance(height, int) and isinstance(width, int) and height * width <= 256
+
+
+def laplacian(px: Column, height, width) -> Column:
+    """Four-neighbour second differences. Sizes are numbers or columns."""
+    if _unrolled(height, width):
         return _stencil(px, height, width, {(-1, 0): 1, (1, 0): 1, (0, -1): 1, (0, 1): 1, (0, 0): -4})
     at = lambda i, dy, dx: neighbour(px, i, dy, dx, height, width)
     return F.transform(_places(height, width), lambda i: at(i, -1, 0) + at(i, 1, 0) + at(i, 0, -1) + at(i, 0, 1) - 4 * F.get(px, i))
@@ -97,7 +102,7 @@ def smooth(px: Column, height: int, width: int) -> Column:
     """Binomial 3 x 3 average, rounded half up to whole levels."""
     weights = {(dy, dx): (1 + (dy == 0)) * (1 + (dx == 0)) for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
     level = lambda v: F.shiftright(v + 8, 4)
-    if height * width <= 256:
+    if _unrolled(height, width):
         return _stencil(px, height, width, weights, level)
     at = lambda i, dy, dx: neighbour(px, i, dy, dx, height, width)
     return F.transform(_places(height, width), lambda i: level(sum(w * at(i, dy, dx) for (dy, dx), w in weights.items())))
@@ -129,12 +134,13 @@ def clip(x: Column, low, high) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
-def blockiness_axes(px: Column, height: int, width: int) -> Column:
+def blockiness_axes(px: Column, height, width) -> Column:
     """Mean of the two axes' ratios of block-edge to all differences, above 0.88, scaled to 0 .. 100; 0 for rasters under 24."""
-    if min(height, width) < 24:
+    if isinstance(height, int) and isinstance(width, int) and min(height, width) < 24:
         return F.lit(0.0)
     ratio = lambda down: mean(block_steps(px, height, width, down)) / (mean(steps(px, height, width, down)) + 1e-6)
-    return clip(((ratio(False) + ratio(True)) / 2 - 0.88) * 120.0, 0.0, 100.0)
+    score = clip(((ratio(False) + ratio(True)) / 2 - 0.88) * 120.0, 0.0, 100.0)
+    return F.when(F.least(F.lit(height), F.lit(width)) < 24, F.lit(0.0)).otherwise(score)
 
 
 def blockiness_pooled(px: Column, height: int, width: int) -> Column:

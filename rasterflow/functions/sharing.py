@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to a table in the shared folder and read again. Unlike a checkpoint it takes its size from its files: in rounds
+    of joins an estimate carried on would be squared in each round, until the planner does nothing but multiply."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """Adds name, 1, 2, ... by order: counts of range partitions are summed up, so no task holds all rows."""
     ordered = checkpoint(df.repartitionByRange(order).withColumn("part", F.spark_partition_id()))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterflow.functions import pixels as P
+from rasterflow.functions import resample
 from rasterflow.functions.sharing import checkpoint, numbered
 from rasterflow.sources import rasters
 
@@ -37,25 +36,9 @@ def signature_hex(bits: Column) -> Column:
     return F.lpad(F.lower(F.hex(bits)), 16, "0")
 
 
-def dct_signature(gray16: np.ndarray) -> int:
-    """The signature of a 16 x 16 gray raster by its two-dimensional cosine transform (orthonormal)."""
-    k = np.arange(16)
-    basis = np.sqrt(np.where(k == 0, 1, 2) / 16)[:, None] * np.cos(np.pi * (2 * k[None] + 1) * k[:, None] / 32)
-    low = (basis @ gray16.astype(np.float64) @ basis.T)[:8, :8].astype(np.float32)
-    value = 0
-    for bit in (low > np.median(low[1:])).reshape(-1):
-        value = value << 1 | int(bit)
-    return value - (1 << 64) if value >> 63 else value
-
-
-def perceptual_hash(df: DataFrame, column: str = "px16") -> DataFrame:
-    """Adds phash, the signature of a 16 x 16 raster held as an array of 256 integers."""
-
-    @F.pandas_udf("long")
-    def run(rasters: pd.Series) -> pd.Series:
-        return rasters.map(lambda x: dct_signature(np.asarray(x).reshape(16, 16)))
-
-    return df.withColumn("phash", run(F.col(column)))
+def perceptual_hash(px: Column, height, width) -> Column:
+    """The signature of a raster (levels row by row): brought to 16 x 16 by area, then its cosine transform's low corner."""
+    return P.once(resample.cosines(resample.area(px, height, width, resample.SIDE, resample.SIDE)), signature)
 
 
 #: Parts of a signature that pairs are looked up by, and bits of each.
@@ -155,19 +138,3 @@ def group_outputs(members: DataFrame) -> DataFrame:
     copy = F.concat(folder, rasters.stem(F.col("path")), F.when(F.col("is_best"), "_BEST").otherwise(""), ending)
     enhanced = F.regexp_extract(rasters.output_path(F.col("path")), r"([^/]*)$", 1)
     return members.withColumns({"copy": copy, "best_copy": F.when(F.col("is_best"), F.concat(F.lit("Best Photos/"), enhanced))})
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least member) of the nodes of edges (a, b): least labels spread along edges and are followed until nothing changes."""
-    both = checkpoint(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    labels, mark = checkpoint(labels), None
-    while True:
-        now = labels.agg(F.sum("component"), F.count("*")).first()
-        if now == mark or not now[1]:
-            return labels
-        mark = now
-        least = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("least"))
-        step = labels.join(least, labels["node"] == least["a"], "left").select("node", F.least("component", F.coalesce("least", "component")).alias("component"))
-        jump = step.select(F.col("node").alias("via"), F.col("component").alias("far"))
-        labels = checkpoint(step.join(jump, step["component"] == jump["via"], "left").select("node", F.least("component", F.coalesce("far", "component")).alias("component")))

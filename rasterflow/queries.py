@@ -502,12 +502,6 @@ def provider_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy(F.coalesce(F.get("usable", F.lit(0)), F.lit("none")).alias("provider"), F.size("usable").cast("long").alias("usable")).agg(F.count("*").alias("machines"))
 
 
-def perceptual_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine-transform signatures of 16 x 16 rasters (four vectors each)."""
-    df = dedupe.perceptual_hash(rasters.tiled_rasters(spark, sf_dir, 2).withColumnRenamed("px", "px16"))
-    return df.select("photo_id", dedupe.signature_hex(F.col("phash")).alias("phash"))
-
-
 def enhanced_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline over 8 x 8 colour rasters, with faces by id, the profiles that fit and a horizon; pixels come back as a digest."""
     from rasterflow.plans import enhance as plan
@@ -531,6 +525,6 @@ QUERIES = {f.__name__: f for f in (
     raster_tone, raster_focus, raster_blockiness, raster_dynamic_range, raster_colour, raster_gradients, low_light_gate, quality_scores, review_reasons, scene_rollup, problem_list, plan_stages,
     capability_request, capability_counts, exact_duplicates, signature_bits, near_pairs, duplicate_groups, best_of_group, strategy_accept, pair_correlation, post_validation, candidate_rank, review_flag,
     batch_counters, report_rows, face_profiles, face_summary, face_similarity, profile_outcomes, capability_resolution, manifest_validation, pack_lint, spec_parse, service_response, output_paths,
-    mode_names, straighten_plan, screenshot_score, crop_rows, tile_grid, overlap_add, encode_decode, provider_choice, perceptual_hashes, enhanced_photos,
+    mode_names, straighten_plan, screenshot_score, crop_rows, tile_grid, overlap_add, encode_decode, provider_choice, enhanced_photos,
     duplicate_outputs, dead_letters, source_index, profile_messages, pack_duplicates, installed_map, capability_steps, spec_priority,
 )}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rasterflow.oracle import oracle_sql
-from rasterflow.queries import QUERIES
+from rasterflow import oracle, plane_oracle, plane_queries, queries
 
-ORACLE_SQL = oracle_sql()
+QUERIES = {**queries.QUERIES, **plane_queries.QUERIES}
+ORACLE_SQL = {**oracle.oracle_sql(), **plane_oracle.oracle_sql()}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -114,3 +114,21 @@ def tiled_rasters(spark: SparkSession, sf_dir: str, side: int = 3) -> DataFrame:
         return F.get(tile["px"], row % 8 * 8 + column % 8)
 
     return tiles.select("photo_id", F.transform(F.sequence(F.lit(0), F.lit(edge * edge - 1)), pixel).alias("px"))
+
+
+def scene_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """photo_id, height, width, px: tiled rasters as scenes of 24, 32 or 40 lines: a sky and a ground that a slanting line parts, and bright spots."""
+    tiles, key = tiled_rasters(spark, sf_dir), F.col("photo_id")
+    height, width = (24 + key % 3 * 8).cast("int"), 24
+    side = (2 + key % 3).cast("int")
+
+    def pixel(i):
+        y, x = (i / width).cast("int"), i % width
+        ground = 16 * y > 8 * F.col("height") + x * (key % 7 - 3)
+        level = F.floor(F.get("px", y % 24 * 24 + x) / 8).cast("int") + F.when(ground, 150).otherwise(40)
+        left, top = key * 5 % 20, key * 3 % 18
+        spot = (x >= left) & (x < left + side) & (y >= top) & (y < top + side)
+        return F.when(spot | ((x == key * 11 % 24) & (y == F.col("height") - 2)), 255).otherwise(level)
+
+    sized = tiles.select("photo_id", height.alias("height"), F.lit(width).alias("width"), "px")
+    return sized.withColumn("px", F.transform(F.sequence(F.lit(0), F.col("height") * width - 1), pixel))

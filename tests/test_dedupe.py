@@ -64,10 +64,3 @@ def test_signatures(spark):
     want = int("".join("1" if x > median else "0" for x in block), 2)
     r = df.select(dedupe.signature(F.col("c")).alias("s"), dedupe.signature_hex(dedupe.signature(F.col("c"))).alias("h")).first()
     assert r.s & (2**64 - 1) == want and r.h == f"{want:016x}"
-    ramp = np.random.default_rng(1).integers(0, 200, (16, 16))
-    assert dedupe.dct_signature(ramp) == dedupe.dct_signature(ramp + 20)
-
-
-def test_components(spark):
-    edges = spark.createDataFrame([(k, k + 1) for k in range(1, 30)] + [(50, 60), (60, 55)], "a long, b long")
-    assert {r.node: r.component for r in dedupe.components(edges).collect()} == {k: 1 for k in range(1, 31)} | {50: 50, 55: 50, 60: 50}
