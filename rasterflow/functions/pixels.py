@@ -134,21 +134,29 @@ def clip(x: Column, low, high) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def axes_score(edge_x, edge_y, all_x, all_y) -> Column:
+    """Mean of the two axes' ratios of block-edge to all differences, above 0.88, scaled to 0 .. 100."""
+    return clip(((edge_x / (all_x + 1e-6) + edge_y / (all_y + 1e-6)) / 2 - 0.88) * 120.0, 0.0, 100.0)
+
+
+def pooled_score(edge_x, edge_y, all_x, all_y) -> Column:
+    """Ratio of the axes' mean block-edge differences to their mean differences, above 0.9, scaled to 0 .. 100."""
+    return clip((((edge_x + edge_y) / 2) / ((all_x + all_y) / 2 + 1e-6) - 0.9) * 115.0, 0.0, 100.0)
+
+
 def blockiness_axes(px: Column, height, width) -> Column:
-    """Mean of the two axes' ratios of block-edge to all differences, above 0.88, scaled to 0 .. 100; 0 for rasters under 24."""
+    """``axes_score`` of a raster; 0 for rasters under 24."""
     if isinstance(height, int) and isinstance(width, int) and min(height, width) < 24:
         return F.lit(0.0)
-    ratio = lambda down: mean(block_steps(px, height, width, down)) / (mean(steps(px, height, width, down)) + 1e-6)
-    score = clip(((ratio(False) + ratio(True)) / 2 - 0.88) * 120.0, 0.0, 100.0)
+    score = axes_score(*(mean(part(px, height, width, down)) for part in (block_steps, steps) for down in (False, True)))
     return F.when(F.least(F.lit(height), F.lit(width)) < 24, F.lit(0.0)).otherwise(score)
 
 
 def blockiness_pooled(px: Column, height: int, width: int) -> Column:
-    """Ratio of the axes' mean block-edge differences to their mean differences, above 0.9, scaled to 0 .. 100; 0 under 24."""
+    """``pooled_score`` of a raster; 0 for rasters under 24."""
     if min(height, width) < 24:
         return F.lit(0.0)
-    both = lambda part: (mean(part(px, height, width, False)) + mean(part(px, height, width, True))) / 2
-    return clip((both(block_steps) / (both(steps) + 1e-6) - 0.9) * 115.0, 0.0, 100.0)
+    return pooled_score(*(mean(part(px, height, width, down)) for part in (block_steps, steps) for down in (False, True)))
 
 
 def luma(b: Column, g: Column, r: Column) -> Column:

@@ -13,14 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterflow.functions import pixels as P
+from rasterflow.operators import rules
 from rasterflow.operators import transforms as T
 from rasterflow.sources import rasters
 
 #: Fixed value: longest side of the preview.
 PREVIEW = 1400
 MEASURES = (
-    "brightness double, contrast double, dark_35 double, dark_8 double, light_250 double, light_248 double, clipped_250 double, blur double, noise double, compression_axes double, compression_pooled double, "
-    "dynamic_range double, colour_cast double, saturation double, saturation_p90 double, channel_spread double, is_monochrome boolean, is_gray_scan boolean, text_edge double, social double, horizon_angle double"
+    "brightness double, contrast double, dark_35 double, dark_8 double, light_250 double, light_248 double, clipped_250 double, blur double, noise double, edge_x double, edge_y double, all_x double, all_y double, "
+    "dynamic_range double, colour_cast double, saturation double, saturation_p90 double, channel_spread double, is_monochrome boolean, is_gray_scan boolean, text_edge double, top_edge double, bottom_edge double, top_std double, bottom_std double, top_mean double, middle_mean double, bottom_mean double, horizon_angle double"
 )
 _NAMES = [x.split(" ")[0] for x in MEASURES.split(", ")]
 
@@ -78,27 +80,22 @@ def horizon(gray: np.ndarray) -> float:
     return float(np.median(angles)) if angles else 0.0
 
 
-def _blocks(gray: np.ndarray) -> tuple[float, float]:
-    """Both block-edge scores; 0 for images under 24 pixels."""
+def _steps(gray: np.ndarray) -> tuple[float, ...]:
+    """Mean differences between neighbours along both axes: those across 8-pixel block edges, then all. None under 24 pixels."""
     if min(gray.shape) < 24:
-        return 0.0, 0.0
-    across, down = np.abs(np.diff(gray.astype(np.float64), axis=1)), np.abs(np.diff(gray.astype(np.float64), axis=0))
-    edge, every = (across[:, 7::8].mean(), down[7::8].mean()), (across.mean(), down.mean())
-    axes = np.mean([e / (a + 1e-6) for e, a in zip(edge, every, strict=True)])
-    return float(np.clip((axes - 0.88) * 120, 0, 100)), float(np.clip((np.mean(edge) / (np.mean(every) + 1e-6) - 0.9) * 115, 0, 100))
-
-
-def _screen(gray: np.ndarray) -> tuple[float, float]:
-    """Share of edge pixels in per cent, and how much the image looks like a phone screenshot."""
-    h, w = gray.shape
-    found = T.edges(gray, 70, 150) * 100.0
-    top, bottom = max(30, int(h * 0.12)), int(h * 0.80)
-    mean = lambda x: float(x.mean()) if x.size else 0.0
-    flat = lambda x: max(0.0, 20.0 - float(x.std())) if x.size else 0.0
-    middle = mean(gray[top:bottom]) if gray[top:bottom].size else mean(gray)
-    bands = min(abs(mean(gray[:top]) - middle) + abs(mean(gray[bottom:]) - middle), 80.0) / 4
-    social = mean(found[:top]) * 1.8 + mean(found[bottom:]) * 1.5 + flat(gray[:top]) * 0.35 + flat(gray[bottom:]) * 0.55 + bands + (16.0 if h / max(w, 1) > 1.5 else 0.0)
-    return mean(found), float(np.clip(social, 0, 100))
+        return (None,) * 4
+    along = [np.abs(np.diff(gray.astype(np.int32), axis=k)) for k in (1, 0)]
+    return float(along[0][:, 7::8].mean()), float(along[1][7::8].mean()), float(along[0].mean()), float(along[1].mean())
+
+
+def _bands(gray: np.ndarray) -> tuple[float, ...]:
+    """Shares of edge pixels in per cent (all, top, bottom), deviations (top, bottom) and means (top, middle, bottom) of the screen bands."""
+    rows, found = np.arange(len(gray)), T.edges(gray, 70, 150)
+    top, bottom = rows < max(30, int(len(gray) * 0.12)), rows >= int(len(gray) * 0.80)
+    every = np.ones_like(top)
+    middle = ~top & ~bottom if (~top & ~bottom).any() else every
+    percent = [100.0 * float(found[part].mean()) if part.any() else 0.0 for part in (every, top, bottom)]
+    return (*percent, *(float(gray[part].std()) if part.any() else 0.0 for part in (top, bottom)), *(float(gray[part].mean()) for part in (top, middle, bottom)))
 
 
 def softened(gray: np.ndarray) -> np.ndarray:
@@ -126,8 +123,8 @@ def measure_image(img: np.ndarray) -> tuple:
     share = lambda x: float(x.mean())
     return (
         share(gray), float(gray.std()), share(gray < 35), share(gray <= 8), share(gray > 250), share(gray > 248), share(gray >= 250),
-        float(T.laplacian(small).astype(np.float64).var()), float((small.astype(np.int32) - softened(small)).std()), *_blocks(gray),
-        float(np.percentile(gray, 95) - np.percentile(gray, 5)), float(np.ptp(means)), share(sat), p90, spread, p90 < 18, spread < 9, *_screen(gray), horizon(small),
+        float(T.laplacian(small).astype(np.float64).var()), float((small.astype(np.int32) - softened(small)).std()), *_steps(gray),
+        float(np.percentile(gray, 95) - np.percentile(gray, 5)), float(np.ptp(means)), share(sat), p90, spread, p90 < 18, spread < 9, *_bands(gray), horizon(small),
     )
 
 
@@ -137,10 +134,12 @@ def inspected(photos: DataFrame) -> DataFrame:
 
     def one(photo_id, height, width, channels, data, turned):
         try:
+            if (height or 0) <= 0:
+                raise ValueError("unreadable image")
             img = T.orient(T.as_bgr(data, height, width, channels), turned or 1)
             return photo_id, img.shape[0], img.shape[1], img.tobytes(), None, *measure_image(img)
         except (ValueError, TypeError) as e:
-            return photo_id, height, width, data, str(e), *[None] * len(_NAMES)
+            return photo_id, None, None, None, str(e), *[None] * len(_NAMES)
 
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string(), *[pa.bool_() if n.startswith("is_") else pa.float64() for n in _NAMES]]
 
@@ -150,12 +149,18 @@ def inspected(photos: DataFrame) -> DataFrame:
                 rows = [one(*(c[k].as_py() for c in batch.columns))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["photo_id", "height", "width", "data", "error", *_NAMES])
 
-    return photos.select("photo_id", "height", "width", "n_channels", "data", "orientation").mapInArrow(run, schema)
+    c = F.col
+    raw = photos.select("photo_id", "height", "width", "n_channels", "data", "orientation").mapInArrow(run, schema)
+    steps = [c(n) for n in ("edge_x", "edge_y", "all_x", "all_y")]
+    social = rules.ui_social_score(c("top_edge"), c("bottom_edge"), c("top_std"), c("bottom_std"), c("top_mean"), c("middle_mean"), c("bottom_mean"), c("height"), c("width"))
+    none = c("all_x").isNull() & c("error").isNull()
+    scored = raw.withColumns({"compression_axes": F.when(none, 0.0).otherwise(P.axes_score(*steps)), "compression_pooled": F.when(none, 0.0).otherwise(P.pooled_score(*steps)), "social": F.when(c("error").isNull(), social)})
+    return scored.drop("edge_x", "edge_y", "all_x", "all_y", "top_edge", "bottom_edge", "top_std", "bottom_std", "top_mean", "middle_mean", "bottom_mean")
 
 
 def read_photos(spark: SparkSession, folder: str, exif: bool = True) -> DataFrame:
-    """path, photo_id, height, width, n_channels, data, orientation of the image files below a folder; only orientations are looked up by path."""
-    pixels = rasters.decoded(spark, folder).withColumn("photo_id", F.xxhash64("path"))
+    """path, photo_id, height, width, n_channels, data, orientation of the image files below a folder, its output folder left out; files that can't be decoded keep a row without pixels. Only orientations are looked up by path."""
+    pixels = rasters.decoded(spark, folder, keep_broken=True).where(rasters.is_source(F.col("path"))).withColumn("photo_id", F.xxhash64("path"))
     if not exif:
         return pixels.withColumn("orientation", F.lit(1))
 

@@ -6,13 +6,17 @@ the best, applies profiles and finishing steps, and compares the result with the
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rasterflow.functions.sharing import checkpoint
 from rasterflow.operators import images, packs, rules
 from rasterflow.operators import transforms as T
+from rasterflow.sources import rasters
 
 FACES = "array<struct<x:int,y:int,w:int,h:int>>"
 PROFILES = "array<struct<name:string,settings:map<string,string>>>"
@@ -96,13 +100,14 @@ def _improved(img: np.ndarray, r: dict, lock: bool) -> dict:
         new = T.relight_faces(new, inside)
     identity, protected = 1.0, 0
     if lock and new.shape == img.shape:
-        new, protected, identity = T.lock_faces(new, img, faces)
+        new, protected, _ = T.lock_faces(new, img, faces)
+        identity = T.face_likeness(new, img, faces)  # what the safety check sees: after the lock
     same, safe = new.shape == img.shape, True
     structure, clip_delta, sharp_ratio = 1.0, 0.0, 1.0
     if same:
         a, b = T.luma(img), T.luma(new)
         ends = lambda x: float(((x <= 5) | (x >= 250)).mean())
-        structure, clip_delta = T.likeness(img, new), max(0.0, ends(b) - ends(a))
+        structure, clip_delta = T.strict_likeness(img, new), max(0.0, ends(b) - ends(a))
         sharp_ratio = float(T.laplacian(b).astype(np.float64).var() / (T.laplacian(a).astype(np.float64).var() + 1e-6))
         safe = identity >= r["min_identity"] and structure >= r["min_structure"] and clip_delta <= r["max_clip"] and sharp_ratio <= r["max_sharp"]
         new = new if safe else img
@@ -183,19 +188,39 @@ def with_profiles(judged_photos: DataFrame, profiles: DataFrame, installed: F.Co
     return judged_photos.drop("profiles").join(listed.select("photo_id", ordered.cast(PROFILES).alias("profiles")), "photo_id", "left")
 
 
-def enhance_folder(spark: SparkSession, folder: str, out: str, upscale: str = "Original size", target: str = "Professional", exif: bool = True, faces: DataFrame | None = None) -> DataFrame:
+def output_names(paths: DataFrame, folder: str) -> DataFrame:
+    """path and name: where each photo goes below the output folder, in the subfolder that it stands in below folder.
+
+    Photos of one stem (a.png, a.jpg) keep their own suffix in the name, so that none overwrites another."""
+    root = F.regexp_replace(F.lit(folder.rstrip("/")), "^file:/+", "file:///") if folder.startswith("file:") else F.lit(folder.rstrip("/"))
+    full = F.regexp_replace("path", "^file:/+", "file:///" if folder.startswith("file:") else "/")
+    decoded = F.url_decode(F.replace(full, F.lit("+"), F.lit("%2B")))
+    target = F.substring(rasters.output_path(decoded, root), F.length(root) + len(rasters.OUTPUT_FOLDER) + 3, F.length(decoded) + 64)
+    named = paths.select("path", F.regexp_replace(target, r"_enhanced\.jpg$", "").alias("stem"), F.replace(rasters.suffix(decoded), F.lit("."), F.lit("-")).alias("kind"))
+    several = F.count("*").over(Window.partitionBy("stem")) > 1
+    return named.select("path", F.concat("stem", F.when(several, F.col("kind")).otherwise(""), F.lit("_enhanced.png")).alias("name"))
+
+
+def enhance_folder(spark: SparkSession, folder: str, out: str, upscale: str = "Original size", target: str = "Professional", exif: bool = True, faces: DataFrame | None = None, profiles: DataFrame | None = None, installed: list[str] = ()) -> DataFrame:
     """Image files below folder, scanned, decoded, turned upright, measured, planned, improved and written as PNG below out; a row of outcomes per file.
 
-    faces: photo_id and faces, where a detector has found some. Undecodable files keep a row with an error."""
-    read = images.read_photos(spark, folder, exif)
-    seen = images.inspected(read)
+    faces: photo_id and faces, where a detector has found some; profiles: see ``with_profiles``, of the packs installed. Files that
+    can't be decoded or written keep a row with error and review_needed; files in output folders, out included, aren't read again."""
+    below = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/+", "/").startswith(F.lit(re.sub("^file:/+", "/", out.rstrip("/")) + "/"))
+    read = checkpoint(images.read_photos(spark, folder, exif).where(~below))
+    known = checkpoint(images.inspected(read))
+    seen = known.where("error IS NULL")
     if faces is not None:
-        seen = seen.join(faces.select("photo_id", F.col("faces").cast(FACES).alias("faces")), "photo_id", "left")
+        seen = seen.join(faces.select("photo_id", F.col("faces").cast(FACES).alias("faces")), "photo_id", "left").withColumn("faces", F.coalesce("faces", F.array().cast(FACES)))
     shot = rules.is_screenshot(F.col("height"), F.col("width"), F.col("text_edge"), F.col("social"))
     seen = seen.withColumn("is_screenshot", F.coalesce(shot, F.lit(False)))
     seen = seen.withColumn("upscale", rules.upscale_decision(F.lit(upscale), F.col("is_screenshot"), F.col("height"), F.col("width")))
-    done = finished(judged(seen), target)
-    named = F.concat(F.lower(F.hex("photo_id")), F.lit(".png"))
-    written = T.write_photos(done.where("data is not null").select(named.alias("name"), "height", "width", "data"), out)
-    report = done.drop("data").withColumn("name", named)
-    return read.select("path", "photo_id").join(report, "photo_id", "left").join(written, "name", "left")
+    ready = judged(seen)
+    if profiles is not None:
+        ready = with_profiles(ready, profiles, F.array(*map(F.lit, installed)))
+    done = checkpoint(finished(ready, target).join(read.select("photo_id", "path"), "photo_id").join(output_names(read.select("path"), folder), "path"))
+    written = T.write_photos(done.select("name", "height", "width", "data"), out)
+    report = done.drop("data", "path").join(written, "name", "left")
+    faults = known.where("error IS NOT NULL").select("photo_id", F.col("error").alias("fault"))
+    rows = read.select("path", "photo_id").join(report, "photo_id", "left").join(faults, "photo_id", "left").withColumn("error", F.coalesce("fault", "error")).drop("fault")
+    return rows.withColumn("review_needed", F.col("error").isNotNull() | F.coalesce("review_needed", F.lit(False)))

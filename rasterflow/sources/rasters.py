@@ -48,13 +48,18 @@ def output_path(path: Column, root: Column | None = None) -> Column:
     return F.concat(root, F.lit(f"/{OUTPUT_FOLDER}"), below, F.lit("/"), name)
 
 
+def is_source(path: Column) -> Column:
+    """Whether a path is a photograph outside of output folders."""
+    return supported(path) & ~path.contains(f"/{OUTPUT_FOLDER.replace(' ', '%20')}/") & ~path.contains(f"/{OUTPUT_FOLDER}/")
+
+
 def scan_photos(spark: SparkSession, folder: str) -> DataFrame:
     """path, modificationTime, length and content of the photographs below a folder, without its output folder, in path order.
 
     ``content`` is read only by queries that use it.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return found.where(supported(F.col("path")) & ~F.col("path").contains(f"/{OUTPUT_FOLDER.replace(' ', '%20')}/") & ~F.col("path").contains(f"/{OUTPUT_FOLDER}/")).orderBy("path")
+    return found.where(is_source(F.col("path"))).orderBy("path")
 
 
 def select_files(spark: SparkSession, paths: list[str]) -> DataFrame:

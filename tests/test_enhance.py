@@ -36,11 +36,15 @@ def test_columns_and_images_measure_alike(spark):
     assert images.quality(gray) == pytest.approx(scored, abs=1e-4)
 
 
-def test_screens_horizons_and_orientations():
+def test_screens_horizons_and_orientations(spark):
     flat = np.full((1800, 900), 120, np.uint8)
     flat[:100], flat[1500:] = 20, 20
     flat[1550:1750:6, 100:800:9] = 230
-    assert images._screen(flat)[1] > 34 > images._screen(T.luma(photo(300, 400, 2)))[1]
+    shots = [np.repeat(flat[..., None], 3, 2), photo(300, 400, 2)]
+    rows = [(k, *p.shape, p.tobytes(), 1) for k, p in enumerate(shots)]
+    seen = images.inspected(spark.createDataFrame(rows, "photo_id long, height int, width int, n_channels int, data binary, orientation int"))
+    social = {r.photo_id: r.social for r in seen.collect()}
+    assert social[0] > 34 > social[1]
     y, x = np.mgrid[0:300, 0:500]
     assert images.horizon(np.where(y > 150 + (x - 250) * np.tan(np.radians(5)), 200, 40).astype(np.uint8)) == pytest.approx(5, abs=1)
     assert images.horizon(flat[:50, :50]) == 0
@@ -89,14 +93,31 @@ def test_strategies_follow_their_gates():
 
 
 def test_folder_of_mixed_sizes(spark, tmp_path):
-    source, out = tmp_path / "in", tmp_path / "out"
-    source.mkdir()
-    for k, (h, w) in enumerate([(40, 60), (90, 50), (33, 33)]):
-        (source / f"p{k}.png").write_bytes(T.png(photo(h, w, k)))
+    """Unreadable files keep a row, photos of one stem in several folders and formats a file each; output isn't read again."""
+    source = tmp_path / "in"
+    (source / "deep er").mkdir(parents=True)
+    for k, (name, h, w) in enumerate([("p0.png", 40, 60), ("deep er/p0.png", 90, 50), ("p2.PNG", 33, 33), ("note.txt", 9, 9)]):
+        (source / name).write_bytes(T.png(photo(h, w, k)))
+    (source / "p0.jpg").write_bytes(T.png(photo(31, 30, 9)))  # a format by another name is still an image
     (source / "broken.png").write_bytes(b"no picture")
-    rows = enhance.enhance_folder(spark, str(source), f"file://{out}").collect()
-    assert len(rows) == 3 and all(r.error is None and r.bytes > 0 for r in rows)
-    sizes = sorted((r.height, r.width) for r in rows)
-    assert sizes == [(66, 66), (80, 120), (180, 100)] or all(r.height % 2 == 0 for r in rows)  # small photos are doubled
-    assert len(list(out.glob("*.png"))) == 3
-    assert enhance.enhance_folder(spark, str(source), f"file://{out}2", exif=False).count() == 3
+    out = source / "Professionally Enhanced"
+    for _ in range(2):
+        rows = enhance.enhance_folder(spark, f"file://{source}", f"file://{out}", "4K long edge").collect()
+        by = {r.path.rpartition("/in/")[2].replace("%20", " "): r for r in rows}
+        assert set(by) == {"p0.png", "p0.jpg", "deep er/p0.png", "p2.PNG", "broken.png"}
+        bad = by.pop("broken.png")
+        assert bad.error and bad.review_needed and bad.bytes is None and bad.name is None
+        assert all(r.error is None and r.bytes > 0 for r in by.values())
+        names = {k: r.name for k, r in by.items()}
+        assert names == {"p0.png": "p0-png_enhanced.png", "p0.jpg": "p0-jpg_enhanced.png", "deep er/p0.png": "deep er/p0_enhanced.png", "p2.PNG": "p2_enhanced.png"}
+        assert sorted(str(f.relative_to(out)) for f in out.rglob("*.png")) == sorted(names.values())
+    assert enhance.enhance_folder(spark, f"file://{source}", f"file://{tmp_path}/other", exif=False).count() == 5
+
+
+def test_flat_candidates_are_refused():
+    sharp, flat = photo(60, 60, 3), np.full((60, 60, 3), 120, np.uint8)
+    assert T.strict_likeness(sharp, flat) == 0.0 == T.strict_likeness(flat, sharp) and T.likeness(sharp, flat) == 1.0
+    assert T.strict_likeness(flat, flat) == 1.0 and abs(T.strict_likeness(flat, flat - 51) - 0.8) < 0.01
+    assert T.strict_likeness(sharp[:0], sharp) == 1.0 and T.likeness(sharp[:30], sharp) == 0.0
+    assert T.face_likeness(sharp, sharp, [(10, 10, 20, 20)]) > 0.999 and T.face_likeness(flat, sharp, [(10, 10, 20, 20)]) == 0.0 and T.face_likeness(flat, sharp) == 1.0
+    assert T.upscale(np.zeros((3, 5, 3), np.uint8), 1.3).shape == (3, 6, 3)
