@@ -176,12 +176,61 @@ def _spec_fields(raw: Column) -> Column:
     )
 
 
-def spec_by_priority(sidecar: Column, plain: Column, own_catalogue: Column, parent_catalogue: Column, capability: Column) -> Column:
-    """The specification's text: sidecar, plain file, then the first catalogue, even if it lacks the capability; what isn't a JSON object is passed over."""
-    read = lambda c: F.from_json(c, "map<string, string>")
-    valid = lambda c: F.when(read(c).isNotNull(), c)
-    entry = lambda c: F.when(F.map_contains_key(read(c), capability), valid(F.try_element_at(read(c), capability))).when(read(c).isNotNull(), "{}")
-    return F.coalesce(valid(sidecar), valid(plain), entry(own_catalogue), entry(parent_catalogue), F.lit("{}"))
+_WHOLE, _NUMBER = r"^\s*[+-]?\d(_?\d)*\s*$", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def typed_spec(document: Column) -> Column:
+    """A specification from a document (VARIANT) as its reader takes it, null where it takes none.
+
+    Names take any value as text. Numbers may be whole, broken (cut where a whole one is wanted), true or false, or texts of
+    numbers; any other value, JSON's null too, makes the document invalid, as does a document that isn't an object. What is absent has its default."""
+
+    def field(name):
+        return F.try_variant_get(document, f"$.{name}", "variant")
+
+    kind = lambda v: F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
+    as_type = lambda v, t: F.try_variant_get(v, "$", t)
+
+    def number(name, default, target, shape):
+        def use(v):
+            text = F.when(as_type(v, "string").rlike(shape), F.replace(F.trim(as_type(v, "string")), F.lit("_"), F.lit("")))
+            plain = F.when(kind(v) == "STRING", text.try_cast(target)).when(kind(v) == "BOOLEAN", as_type(v, "boolean").cast("int").cast(target)).when(kind(v).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), as_type(v, "double").try_cast(target))
+            return F.struct((v.isNull() | plain.isNotNull()).alias("valid"), F.coalesce(plain, F.lit(default)).alias("value"))
+
+        return once(field(name), use)
+
+    def text(name, default):
+        return once(field(name), lambda v: F.when(v.isNull(), default).when(kind(v) == "VOID", "None").when(kind(v) == "BOOLEAN", F.initcap(as_type(v, "string"))).otherwise(as_type(v, "string")))
+
+    def truth(name):
+        empty = lambda v: (kind(v) == "VOID") | ((kind(v) == "BOOLEAN") & ~as_type(v, "boolean")) | ((kind(v) == "STRING") & (as_type(v, "string") == "")) | (kind(v).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT") & (as_type(v, "double") == 0)) | F.to_json(v).isin("[]", "{}")
+        return once(field(name), lambda v: F.when(v.isNull(), F.lit(False)).otherwise(~empty(v)))
+
+    def whole(numbers):
+        low = lambda n, d: F.lower(text(n, d)).alias(n)
+        done = F.struct(
+            low("layout", "auto"), low("colour_order", "rgb"), low("input_range", "zero_one"), low("output_range", "zero_one"), text("input_name", "").alias("input_name"), text("output_name", "").alias("output_name"),
+            F.greatest(F.lit(64), numbers["tile_size"]["value"]).cast("long").alias("tile_size"), F.greatest(F.lit(0), numbers["overlap"]["value"]).cast("long").alias("overlap"),
+            truth("preserve_size").alias("preserve_size"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), numbers["blend_strength"]["value"])).alias("blend_strength"),
+        )
+        return F.when((kind(document) == "OBJECT") & numbers["tile_size"]["valid"] & numbers["overlap"]["valid"] & numbers["blend_strength"]["valid"], done)
+
+    read = F.struct(number("tile_size", 256, "long", _WHOLE).alias("tile_size"), number("overlap", 32, "long", _WHOLE).alias("overlap"), number("blend_strength", 1.0, "double", _NUMBER).alias("blend_strength"))
+    return once(read, whole)
+
+
+def spec_by_priority(sidecar: Column, plain: Column, own_catalogue: Column, parent_catalogue: Column, capability: str) -> Column:
+    """The specification that counts of a model's files, given as texts (null: no such file): the sidecar, the plain file, the catalogue
+    beside the model, that of the folder above, else the defaults.
+
+    A file that can't be read as JSON or has a value of the wrong type is passed over; a catalogue that lacks the capability gives the defaults."""
+    document = lambda text: F.try_parse_json(text)
+
+    def entry(text):
+        own = lambda v: F.coalesce(F.try_variant_get(v, f"$.{capability}", "variant"), F.parse_json(F.lit("{}")))
+        return once(document(text), lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), own(v)))
+
+    return F.coalesce(typed_spec(document(sidecar)), typed_spec(document(plain)), typed_spec(entry(own_catalogue)), typed_spec(entry(parent_catalogue)), typed_spec(F.parse_json(F.lit("{}"))))
 
 
 def spec_errors(s, capability: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterflow.sources import rasters
+from rasterflow.sources import files, rasters
 
 #: Columns of the report, in order.
 COLUMNS = ["filename", "quality_score", "scene", "blur_score", "brightness", "dark_fraction", "clipped_highlights", "contrast", "noise_score", "face_count", "horizon_angle", "review_reason"]
@@ -25,21 +25,10 @@ def write_reports(report: DataFrame, folder: str, root: str = "root") -> None:
     report.write.mode("overwrite").partitionBy(root).option("header", "true").csv(folder)
 
 
-def write_single(report: DataFrame, path: str) -> int:
-    """One UTF-8 file with a byte-order mark, streamed through the driver row by row; no file without rows. Returns the rows written."""
-    import csv
-
-    n, out = 0, None
-    for row in report.select(*COLUMNS).toLocalIterator():
-        if out is None:
-            out = open(path, "w", newline="", encoding="utf-8-sig")  # noqa: SIM115
-            writer = csv.writer(out)
-            writer.writerow(COLUMNS)
-        writer.writerow(list(row))
-        n += 1
-    if out is not None:
-        out.close()
-    return n
+def write_single(report: DataFrame, folder: str, name: str = "Photo Report.csv", root: str | None = None) -> None:
+    """One UTF-8 file with a byte-order mark, or one in the folder of each root; no file without rows. The task that writes a file keeps a row at a time."""
+    rooted = report.select(*COLUMNS, (F.col(root) if root else F.lit("")).alias("root"))
+    files.write_reports(rooted, folder, "root", "filename", name)
 
 
 def counters(results: DataFrame) -> DataFrame:

@@ -46,3 +46,17 @@ def decode(values: Column, output_range: Column) -> Column:
     """A model's numbers as levels: scaled, not-a-numbers to 0 and infinities to the ends, clipped, cut."""
     scaled = lambda v: F.when(output_range == "minus_one_one", (v + 1.0) * 127.5).when(output_range == "zero_255", v).otherwise(v * 255.0)
     return F.transform(values, lambda v: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.nanvl(scaled(v), F.lit(0.0))))).cast("int"))
+
+
+def tensor(b: Column, g: Column, r: Column, layout: Column, order: Column) -> Column:
+    """Planes as one flat array: plane by plane (nchw) or pixel by pixel (any other), the first plane blue (bgr) or red (any other)."""
+    first, last = F.when(order == "bgr", b).otherwise(r), F.when(order == "bgr", r).otherwise(b)
+    by_pixel = F.flatten(F.transform(F.arrays_zip(first.alias("x"), g.alias("y"), last.alias("z")), lambda p: F.array(p["x"], p["y"], p["z"])))
+    return F.when(layout == "nchw", F.flatten(F.array(first, g, last))).otherwise(by_pixel)
+
+
+def planes(flat: Column, layout: Column, order: Column) -> Column:
+    """The planes b, g and r of such an array, whatever it is made of."""
+    n = (F.size(flat) / 3).cast("int")
+    plane = lambda k: F.when(layout == "nchw", F.slice(flat, k * n + 1, n)).otherwise(F.filter(flat, lambda _, i: i % 3 == k))
+    return F.struct(F.when(order == "bgr", plane(0)).otherwise(plane(2)).alias("b"), plane(1).alias("g"), F.when(order == "bgr", plane(2)).otherwise(plane(0)).alias("r"))

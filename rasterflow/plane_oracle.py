@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterflow.oracle import PROBLEMS, STAGES, TYPE, correlation, deviation, engine_quality, joined, mean, share, tiled, variance
+from rasterflow.oracle import COLOUR, PROBLEMS, STAGES, TYPE, correlation, deviation, engine_quality, joined, mean, share, tiled, variance
 
 
 def _mirror(k: str, n: str) -> str:
@@ -132,8 +132,29 @@ _INSPECTED = (
 )
 
 
+#: What each file of a model comes to: whether it is taken, then layout, tile size, blend and whether the size is kept.
+_FILES = {
+    "side": (11, ["1,auto,512,1,0", "0", "0", "0", "1,auto,300,1,0", "1,auto,256,0.5,0", "1,auto,256,1,1", "1,auto,64,1,0", "1,5,70,1,0", "0", "0"]),
+    "plain": (4, ["1,auto,200,1,0", "0", "0", "0"]),
+    "near": (3, ["0", "0", "1,auto,256,1,0"]),
+    "far": (2, ["1,nhwc,400,1,0", "0"]),
+}
+_PICKED = "coalesce(" + ", ".join(f"CASE WHEN [{', '.join(repr(x) for x in rows)}][event_id % {n} + 1] <> '0' THEN [{', '.join(repr(x) for x in rows)}][event_id % {n} + 1] END" for n, rows in _FILES.values()) + ", '1,auto,256,1,0')"
+_CODED = "CASE kind WHEN 'minus_one_one' THEN v / 127.5::DOUBLE - 1 WHEN 'zero_255' THEN v::DOUBLE ELSE v / 255::DOUBLE END"
+_DECODED = "floor(greatest(0, least(255, CASE kind WHEN 'minus_one_one' THEN (({c}) + 1) * 127.5::DOUBLE WHEN 'zero_255' THEN {c} ELSE ({c}) * 255::DOUBLE END)))::INTEGER"
+_TENSORS = (
+    f"{COLOUR}, named AS (SELECT *, CASE WHEN photo_id % 2 = 0 THEN 'nchw' ELSE 'nhwc' END AS layout, CASE WHEN photo_id % 3 = 0 THEN 'bgr' ELSE 'rgb' END AS \"order\", {{ranges}}[(photo_id // 2) % 3 + 1] AS kind FROM colour)"
+    ", sides AS (SELECT *, CASE WHEN \"order\" = 'bgr' THEN [b, g, r] ELSE [r, g, b] END AS three FROM named)"
+    ", cells AS (SELECT photo_id, layout, \"order\", kind, c, p, CASE WHEN layout = 'nchw' THEN (c - 1) * 64 + p - 1 ELSE (p - 1) * 3 + c - 1 END AS i, three[c][p] AS v FROM sides, (SELECT unnest([1, 2, 3]) AS c), (SELECT unnest(range(1, 65)) AS p))"
+    f", coded AS (SELECT *, {_CODED} AS t FROM cells)"
+    f", back AS (SELECT *, CASE WHEN photo_id % 5 = 0 AND i IN (7, 150) THEN 0 WHEN photo_id % 5 = 0 AND i = 100 THEN 255 ELSE {_DECODED.format(c='t')} END AS u, CASE WHEN c = 2 THEN 'g' WHEN (c = 1) = (\"order\" = 'bgr') THEN 'b' ELSE 'r' END AS plane FROM coded)"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "spec_types": f"SELECT event_id, p[2] AS layout, p[3]::BIGINT AS tile_size, p[4]::DOUBLE AS blend_strength, p[5] = '1' AS preserve_size FROM (SELECT event_id, string_split({_PICKED}, ',') AS p FROM events)",
+        "layouts": f"WITH {_TENSORS.replace('{ranges}', repr(['zero_one', 'minus_one_one', 'zero_255']))} SELECT photo_id, layout, \"order\", kind, round(sum(t * (i + 1) ORDER BY i) / 1000, 3) AS place_sum, sum(CASE WHEN plane = 'b' THEN u ELSE 0 END)::BIGINT AS b_sum, sum(CASE WHEN plane = 'g' THEN u ELSE 0 END)::BIGINT AS g_sum, sum(CASE WHEN plane = 'r' THEN u ELSE 0 END)::BIGINT AS r_sum, count_if(abs(u - v) > 1)::BIGINT AS changed FROM back GROUP BY ALL",
         "edge_map": f"WITH RECURSIVE {edges(70, 150)} SELECT photo_id, y, string_agg(x::VARCHAR, ',' ORDER BY x) AS xs FROM edge GROUP BY 1, 2",
         "screen_ui": f"WITH RECURSIVE {edges(70, 150)}, {_SCREENS} SELECT photo_id, text_edge, social, is_screenshot FROM screens",
         "horizon_segments": f"WITH RECURSIVE {edges(60, 160)}, {_SEGMENTS} SELECT photo_id, round(angle, 6) AS angle, x1, y1, x2, y2 FROM segments",

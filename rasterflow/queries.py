@@ -355,8 +355,31 @@ def spec_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.when(k % 5 == 0, '{"tile_size": 200}').when(k % 5 == 1, "nothing")
     near = F.when(k % 3 == 0, own(F.concat(F.lit('{"tile_size": '), (300 + k % 10).cast("string"), F.lit("}")))).when(k % 11 == 1, own(F.lit("5"))).when(k % 11 == 2, '{"deblur": {}}')
     far = F.when(k % 2 == 0, own(F.lit('{"tile_size": 400}')))
-    text = packs.spec_by_priority(sidecar, plain, near, far, F.lit("denoise"))
-    return table(spark, sf_dir, "events").select("event_id", packs.spec(text)["tile_size"].alias("tile_size"))
+    return table(spark, sf_dir, "events").select("event_id", packs.spec_by_priority(sidecar, plain, near, far, "denoise")["tile_size"].alias("tile_size"))
+
+
+def spec_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as models whose files have values of other types: those that can be read as the right one, and those that pass on to the next file."""
+    k = F.col("event_id")
+    choice = lambda n, *texts: F.get(F.array(*[F.lit(t) for t in texts]), (k % n).cast("int"))
+    sidecar = choice(11, '{"tile_size": "512"}', '{"tile_size": "big"}', '{"tile_size": null}', '{"overlap": [1]}', '{"tile_size": 300.9}', '{"blend_strength": " 0.5 "}', '{"preserve_size": "no"}', '{"tile_size": true}', '{"layout": 5, "tile_size": 70}', '{"tile_size": "12.5"}', None)
+    plain = choice(4, '{"tile_size": 200, "preserve_size": 0}', "7", None, '{"blend_strength": {}}')
+    near = choice(3, '{"denoise": {"tile_size": "x"}}', '{"denoise": []}', '{"deblur": {"tile_size": 1}}')
+    far = choice(2, '{"denoise": {"tile_size": 400, "layout": "NHWC", "preserve_size": []}}', None)
+    s = packs.spec_by_priority(sidecar, plain, near, far, "denoise")
+    return table(spark, sf_dir, "events").select("event_id", s.alias("s")).select("event_id", "s.layout", "s.tile_size", "s.blend_strength", "s.preserve_size")
+
+
+def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour rasters as model tensors in each layout, colour order and number range, and back; some tensors come back with numbers that are none."""
+    r, k = rasters.colour_rasters(spark, sf_dir), F.col("photo_id")
+    r = r.withColumns({"layout": F.when(k % 2 == 0, "nchw").otherwise("nhwc"), "order": F.when(k % 3 == 0, "bgr").otherwise("rgb"), "kind": F.get(F.array(*map(F.lit, packs.RANGES)), (F.floor(k / 2) % 3).cast("int"))})
+    coded = r.withColumn("tensor", tiles.encode(tiles.tensor(F.col("b"), F.col("g"), F.col("r"), F.col("layout"), F.col("order")), F.col("kind")))
+    odd = F.transform("tensor", lambda v, i: F.when((k % 5 == 0) & (i == 7), float("nan")).when((k % 5 == 0) & (i == 100), float("inf")).when((k % 5 == 0) & (i == 150), float("-inf")).otherwise(v))
+    back = coded.withColumn("planes", tiles.planes(tiles.decode(odd, F.col("kind")), F.col("layout"), F.col("order")))
+    apart = lambda c: F.aggregate(F.zip_with(c, F.col("planes")[c], lambda a, b: F.when(F.abs(a - b) > 1, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    place = F.aggregate(F.transform("tensor", lambda v, i: v * (i + 1)), F.lit(0.0).cast("double"), lambda s, x: s + x)
+    return back.select("photo_id", "layout", "order", "kind", F.round(place / 1000, 3).alias("place_sum"), *[P.total(F.col("planes")[c]).alias(f"{c}_sum") for c in "bgr"], (apart("b") + apart("g") + apart("r")).cast("long").alias("changed"))
 
 
 def capability_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -526,5 +549,5 @@ QUERIES = {f.__name__: f for f in (
     capability_request, capability_counts, exact_duplicates, signature_bits, near_pairs, duplicate_groups, best_of_group, strategy_accept, pair_correlation, post_validation, candidate_rank, review_flag,
     batch_counters, report_rows, face_profiles, face_summary, face_similarity, profile_outcomes, capability_resolution, manifest_validation, pack_lint, spec_parse, service_response, output_paths,
     mode_names, straighten_plan, screenshot_score, crop_rows, tile_grid, overlap_add, encode_decode, provider_choice, enhanced_photos,
-    duplicate_outputs, dead_letters, source_index, profile_messages, pack_duplicates, installed_map, capability_steps, spec_priority,
+    duplicate_outputs, dead_letters, source_index, profile_messages, pack_duplicates, installed_map, capability_steps, spec_priority, spec_types, layouts,
 )}

@@ -51,8 +51,8 @@ def test_specifications(spark):
     assert (got[0]["layout"], got[0]["tile_size"], got[0]["overlap"], got[0]["blend_strength"]) == ("nhwc", 64, 0, 1.0)
     assert (got[1]["layout"], got[1]["colour_order"], got[1]["tile_size"], got[1]["overlap"]) == ("auto", "rgb", 256, 32)
     none = F.lit(None).cast("string")
-    pick = packs.spec_by_priority(none, none, F.lit('{"deblur": "{}"}'), F.lit('{"denoise": "{\\"overlap\\": 9}"}'), F.lit("denoise"))
-    assert spark.range(1).select(pick.alias("p")).first().p == "{}"  # a catalogue without the capability ends the search
+    pick = packs.spec_by_priority(none, none, F.lit('{"deblur": "{}"}'), F.lit('{"denoise": "{\\"overlap\\": 9}"}'), "denoise")
+    assert spark.range(1).select(pick["overlap"].alias("p")).first().p == 32  # a catalogue without the capability ends the search
 
 
 def test_archive_members(spark):
@@ -75,9 +75,10 @@ def test_paths_and_report(spark, tmp_path):
     assert tuple(got[0]) == (True, "/r/a/Professionally Enhanced/x.y_enhanced.jpg", "/r/Professionally Enhanced/a/x.y_enhanced.jpg") and not got[1].s
     row = [("f.jpg", 50, "General photo", 1.0, 2.0, 0.1, 0.0, 3.0, 4.0, 0, 0.0, "")]
     report = spark.createDataFrame(row, "filename string, quality_score int, scene string, blur_score double, brightness double, dark_fraction double, clipped_highlights double, contrast double, noise_score double, face_count int, horizon_angle double, review_reason string")
-    assert reports.write_single(report, str(tmp_path / "r.csv")) == 1
-    assert (tmp_path / "r.csv").read_bytes().startswith(b"\xef\xbb\xbffilename,quality_score")
-    assert reports.write_single(report.limit(0), str(tmp_path / "none.csv")) == 0 and not (tmp_path / "none.csv").exists()
+    reports.write_single(report, str(tmp_path / "one"), "r.csv")
+    assert (tmp_path / "one" / "r.csv").read_bytes().startswith(b"\xef\xbb\xbffilename,quality_score")
+    reports.write_single(report.limit(0), str(tmp_path / "none"), "r.csv")
+    assert not (tmp_path / "none" / "r.csv").exists()
     batch = spark.createDataFrame([(True, None), (False, "x"), (False, None)], "review_needed boolean, error string")
     assert tuple(reports.counters(batch).first()) == (2, 2, 1)
 
@@ -99,7 +100,7 @@ def test_catalogue_templates_and_one_pack(spark, tmp_path):
 
 def test_specification_that_is_no_object_is_passed_over(spark):
     none = F.lit(None).cast("string")
-    pick = packs.spec_by_priority(F.lit("[1]"), F.lit("{ broken"), F.lit('{"denoise": 5}'), F.lit('{"denoise": {"overlap": 9}}'), F.lit("denoise"))
-    last = packs.spec_by_priority(none, none, F.lit("broken"), none, F.lit("denoise"))
-    row = spark.range(1).select(packs.spec(pick)["overlap"].alias("a"), packs.spec(last)["overlap"].alias("b")).first()
+    pick = packs.spec_by_priority(F.lit("[1]"), F.lit("{ broken"), F.lit('{"denoise": 5}'), F.lit('{"denoise": {"overlap": 9}}'), "denoise")
+    last = packs.spec_by_priority(none, none, F.lit("broken"), none, "denoise")
+    row = spark.range(1).select(pick["overlap"].alias("a"), last["overlap"].alias("b")).first()
     assert (row.a, row.b) == (9, 32)
