@@ -221,8 +221,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, part_b
     second = next(parts, None)
     if second is None:
         return _search_part(chosen, first, ["doc_id"], width, False).drop("places")
-    # more than one part: rows are told apart by a hash of id and text, equal rows have equal hits
-    keyed = chosen.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    # more than one part: a row is known by its id and its text's SHA-256, equal rows have equal hits
+    keyed = chosen.select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("row"), "text")
     folder, k = fresh_dir(docs.sparkSession, "hits"), 0
     for part in itertools.chain([first, second], parts):
         found = _search_part(keyed, part, ["doc_id", "row"], width, True)
@@ -231,7 +231,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, part_b
     hits = docs.sparkSession.read.parquet(folder)
     copies = F.count_if(F.col("part") == 0)
     return (
-        hits.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), copies.alias("n"))
+        hits.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), copies.alias("n"))
         .select("doc_id", "n_words", "n_hit", "items", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy")).drop("copy")
     )
 

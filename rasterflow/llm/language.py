@@ -8,10 +8,11 @@ with the bits' weights, and takes the smallest; a small lead over the second fla
 
 N-grams are 1, 2 and 3 letters of lower-cased words with one blank around, hashed into 2 ** 14 buckets. Training
 counts them over all labelled rows with Spark (sums per language and bucket; languages x buckets numbers reach
-the driver). With up to 7 languages codes are exhaustive (2 ** (k - 1) - 1 bits), beyond that they are
-4 * ceil(log2 k) + 7 bits drawn from a hash of language rank and bit.
+the driver, for at most MOST_LANGUAGES languages; more are an error). With up to 7 languages codes are exhaustive
+(2 ** (k - 1) - 1 bits), beyond that words of 4 * ceil(log2 k) + 7 bits are drawn by a hash, and a draw is taken only if it
+differs from all before in `least_distance` bits: 6 at 8 languages, 7 at 16, more beyond, so 2 wrong bits or more are corrected.
 
-Null text, or text without a letter, is predicted as ``und`` with score 0; null langs aren't learned; null or
+Languages whose losses are equal: the first by name is predicted. Null text, or text without a letter, is predicted as ``und`` with score 0; null langs aren't learned; null or
 repeated ids keep a row each; with no labelled row everything is ``und``; an empty table gives no
 row; further columns are ignored. Very long texts are scored whole.
 """
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import blocks, crc_mod, mix64, table, tidy
 
 BUCKETS = 1 << 14
+#: Languages that a model holds: BUCKETS numbers each on the driver, and a table of BUCKETS x 43 bits to each worker.
+MOST_LANGUAGES = 512
 _TABLES: dict[str, np.ndarray] = {}
 
 
@@ -103,12 +106,25 @@ def codewords(k: int) -> np.ndarray:
         width = (1 << (k - 1)) - 1
         # column j: the binary digits of j, the first language on the side of ones throughout
         return np.array([[1 if row == 0 or j >> (k - 1 - row) & 1 else -1 for j in range(width)] for row in range(k)], float)
-    width = 4 * math.ceil(math.log2(k)) + 7
-    bits = mix64(np.arange(1, k * width + 1, dtype=np.uint64)).reshape(k, width) >> np.uint64(63)
-    code = bits.astype(float) * 2 - 1
+    width, gap, drawn, seed = 4 * math.ceil(math.log2(k)) + 7, least_distance(k), [], 0
+    while len(drawn) < k:
+        seed += 1
+        word = int(mix64(np.array([seed], np.uint64))[0]) >> (64 - width)
+        if all((word ^ other).bit_count() >= gap for other in drawn):
+            drawn.append(word)
+    code = np.array([[1 if word >> j & 1 else -1 for j in range(width)] for word in drawn], float)
     return code[:, np.abs(code.sum(0)) < k]
 
 
+def least_distance(k: int) -> int:
+    """Bits in which any two of k > 7 codewords differ at least: the largest number for which balls around all of them fill half of the words at most, so that drawing goes on to the end."""
+    width, gap, ball = 4 * math.ceil(math.log2(k)) + 7, 0, 1
+    while 2 * k * ball <= 1 << width:
+        gap += 1
+        ball += math.comb(width, gap)
+    return gap
+
+
 class Model:
     """langs, codewords, log ratios by bucket and bit, spreads and weights of the bits."""
 
@@ -154,6 +170,8 @@ def fit(labelled: DataFrame) -> Model:
     counts: dict[str, np.ndarray] = {}
     for r in train_counts(labelled.where(F.col("lang").isNotNull())).toLocalIterator():
         counts.setdefault(r.lang, np.zeros(BUCKETS))[r.bucket] = r.n
+        if len(counts) > MOST_LANGUAGES:
+            raise ValueError(f"more than {MOST_LANGUAGES} languages")
     return Model(counts)
 
 

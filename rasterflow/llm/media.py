@@ -7,8 +7,10 @@ loops are numpy steps over a whole code segment (what lies between two clear cod
 from the codes' positions, lengths and bytes of the codes' strings from pointer doubling.
 
 Null samples are stored as an empty payload (padded to one row); null media give no frames and null features;
-a stream that is not a GIF, or is cut short, gives the frames before the fault and the fault as text. Null and
-repeated ids keep a row each, an empty table gives none, further columns are ignored.
+a stream that is not a GIF, or is cut short, gives the frames before the fault and the fault as text. So does one whose canvas or
+frame is declared larger than MOST_PIXELS: nothing is allocated before sizes are known to be bounded, and codes are
+expanded no further than the frame they fill. Null and repeated ids keep a row each, an empty table gives none, further
+columns are ignored. Very long texts are stored whole, as more frames of the same size.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .common import table, tidy
 #: Samples in a row of a stored frame, rows in a frame at most, and hundredths of a second a frame is shown.
 WIDTH, ROWS, DELAY = 64, 2048, 10
 MOST_CODES = 4096
+#: Pixels of a canvas or frame that the reader takes on (256 MB as 24-bit colours).
+MOST_PIXELS = 1 << 26
 
 
 def palette() -> np.ndarray:
@@ -109,7 +113,7 @@ def lzw_decode(stream: bytes, size: int, limit: int) -> np.ndarray:
             n *= 2  # the dictionary is full and stays: codes go on at 12 bits
         k = int(stop[0]) if len(stop) else fit
         if k:
-            part = _expand(codes[:k], clear)
+            part = _expand(codes[:k], clear, limit - total)
             out.append(part)
             total += len(part)
         if not len(stop) or codes[k] == end:
@@ -119,8 +123,8 @@ def lzw_decode(stream: bytes, size: int, limit: int) -> np.ndarray:
     return samples[:limit]
 
 
-def _expand(codes: np.ndarray, clear: int) -> np.ndarray:
-    """The samples of the codes of one segment. Code clear + 2 + i is the string of code i and the sample after it."""
+def _expand(codes: np.ndarray, clear: int, limit: int) -> np.ndarray:
+    """The samples of the codes of one segment, up to the code that reaches limit. Code clear + 2 + i is the string of code i and the sample after it."""
     refers = codes > clear + 1
     before = np.where(refers, codes - (clear + 2), np.arange(len(codes)))
     if (before > np.arange(len(codes))).any() or (refers & (before >= np.arange(len(codes)))).any():
@@ -135,7 +139,9 @@ def _expand(codes: np.ndarray, clear: int) -> np.ndarray:
         jump = jump[jump]
     length += 1
     ends = np.cumsum(length)
-    start = ends - length
+    used = int(np.searchsorted(ends, limit)) + 1
+    codes, refers, length, ends = codes[:used], refers[:used], length[:used], ends[:used]
+    start, before = ends - length, before[:used]
     source = np.arange(int(ends[-1]), dtype=np.int64) - np.repeat(start - start[before], length)
     while True:
         nearer = source[source]
@@ -190,6 +196,8 @@ def decode_gif(data: bytes):
         shared = colours(flags & 7)
         at += 3 << ((flags & 7) + 1)
     back = int(shared[ground]) if shared is not None else 0
+    if wide * tall > MOST_PIXELS:
+        raise ValueError(f"a canvas of {wide} x {tall} pixels is larger than the reader takes")
     canvas = np.full((tall, wide), back, np.uint32)
     delay, disposal, clear_index = 0, 0, None
     while True:
@@ -214,6 +222,8 @@ def decode_gif(data: bytes):
             at += 3 << ((flags & 7) + 1)
         size = data[at]
         stream, at = _blocks(data, at + 1)
+        if w * h > MOST_PIXELS:
+            raise ValueError(f"a frame of {w} x {h} pixels is larger than the reader takes")
         samples = lzw_decode(stream, size, w * h)
         if len(samples) < w * h:
             raise ValueError("a frame is cut short")

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -93,6 +94,29 @@ def test_frames_and_faults(spark):
 PAGES = "page_id long, url string, html string, digest string, number int"
 
 
+def test_declared_sizes_are_bounded(spark):
+    head = lambda w, h: b"GIF89a" + w.to_bytes(2, "little") + h.to_bytes(2, "little") + b"\x00\x00\x00"
+    wide = head(8, 8) + b"\x2c\x00\x00\x00\x00\xff\xff\xff\xff\x00\x08\x00"
+    df = spark.createDataFrame([(1, head(65535, 65535) + b"\x3b"), (2, wide)], "doc_id long, media binary")
+    assert sorted((r.id, r.frame, r.error.split()[1]) for r in media.frames(df).collect()) == [(1, 0, "canvas"), (2, 0, "frame")]
+
+
+def test_long_codes_end_at_the_limit():
+    # a sample, then each code the string just made: 4,096 codes stand for some eight million samples
+    run = media.lzw_encode(bytes(8_000_000))
+    assert len(run) < 7000
+    for limit in (0, 1, 2, 100, 70_000):
+        tracemalloc.start()
+        got = media.lzw_decode(run, 8, limit)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert bytes(got) == bytes(limit) and peak < 8_000_000
+    texts = "".join(random.choice("abc") for _ in range(50_000)).encode()
+    packed = media.lzw_encode(texts)
+    for limit in (0, 1, 999, 49_999, 50_000, 60_000):
+        assert bytes(media.lzw_decode(packed, 8, limit)) == texts[:limit]
+
+
 def test_archives(spark):
     long = "<p>" + "long page é " * 9000
     rows = [(1, "u", "same"), (2, "u", "same"), (3, None, None), (4, "u", ""), (5, "u\r\nx", long), (6, "u", long), (7, "u", "alone"), (8, "u", "alone"), (8, "u", "alone"), (None, "u", "same")]

@@ -286,7 +286,8 @@ def test_language_codes():
     for k in (2, 3, 5, 7, 12, 40):
         code = language.codewords(k)
         gaps = [(a != b).sum() for i, a in enumerate(code) for b in code[:i]]
-        assert min(gaps) >= (1 if k == 2 else 2) and set(np.unique(code)) <= {-1, 1}
+        assert min(gaps) >= (1 if k == 2 else 2 if k <= 7 else language.least_distance(k)) and set(np.unique(code)) <= {-1, 1}
+    assert [language.least_distance(k) for k in (8, 16, 40, 512)] == [6, 7, 9, 12]
 
 
 def test_languages_held_out(spark, no_docs, odd_docs):
