@@ -24,6 +24,11 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A folder in the shared one that nothing is in."""
+    return f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint()
@@ -32,7 +37,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """df written to a table in the shared folder and read again. Unlike a checkpoint it takes its size from its files: in rounds
     of joins an estimate carried on would be squared in each round, until the planner does nothing but multiply."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

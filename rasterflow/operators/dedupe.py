@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterflow.functions import pixels as P
 from rasterflow.functions import resample
-from rasterflow.functions.sharing import checkpoint, numbered
+from rasterflow.functions.sharing import checkpoint, numbered, stored
 from rasterflow.sources import rasters
 
 #: Differing bits up to which two signatures count as near duplicates.
@@ -76,31 +79,74 @@ def near_pairs(left: DataFrame, right: DataFrame, near: int = NEAR, left_id: str
     return met.select("left_sig", "right_sig", "distance").join(mine, "left_sig").join(theirs, "right_sig").select(left_id, right_id, "distance")
 
 
-def _decided(nodes: DataFrame, near: int) -> DataFrame:
+#: What a round needs of an edge from node a to node b: the group that repeated content near a opens, and what is known of b.
+EDGE = "a, b, copied, copied_first, leads"
+DECIDED = "node long, created long, leader long"
+
+
+def _walk(batches):
+    """Decides what can be decided of the edges of a range of nodes, in order of a; a row per decided node.
+
+    Only the decisions of the range's own nodes are kept, not its edges."""
+    led: dict[int, bool] = {}
+
+    def settle(node, group, wait):
+        if group is None and wait is None:
+            led[node] = True
+            return node, node, node
+        if group is not None and (wait is None or group[0] < wait):
+            led[node] = False
+            return node, *group
+        return None
+
+    node, group, wait = None, None, None
+    for batch in batches:
+        out = []
+        for a, b, copied, first, leads in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if a != node:
+                if node is not None:
+                    out.append(settle(node, group, wait))
+                node, group, wait = a, None, None
+            if b < a:
+                leads = led.get(b) if leads is None else leads
+                if leads is None:
+                    wait = b if wait is None else min(wait, b)
+                elif leads:
+                    group = (b, b) if group is None else min(group, (b, b))
+            if copied is not None and copied < a:
+                group = (copied, first) if group is None else min(group, (copied, first))
+        yield _settled(out)
+    if node is not None:
+        yield _settled([settle(node, group, wait)])
+
+
+def _settled(rows) -> pa.RecordBatch:
+    rows = [r for r in rows if r]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["node", "created", "leader"])
+
+
+def _decided(nodes: DataFrame, near: int, ranges: int | None = None) -> DataFrame:
     """(node, created, leader) for nodes (node, sig, copied, copied_first): the group that a walk in order puts each in.
 
     A node is the first file of its signature, copied the first repeated content there, which opens a group under copied_first. A
     node joins the earliest group near it, unless an undecided node before it might lead an earlier one; it leads a group of
-    its own once all before it are decided and none is near. Every round of joins decides at least the first
-    undecided node of each stretch of near ones."""
+    its own once all before it are decided and none is near. Each round walks every range of nodes in order; a node that waits for
+    one of another range is left for the next round. The first range that has undecided nodes is decided whole, so there are at most as
+    many rounds as ranges, and a chain takes one for each range that it runs through in order."""
     sides = near_pairs(nodes.select(F.col("node").alias("a"), "sig"), nodes.select(F.col("node").alias("b"), "sig"), near, "a", "b").where("a <> b")
     other = nodes.select(F.col("node").alias("b"), "copied", "copied_first")
-    edges = checkpoint(sides.join(other, "b").where("b < a or copied < a").select("a", "b", "copied", "copied_first"))
+    edges = stored(sides.join(other, "b").where("b < a or copied < a").select("a", "b", "copied", "copied_first"))
     alone = nodes.select("node").join(edges.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
-    done = checkpoint(alone.select("node", F.col("node").alias("created"), F.col("node").alias("leader")))
-    left = checkpoint(edges.select(F.col("a").alias("node")).distinct())
+    done = [stored(alone.select("node", F.col("node").alias("created"), F.col("node").alias("leader")))]
+    left = edges
     while not left.isEmpty():
-        known = done.select(F.col("node").alias("b"), (F.col("created") == F.col("node")).alias("leads"))
-        open_edges = edges.join(left.withColumnRenamed("node", "a"), "a").join(known, "b", "left")
-        led = F.when(F.col("leads") & (F.col("b") < F.col("a")), F.struct(F.col("b").alias("created"), F.col("b").alias("leader")))
-        copied = F.when(F.col("copied") < F.col("a"), F.struct(F.col("copied").alias("created"), F.col("copied_first").alias("leader")))
-        waits = F.when(F.col("leads").isNull() & (F.col("b") < F.col("a")), F.col("b"))
-        found = open_edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min(led), F.min(copied)).alias("group"), F.min(waits).alias("wait"))
-        joins = F.col("group").isNotNull() & (F.col("wait").isNull() | (F.col("group.created") < F.col("wait")))
-        leads = F.col("group").isNull() & F.col("wait").isNull()
-        step = checkpoint(found.where(joins | leads).select("node", F.coalesce("group.created", "node").alias("created"), F.coalesce("group.leader", "node").alias("leader")))
-        done, left = checkpoint(done.unionByName(step)), checkpoint(left.join(step, "node", "left_anti"))
-    return done
+        known = reduce(DataFrame.unionByName, done).select(F.col("node").alias("b"), (F.col("created") == F.col("node")).alias("leads"))
+        told = left.join(known, "b", "left").selectExpr(EDGE.split(", "))
+        ordered = (told.repartitionByRange(ranges, "a") if ranges else told.repartitionByRange("a")).sortWithinPartitions("a", "b")
+        step = stored(ordered.mapInArrow(_walk, DECIDED))
+        done.append(step)
+        left = stored(left.join(step.select(F.col("node").alias("a")), "a", "left_anti"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def groups(files: DataFrame, near: int = NEAR) -> DataFrame:
@@ -108,7 +154,7 @@ def groups(files: DataFrame, near: int = NEAR) -> DataFrame:
 
     The groups are those of a walk in order, which opens a group [first, this] for each repeated content, else joins the
     first group whose leader is near, else opens a group of one; groups of one are left out. Files of equal signature
-    follow the first of them, and these are decided in rounds of joins, so no component is walked in one task."""
+    follow the first of them, and these are decided in rounds over ranges of the order."""
     first = files.groupBy("sha").agg(F.min(F.struct("ord", "sig")).alias("f")).select("sha", F.col("f.ord").alias("first"), F.col("f.sig").alias("sig"))
     copies = files.select("ord", "sha").join(first.select("sha", "first", "sig"), "sha").where("ord > first")
     second = copies.groupBy("sig").agg(F.min(F.struct(F.col("ord").alias("copied"), F.col("first").alias("copied_first"))).alias("c")).select("sig", "c.copied", "c.copied_first")

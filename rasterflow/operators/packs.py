@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterflow.functions.pixels import once
+from rasterflow.functions.sharing import stored
 from rasterflow.operators.rules import listed
+from rasterflow.sources import archives, files
 
 FILE = "capability string, filename string, sha256 string, size bigint, providers array<string>, required boolean"
 MANIFEST = f"schema_version int, pack_id string, name string, version string, minimum_app_version string, archive_url string, archive_sha256 string, files array<struct<{FILE.replace(' string', ': string').replace(' bigint', ': bigint').replace(' array', ': array').replace(' boolean', ': boolean')}>>"
@@ -275,6 +277,32 @@ def safe_member(name: Column) -> Column:
     return ~F.startswith(name, F.lit("/")) & ~name.rlike(r"^[A-Za-z]:") & (depth["least"] >= 0)
 
 
+def archive_faults(members: DataFrame) -> DataFrame:
+    """A row per archive of ``archives.members``: its members, unsafe names, bytes and fault; ready where it may be unpacked.
+
+    An archive with a single unsafe name isn't unpacked at all, nor is one that can't be read or holds an encrypted member."""
+    told = members.withColumn("safe", safe_member(F.col("member"))).groupBy("archive").agg(
+        F.count("member").alias("members"), F.count_if(~F.col("safe")).alias("unsafe"), F.count_if("encrypted").alias("encrypted"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
+        F.min_by("member", F.when(~F.col("safe"), F.col("position"))).alias("first_unsafe"), F.max("error").alias("error"),
+    )
+    fault = (
+        F.when(F.col("error").isNotNull(), F.concat(F.lit("unreadable archive: "), "error")).when(F.col("unsafe") > 0, F.concat(F.lit("unsafe path in archive: "), "first_unsafe"))
+        .when(F.col("encrypted") > 0, "encrypted member")
+    )
+    return told.select("archive", "members", "unsafe", "bytes", fault.alias("fault"), fault.isNull().alias("ready"))
+
+
+def unpack_archives(spark: SparkSession, folder: str, out: str) -> DataFrame:
+    """Unpacks the archives below folder that are ready, each into the folder of its own name below out; ``archive_faults`` of all of them.
+
+    Contents go from the task that reads an archive straight to the sink, some megabytes at a time; the job's failure takes all files back."""
+    judged = stored(archive_faults(archives.members(spark, folder)))
+    ready = judged.where("ready").select("archive").repartition("archive")
+    place = F.concat(F.regexp_replace("archive", r"(?i)\.zip$", ""), F.lit("/"), F.col("target"))
+    files.write_files(archives.pieces(ready, folder).withColumn("name", place), out)
+    return judged
+
+
 def preferred_providers(available: Column) -> Column:
     """The known providers there are, best first."""
     return F.array_intersect(F.array(*map(F.lit, PROVIDERS)), available)

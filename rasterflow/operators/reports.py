@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rasterflow.sources import files, rasters
@@ -37,6 +37,19 @@ def counters(results: DataFrame) -> DataFrame:
     return results.agg(F.count_if(ok).alias("completed"), F.count_if(~ok | F.col("review_needed")).alias("review"), F.count_if(~ok).alias("failed"))
 
 
+def write_outcomes(results: DataFrame, members: DataFrame, folder: str) -> dict[str, int]:
+    """Writes the outcomes of a batch and the members of its duplicate groups below folder; completed, review, failed and duplicates as these very passes saw them.
+
+    results: as for ``counters``; members: see ``dedupe.groups``, of which each but a group's first is a duplicate. The counters are observed where rows go into
+    files, in the job's last stage, so nothing is scanned again, and a task that is tried twice counts once."""
+    ok = F.col("error").isNull()
+    seen, copied = Observation(), Observation()
+    batch = results.observe(seen, F.count_if(ok).alias("completed"), F.count_if(~ok | F.col("review_needed")).alias("review"), F.count_if(~ok).alias("failed"))
+    batch.write.parquet(f"{folder.rstrip('/')}/outcomes")
+    members.observe(copied, F.count_if(F.col("position") > 0).alias("duplicates")).write.parquet(f"{folder.rstrip('/')}/duplicates")
+    return seen.get | copied.get
+
+
 def split_errors(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, dead letters) of an outcome column error."""
     return results.where(F.col("error").isNull()).drop("error"), results.where(F.col("error").isNotNull())

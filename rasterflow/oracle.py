@@ -274,6 +274,7 @@ def oracle_sql() -> dict[str, str]:
         "candidate_rank": f"WITH {VALIDATED}, s AS (SELECT photo_id // 4 AS reference, photo_id % 4 AS candidate, len(reasons) = 0 AS accepted, identity * 0.62::DOUBLE + round(structure, 6) * 0.38::DOUBLE - (round(clip_delta, 6) * 8.0::DOUBLE + greatest(0.0::DOUBLE, round(sharp_ratio, 6) - 1.0) * 0.03::DOUBLE) AS score FROM validated) SELECT reference, count(*) OVER (PARTITION BY reference) AS attempted, count(*) FILTER (accepted) OVER (PARTITION BY reference) AS accepted_candidates, candidate AS chosen, accepted, round(score, 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY reference ORDER BY accepted DESC, score DESC, candidate) = 1",
         "review_flag": f"WITH {SCORED} SELECT photo_id, {_needed()} AS review_needed FROM inspected",
         "batch_counters": f"WITH {SCORED} SELECT photo_id % 3 AS root, count(*) FILTER (photo_id % 29 <> 0) AS completed, count(*) FILTER (photo_id % 29 = 0 OR {_needed()}) AS review, count(*) FILTER (photo_id % 29 = 0) AS failed FROM inspected GROUP BY 1",
+        "batch_totals": f"SELECT * FROM (WITH {SCORED} SELECT count(*) FILTER (photo_id % 29 <> 0) AS completed, count(*) FILTER (photo_id % 29 = 0 OR {_needed()}) AS review, count(*) FILTER (photo_id % 29 = 0) AS failed FROM inspected), ({groups} SELECT count(*) FILTER (position > 0) AS duplicates FROM members)",
         "report_rows": f"WITH {SCORED}, {HORIZON} SELECT 'photo-' || lpad(photo_id::VARCHAR, 6, '0') || '.jpg' AS filename, analyser AS quality_score, {SCENE} AS scene, round(round_even(blur, 2), 1) AS blur_score, round(round_even(brightness, 2), 1) AS brightness, round(round_even(dark_35, 4), 3) AS dark_fraction, round(round_even(light_250, 4), 3) AS clipped_highlights, round(round_even(contrast, 2), 1) AS contrast, round(round_even(noise, 2), 1) AS noise_score, face_count, round(round_even(angle, 2), 1) AS horizon_angle, {joined(REASONS, ', ')} AS review_reason FROM inspected JOIN horizon ON vec_id = photo_id",
         "face_profiles": f"WITH {PROFILED} SELECT photo_id, k, round(area_ratio, 6) AS area_ratio, round(brightness, 6) AS brightness, round(contrast, 6) AS contrast, round(sharpness, 4) AS sharpness, level, CASE level WHEN 'Maximum' THEN 0.10::DOUBLE WHEN 'High' THEN 0.16::DOUBLE ELSE 0.24::DOUBLE END AS most_change FROM levelled",
         "face_summary": f"WITH {PROFILED}, s AS (SELECT photo_id, count(*) AS n, min(area_ratio) AS m, bool_or(level = 'Maximum') AS x FROM levelled GROUP BY 1) SELECT vec_id AS photo_id, coalesce(n, 0) AS face_count, round(coalesce(m, 0.0::DOUBLE), 6) AS smallest_face, coalesce(x, false) AS any_maximum FROM embeddings LEFT JOIN s ON photo_id = vec_id",

@@ -151,6 +151,19 @@ _TENSORS = (
 )
 
 
+def _ramp(place: str, size: str, overlap: int) -> str:
+    edge = f"least({overlap}, greatest(1, {size} // 2))"
+    rise = lambda k: f"CASE WHEN {edge} = 1 THEN 0.08::DOUBLE ELSE 0.08::DOUBLE + 0.92::DOUBLE * ({k}) / greatest({edge} - 1, 1) END"
+    return f"(CASE WHEN {place} >= {size} - {edge} THEN {rise(f'{size} - 1 - {place}')} WHEN {place} < {edge} THEN {rise(place)} ELSE 1.0::DOUBLE END)"
+
+
+_DOUBLED = (
+    f"{SCENES}, ys AS (SELECT *, unnest(range(0, height, 8)) AS y FROM scenes), xs AS (SELECT *, unnest(range(0, width, 8)) AS x FROM ys), t AS (SELECT *, 2 * (least(y + 12, height) - y) AS h, 2 * (least(x + 12, width) - x) AS w FROM xs), "
+    f"c AS (SELECT *, unnest(range(h * w)) AS k FROM t), p AS (SELECT photo_id, 2 * y + k // w AS oy, 2 * x + k % w AS ox, px[(y + k // w // 2) * width + x + k % w // 2 + 1] + (y + x) % 16 AS v, {_ramp('(k // w)', 'h', 8)} * {_ramp('(k % w)', 'w', 8)} AS wt FROM c), "
+    "s AS (SELECT photo_id, oy, ox, floor(round(least(255.0::DOUBLE, sum(v * wt) / sum(wt)), 6))::INTEGER AS ramped, floor(round(least(255.0::DOUBLE, avg(v)), 6))::INTEGER AS even FROM p GROUP BY 1, 2, 3)"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "spec_types": f"SELECT event_id, p[2] AS layout, p[3]::BIGINT AS tile_size, p[4]::DOUBLE AS blend_strength, p[5] = '1' AS preserve_size FROM (SELECT event_id, string_split({_PICKED}, ',') AS p FROM events)",
@@ -161,6 +174,7 @@ def oracle_sql() -> dict[str, str]:
         "horizon_plan": f"WITH RECURSIVE {edges(60, 160)}, {_SEGMENTS}, angles AS (SELECT photo_id, round(median(angle), 6) AS angle FROM segments WHERE abs(angle) <= 12 GROUP BY 1), {edges(70, 150, 'hard', False)}, {_HARD_SCREENS} "
         "SELECT photo_id, coalesce(angle, 0.0) AS angle, abs(coalesce(angle, 0.0)) >= 0.45 AND abs(coalesce(angle, 0.0)) <= 8 AND NOT is_screenshot AS straightens FROM screens LEFT JOIN angles USING (photo_id)",
         "scene_inspection": f"WITH RECURSIVE {_INSPECTED}, q AS (SELECT *, round_even({engine_quality('blur', 'contrast', 'noise', 'dark_8', 'clipped_250')}, 0)::INTEGER AS quality_score FROM inspected) SELECT photo_id, is_screenshot, {joined(PROBLEMS, '; ')} AS problems, {TYPE} AS image_type, {joined(STAGES, '; ')} AS stages FROM q",
+        "tiled_upscale": f"WITH {_DOUBLED} SELECT photo_id, count(*) AS pixels, sum(ramped)::BIGINT AS ramped_sum, sum(even)::BIGINT AS even_sum, sum(ramped * (oy * 7 + ox))::BIGINT AS ramped_place_sum, count(*) FILTER (ramped <> even) AS differing FROM s GROUP BY 1",
         "spot_regions": "WITH RECURSIVE " + _regions(_BRIGHT, "2", "height * width / 100"),
         "flare_regions": "WITH RECURSIVE " + _regions(_OPENED, "9", "1000"),
         "dust_share": f"WITH {_OFF}, d AS (SELECT photo_id, len([i FOR i IN range(height * width) IF {_COVERED}]) / (height * width)::DOUBLE AS share FROM offs) SELECT photo_id, round(share, 6) AS share, share > 0 AND share < 0.012 AS mended FROM d",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rasterflow.functions import pixels as P
 from rasterflow.functions import resample
 from rasterflow.functions.sharing import checkpoint
-from rasterflow.operators import dedupe, faces, measure, regions, rules
+from rasterflow.operators import dedupe, faces, measure, regions, rules, tiles
 from rasterflow.operators import scanlines as L
 from rasterflow.sources import rasters
 
@@ -119,6 +119,23 @@ def perceptual_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasters.tiled_rasters(spark, sf_dir).select("photo_id", dedupe.signature_hex(dedupe.perceptual_hash(F.col("px"), 24, 24)).alias("phash"))
 
 
+#: Tiles of scenes (photographs: 256 and 16 or more), and how much larger the stand-in for a model makes them.
+TILE, OVERLAP, SCALE = 12, 4, 2
+
+
+def tiled_upscale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes doubled tile by tile, each tile's levels raised by its place, and added up: by edge-ramped weights and by plain averages."""
+    cells = tiles.grid(rasters.scene_rasters(spark, sf_dir), TILE, TILE - OVERLAP).withColumns({"tall": (F.col("y1") - F.col("y")) * SCALE, "wide": (F.col("x1") - F.col("x")) * SCALE})
+    cells = cells.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("tall") * F.col("wide") - 1))).withColumns({"dy": F.floor(F.col("k") / F.col("wide")).cast("int"), "dx": F.col("k") % F.col("wide")})
+    made = F.get("px", (F.col("y") + F.floor(F.col("dy") / SCALE)).cast("int") * F.col("width") + (F.col("x") + F.floor(F.col("dx") / SCALE)).cast("int")) + (F.col("y") + F.col("x")) % 16
+    ramped = tiles.weight(F.col("dy"), F.col("dx"), F.col("tall"), F.col("wide"), OVERLAP * SCALE)
+    patches = cells.select("photo_id", (F.col("y") * SCALE + F.col("dy")).alias("y"), (F.col("x") * SCALE + F.col("dx")).alias("x"), made.alias("value"), ramped.alias("weight"))
+    both = tiles.overlap_add(patches).withColumnRenamed("value", "ramped").join(tiles.overlap_add(patches.withColumn("weight", F.lit(1.0))).withColumnRenamed("value", "even"), ["photo_id", "y", "x"])
+    return both.groupBy("photo_id").agg(
+        F.count("*").alias("pixels"), *[F.sum(c).alias(f"{c}_sum") for c in ("ramped", "even")], F.sum(F.col("ramped") * (F.col("y") * 7 + F.col("x"))).alias("ramped_place_sum"), F.count_if(F.col("ramped") != F.col("even")).alias("differing")
+    )
+
+
 QUERIES = {f.__name__: f for f in (
-    edge_map, screen_ui, horizon_segments, horizon_plan, scene_inspection, spot_regions, flare_regions, dust_share, preview_focus, patch_similarity, perceptual_hashes,
+    edge_map, screen_ui, horizon_segments, horizon_plan, scene_inspection, spot_regions, flare_regions, dust_share, preview_focus, patch_similarity, perceptual_hashes, tiled_upscale,
 )}

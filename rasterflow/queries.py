@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterflow.functions import pixels as P
-from rasterflow.functions.sharing import numbered
+from rasterflow.functions.sharing import fresh_folder, numbered
 from rasterflow.operators import candidates, dedupe, faces, measure, packs, reports, rules, tiles
 from rasterflow.sources import rasters
 from rasterflow.sources.rasters import table
@@ -231,6 +231,13 @@ def batch_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _review(spark, sf_dir).groupBy("root").agg(F.count_if(ok).alias("completed"), F.count_if(~ok | F.col("review_needed")).alias("review"), F.count_if(~ok).alias("failed"))
 
 
+def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of the whole batch, duplicates included, as the passes that write its outcomes and duplicate groups see them."""
+    outcomes = _review(spark, sf_dir).select("photo_id", "root", "error", "review_needed")
+    counted = reports.write_outcomes(outcomes, dedupe.groups(_files(spark, sf_dir)), fresh_folder(spark))
+    return spark.range(1).select(*[F.lit(counted[c]).cast("long").alias(c) for c in ("completed", "review", "failed", "duplicates")])
+
+
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     df = _scored(spark, sf_dir).withColumns({
@@ -547,7 +554,7 @@ def enhanced_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     raster_tone, raster_focus, raster_blockiness, raster_dynamic_range, raster_colour, raster_gradients, low_light_gate, quality_scores, review_reasons, scene_rollup, problem_list, plan_stages,
     capability_request, capability_counts, exact_duplicates, signature_bits, near_pairs, duplicate_groups, best_of_group, strategy_accept, pair_correlation, post_validation, candidate_rank, review_flag,
-    batch_counters, report_rows, face_profiles, face_summary, face_similarity, profile_outcomes, capability_resolution, manifest_validation, pack_lint, spec_parse, service_response, output_paths,
+    batch_counters, batch_totals, report_rows, face_profiles, face_summary, face_similarity, profile_outcomes, capability_resolution, manifest_validation, pack_lint, spec_parse, service_response, output_paths,
     mode_names, straighten_plan, screenshot_score, crop_rows, tile_grid, overlap_add, encode_decode, provider_choice, enhanced_photos,
     duplicate_outputs, dead_letters, source_index, profile_messages, pack_duplicates, installed_map, capability_steps, spec_priority, spec_types, layouts,
 )}

@@ -41,6 +41,41 @@ def test_groups_are_those_of_a_walk(spark):
         assert got == sorted(walk(files))
 
 
+def test_groups_of_chains_take_few_rounds(spark, monkeypatch):
+    """Frames in path order, each near the ones beside it only: decided in a round for each range, not for each frame."""
+    random.seed(17)
+    sig, files = random.getrandbits(64), []
+    for o in range(5000):
+        files.append((o, f"s{o}", sig - 2**64 if sig >> 63 else sig))
+        for b in range(5):
+            sig ^= 1 << (o * 5 + b) % 64
+    df = spark.createDataFrame(files, "ord long, sha string, sig long")
+    rounds = []
+    kept = dedupe.stored
+    monkeypatch.setattr(dedupe, "stored", lambda d: (rounds.append(d.columns), kept(d))[1])
+    got = sorted((r.group, r.position, r.ord) for r in dedupe.groups(df).collect())
+    assert got == sorted(walk(files)) and rounds.count(["node", "created", "leader"]) < 15
+
+
+def test_groups_over_many_ranges(spark):
+    random.seed(29)
+    sigs = [flipped(random.getrandbits(6) * 0x0101010101010101, random.randint(0, 3)) for _ in range(150)]
+    shas = [(f"s{k}", s) for k, s in enumerate(sigs)]
+    files = [(o, *random.choice(shas)) for o in range(300)]
+    first = {}
+    for o, sha, sig in files:
+        first.setdefault(sha, (o, sig))
+    nodes, copied = {}, {}
+    for o, sig in first.values():
+        nodes[sig] = min(o, nodes.get(sig, o))
+    for o, sha, sig in files:
+        if o > first[sha][0]:
+            copied.setdefault(sig, (o, first[sha][0]))
+    df = spark.createDataFrame([(o, s, *copied.get(s, (None, None))) for s, o in nodes.items()], "node long, sig long, copied long, copied_first long")
+    one, many = (sorted(map(tuple, dedupe._decided(df, 7, ranges).collect())) for ranges in (1, 7))
+    assert one == many and len(one) == len(nodes) and len({c for _, c, _ in one}) > 5
+
+
 def test_near_pairs_miss_nothing(spark):
     random.seed(9)
     sigs = [random.getrandbits(64) - 2**63 for _ in range(40)]

@@ -1,15 +1,17 @@
-"""The sink of files, reports of many roots, typed specifications and tensor layouts."""
+"""The sink of files, archives, counters, reports of many roots, typed specifications and tensor layouts."""
 
 import csv
 import io
 import time
+import warnings
+import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterflow.operators import packs, tiles
-from rasterflow.sources import files
+from rasterflow.operators import packs, reports, tiles
+from rasterflow.sources import archives, files
 
 
 def tree(folder):
@@ -42,6 +44,46 @@ def test_a_failed_job_leaves_no_file(spark, tmp_path):
     assert tree(tmp_path / "twice") == {}
 
 
+def test_archives_are_listed_and_unpacked(spark, tmp_path):
+    source, big = tmp_path / "packs", bytes(range(256)) * 40_000
+    (source / "deep er").mkdir(parents=True)
+
+    def pack(name, *members):
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")  # of names that come twice
+            with zipfile.ZipFile(source / name, "w", zipfile.ZIP_DEFLATED) as z:
+                for n, content in members:
+                    z.writestr(n, content)
+
+    pack("good.zip", ("manifest.json", "{}"), ("models/", ""), ("models/m.onnx", big), ("models/empty", b""), ("models/../side.txt", "x"), ("manifest.json", "{1}"))
+    for k, bad in enumerate(("../up", "a/../../up", "/root", "C:/x", "a\\\\..\\\\..\\\\x")):
+        pack(f"bad{k}.zip", ("fine", "1"), (bad, "2"))
+    pack("deep er/many.ZIP", *[(f"d{k % 7}/f{k}", str(k)) for k in range(10_000)])
+    pack("none.zip")
+    (source / "torn.zip").write_bytes((source / "good.zip").read_bytes()[:-30])
+    (source / "note.txt").write_text("no archive")
+    assert archives.members(spark, f"file://{source}").where("archive = 'good.zip'").orderBy("position").select("member", "size", "is_folder").collect()[:3] == [("manifest.json", 2, False), ("models/", 0, True), ("models/m.onnx", len(big), False)]
+    out = tmp_path / "out"
+    got = {r.archive: r for r in packs.unpack_archives(spark, f"file://{source}", f"file://{out}").collect()}
+    assert len(got) == 9 and {k for k, r in got.items() if r.ready} == {"good.zip", "deep er/many.ZIP", "none.zip"}
+    assert got["torn.zip"].fault.startswith("unreadable") and got["torn.zip"].members == 0 and got["none.zip"].members == 0
+    assert {(r.unsafe, r.members) for k, r in got.items() if k.startswith("bad")} == {(1, 2)} and got["bad0.zip"].fault == "unsafe path in archive: ../up"
+    found = tree(out)
+    assert {k: v for k, v in found.items() if k.startswith("good/")} == {"good/manifest.json": b"{1}", "good/models/m.onnx": big, "good/models/empty": b"", "good/side.txt": b"x"}
+    assert len(found) == 10_004 and found["deep er/many/d3/f9999"] == b"9999"
+    (tmp_path / "bare").mkdir()
+    assert packs.unpack_archives(spark, f"file://{tmp_path}/bare", f"file://{tmp_path}/o2").count() == 0
+
+
+def test_counters_of_the_writing_pass(spark, tmp_path):
+    results = spark.createDataFrame([(k, None if k % 5 else "bad", k % 3 == 0) for k in range(60)], "photo_id long, error string, review_needed boolean").repartition(6)
+    members = spark.createDataFrame([(1, 0, 3), (1, 1, 4), (2, 0, 5), (2, 1, 6), (2, 2, 7)], "group long, position int, ord long")
+    got = reports.write_outcomes(results, members, f"file://{tmp_path}/o")
+    assert got == {"completed": 48, "review": 28, "failed": 12, "duplicates": 3} and got == got | reports.counters(results).first().asDict()
+    assert spark.read.parquet(f"file://{tmp_path}/o/outcomes").count() == 60
+    assert reports.write_outcomes(results.limit(0), members.limit(0), f"file://{tmp_path}/none") == dict.fromkeys(got, 0)
+
+
 def test_reports_of_roots(spark, tmp_path):
     rows = [(f"r{k % 3}" if k % 3 else "", k, f'say "{k}", yes', None if k % 2 else k / 4) for k in range(200)]
     files.write_reports(spark.createDataFrame(rows, "root string, k int, text string, v double").repartition(7), f"file://{tmp_path}/o", "root", "k", "Report.csv")
