@@ -42,6 +42,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to several tasks a core, for work that is heavy beside its bytes: Spark would merge partitions of few bytes into one."""
+    return df.repartition(4 * max(1, df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """Adds name, 1, 2, ... by order: counts of range partitions are summed up, so no task holds all rows."""
     ordered = checkpoint(df.repartitionByRange(order).withColumn("part", F.spark_partition_id()))

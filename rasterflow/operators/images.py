@@ -64,8 +64,10 @@ def _tag(tiff: bytes) -> int:
 
 def horizon(gray: np.ndarray) -> float:
     """Median angle of straight edges within 12 degrees of level: lines with 90 votes or more that span a fifth of the width."""
-    y, x = np.nonzero(T.edges(gray, 60, 160))
     least, angles = max(80, gray.shape[1] // 5), []
+    if gray.shape[1] <= least:  # no line can span it
+        return 0.0
+    y, x = np.nonzero(T.edges(gray, 60, 160))
     for degrees in range(-12, 13):
         c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
         line = np.rint(y * c - x * s).astype(np.int64)
@@ -100,7 +102,7 @@ def _bands(gray: np.ndarray) -> tuple[float, ...]:
 
 def softened(gray: np.ndarray) -> np.ndarray:
     """Binomial 3 x 3 average in whole levels, rounded half up."""
-    pad = np.pad(gray.astype(np.int32), 1, "reflect" if min(gray.shape) > 1 else "edge")
+    pad = T.padded(gray.astype(np.int32), 1, "reflect" if min(gray.shape) > 1 else "edge")
     rows = pad[:-2] + 2 * pad[1:-1] + pad[2:]
     return (rows[:, :-2] + 2 * rows[:, 1:-1] + rows[:, 2:] + 8) >> 4
 
@@ -145,9 +147,13 @@ def inspected(photos: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for k in range(batch.num_rows):  # an image at a time: they may be large
-                rows = [one(*(c[k].as_py() for c in batch.columns))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["photo_id", "height", "width", "data", "error", *_NAMES])
+            rows, size = [], 0
+            for k in range(batch.num_rows):  # large images go on by themselves
+                rows.append(one(*(c[k].as_py() for c in batch.columns)))
+                size += len(rows[-1][3] or b"")
+                if size > 8 << 20 or len(rows) == 256 or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["photo_id", "height", "width", "data", "error", *_NAMES])
+                    rows, size = [], 0
 
     c = F.col
     raw = photos.select("photo_id", "height", "width", "n_channels", "data", "orientation").mapInArrow(run, schema)

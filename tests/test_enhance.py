@@ -121,3 +121,31 @@ def test_flat_candidates_are_refused():
     assert T.strict_likeness(sharp[:0], sharp) == 1.0 and T.likeness(sharp[:30], sharp) == 0.0
     assert T.face_likeness(sharp, sharp, [(10, 10, 20, 20)]) > 0.999 and T.face_likeness(flat, sharp, [(10, 10, 20, 20)]) == 0.0 and T.face_likeness(flat, sharp) == 1.0
     assert T.upscale(np.zeros((3, 5, 3), np.uint8), 1.3).shape == (3, 6, 3)
+
+
+def test_small_photos_are_dealt_to_all_cores(spark, sf_dir):
+    from rasterflow import queries
+
+    done = queries.enhanced_photos(spark, sf_dir)
+    assert done.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism  # few bytes, much work: one merged partition would be one task
+
+
+def test_local_contrast_equals_tile_by_tile():
+    plane = np.random.default_rng(5).integers(0, 256, (37, 53)).astype(np.uint8)
+    ys, xs = np.linspace(0, 37, 9).astype(int), np.linspace(0, 53, 9).astype(int)
+    curves = np.zeros((8, 8, 256), np.float32)
+    for i in range(8):
+        for j in range(8):
+            part = plane[ys[i] : ys[i + 1], xs[j] : xs[j + 1]]
+            hist = np.bincount(part.reshape(-1), minlength=256).astype(np.float32)
+            top = max(1.7 * part.size / 256, 1)
+            curves[i, j] = np.cumsum(np.minimum(hist, top) + np.maximum(hist - top, 0).sum() / 256) * 255 / part.size
+    got = T.local_contrast(plane, 1.7)
+    assert got[0, 0] == T._bytes(np.rint(curves[0, 0, plane[0, 0]])) and got[-1, -1] == T._bytes(np.rint(curves[-1, -1, plane[-1, -1]]))
+
+
+def test_padded_equals_numpys():
+    x = np.arange(5 * 7 * 3).reshape(5, 7, 3)
+    for width, mode in ((1, "reflect"), (4, "reflect"), (3, "edge")):
+        assert np.array_equal(T.padded(x, width, mode), np.pad(x, ((width, width), (width, width), (0, 0)), mode))
+    assert np.array_equal(T.padded(x[..., 0], 1, 9), np.pad(x[..., 0], 1, constant_values=9))
