@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from rasterflow.functions.sharing import stored
 
 #: Columns that runs are looked up by, as a power of two: a row has few runs in each.
 _WIDE = 6
+#: Lines of a photo that one task joins by itself, as a power of two.
+_BLOCK = 6
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,9 +33,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def runs(pixels: DataFrame) -> DataFrame:
-    """photo_id, y, first, last: stretches of pixels (photo_id, y, x) side by side."""
+    """photo_id, y, first, last: stretches of pixels (photo_id, y, x) side by side; most, the largest value, where pixels have one."""
     order = Window.partitionBy("photo_id", "y").orderBy("x")
-    return pixels.withColumn("k", F.col("x") - F.row_number().over(order)).groupBy("photo_id", "y", "k").agg(F.min("x").alias("first"), F.max("x").alias("last")).drop("k")
+    most = [F.max("value").alias("most")] if "value" in pixels.columns else []
+    return pixels.withColumn("k", F.col("x") - F.row_number().over(order)).groupBy("photo_id", "y", "k").agg(F.min("x").alias("first"), F.max("x").alias("last"), *most).drop("k")
 
 
 def touching(found: DataFrame, corners: bool = True) -> DataFrame:
@@ -45,14 +49,91 @@ def touching(found: DataFrame, corners: bool = True) -> DataFrame:
     return met.select(F.struct("photo_id", (F.col("y") - 1).alias("y"), F.col("f").alias("first")).alias("a"), F.struct("photo_id", "y", "first").alias("b"))
 
 
+def _tops(reach: int):
+    """A task's walk over runs in order of photo, block, line and column: each run of a block of lines with the first run that it is joined to."""
+
+    def settled(block):
+        top = list(range(len(block)))
+
+        def find(k):
+            while top[k] != k:
+                top[k] = k = top[top[k]]
+            return k
+
+        begin, end = 0, 0  # the line above: runs from begin to end
+        k = 0
+        while k < len(block):
+            y, stop = block[k][0], k
+            while stop < len(block) and block[stop][0] == y:
+                stop += 1
+            if begin < end and block[begin][0] == y - 1:
+                up = begin
+                for low in range(k, stop):
+                    _, first, last = block[low]
+                    while up < end and block[up][2] + reach < first:
+                        up += 1
+                    at = up
+                    while at < end and block[at][1] <= last + reach:
+                        a, b = find(at), find(low)
+                        top[max(a, b)] = min(a, b)
+                        at += 1
+            begin, end, k = k, stop, stop
+        return [block[find(k)] for k in range(len(block))]
+
+    def run(batches):
+        now, block = None, []
+        kinds = None
+
+        def made(now, block):
+            found = settled(block)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(v, t) for v, t in zip(([now[0]] * len(block), *zip(*block, strict=True), [t[0] for t in found], [t[1] for t in found]), kinds, strict=True)], ["photo_id", "y", "first", "last", "top_y", "top_first"]
+            )
+
+        for batch in batches:
+            kinds = kinds or [batch.schema.field(0).type, *[pa.int32()] * 5]
+            done = []
+            for photo, part, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (photo, part) != now:
+                    if block:
+                        done.append(made(now, block))
+                    now, block = (photo, part), []
+                block.append(tuple(place))
+            if done:
+                yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
+        if block:
+            yield made(now, block)
+
+    return run
+
+
+def named(found: DataFrame, corners: bool = True) -> DataFrame:
+    """Adds region to runs (photo_id, y, first, last and more): the place (y, first) of the first run of what they touch.
+
+    Blocks of lines of a photo are settled by a task each; only what runs on over blocks takes rounds of joins."""
+    found = stored(found)
+    lines = found.select("photo_id", F.shiftright(F.col("y"), _BLOCK).alias("block"), F.col("y").cast("int").alias("y"), F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
+    kind = found.schema["photo_id"].dataType.simpleString()
+    ordered = lines.repartition("photo_id", "block").sortWithinPartitions("photo_id", "block", "y", "first")
+    tops = stored(ordered.mapInArrow(_tops(int(corners)), f"photo_id {kind}, y int, first int, last int, top_y int, top_first int"))
+    ends = F.col("y").bitwiseAND((1 << _BLOCK) - 1)
+    met = touching(tops.where((ends == 0) | (ends == (1 << _BLOCK) - 1)).select("photo_id", "y", "first", "last"), corners).where(F.shiftright("a.y", _BLOCK) < F.shiftright("b.y", _BLOCK))
+    top = F.struct("photo_id", F.col("top_y").alias("y"), F.col("top_first").alias("first"))
+    for side in "ab":
+        own = tops.select(F.struct("photo_id", "y", "first").alias(side), top.alias("top"))
+        met = met.join(own, side).drop(side).withColumnRenamed("top", side)
+    over = stored(met.select("a", "b").distinct())
+    far = tops.withColumn("node", top)
+    if not over.isEmpty():
+        far = far.join(components(over), "node", "left").withColumn("node", F.coalesce("component", "node"))
+    regions = far.select("photo_id", F.col("y"), F.col("first"), F.struct("node.y", "node.first").alias("region"))
+    return found.join(regions, ["photo_id", "y", "first"])
+
+
 def labelled(pixels: DataFrame, corners: bool = True) -> DataFrame:
     """Adds region to pixels (photo_id, y, x and more): the place (y, first) of the first run of what they touch."""
     pixels = stored(pixels)
-    found = stored(runs(pixels.select("photo_id", "y", "x")))
-    known = components(touching(found, corners))
-    own = F.struct("photo_id", "y", "first")
-    named = found.withColumn("node", own).join(known, "node", "left").select("photo_id", "y", "first", "last", F.coalesce("component", "node").alias("top"))
-    spread = named.select("photo_id", "y", F.struct("top.y", "top.first").alias("region"), F.explode(F.sequence("first", "last")).alias("x"))
+    spread = named(runs(pixels.select("photo_id", "y", "x")), corners).select("photo_id", "y", "region", F.explode(F.sequence("first", "last")).alias("x"))
     return pixels.join(spread, ["photo_id", "y", "x"])
 
 

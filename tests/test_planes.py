@@ -198,3 +198,24 @@ def test_signatures_equal_the_cosine_transform(spark):
 def test_components_of_chains(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 300)] + [(5000, 6000), (5500, 5000)], "a long, b long")
     assert {r.node: r.component for r in regions.components(edges).collect()} == {k: 1 for k in range(1, 301)} | {5000: 5000, 5500: 5000, 6000: 5000}
+
+
+def test_regions_over_blocks_of_lines(spark):
+    """A comb and loops that run through several blocks of lines, and blocks that nothing joins."""
+    plane = noise(230, 40, seed=9) < 95
+    plane[:, 3] = True
+    cells = {(int(y), int(x)) for y, x in np.argwhere(plane)}
+    found = regions.labelled(spark.createDataFrame([(7, *c) for c in cells], "photo_id long, y int, x int")).collect()
+    want, left = {}, set(cells)
+    while left:
+        part = flood(cells, [min(left)])
+        want |= dict.fromkeys(part, min(part))
+        left -= part
+    assert len(found) == len(cells)
+    assert {(r.y, r.x): (r.region.y, r.region.first) for r in found} == want
+
+
+def test_regions_of_low_photos_take_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(regions, "components", lambda edges: pytest.fail("joined in rounds"))
+    cells = [(k, y, x) for k in range(3) for y in range(60) for x in range(20) if x == 4 or y % 7 == 0]
+    assert {tuple(r) for r in regions.labelled(spark.createDataFrame(cells, "photo_id long, y int, x int")).select("photo_id", "region.*").distinct().collect()} == {(k, 0, 0) for k in range(3)}
