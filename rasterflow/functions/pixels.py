@@ -61,10 +61,6 @@ def percentile(px: Column, p: float) -> Column:
     return once(F.array_sort(px), between)
 
 
-def _places(height: int, width: int) -> Column:
-    return F.sequence(F.lit(0), F.lit(height * width - 1))
-
-
 def _mirror(k: Column, n: int) -> Column:
     return F.when(k < 0, -k).when(k > n - 1, 2 * (n - 1) - k).otherwise(k)
 
@@ -90,12 +86,22 @@ def _unrolled(height, width) -> bool:
     return isinstance(height, int) and isinstance(width, int) and height * width <= 256
 
 
+def _beside(i: Column, width) -> tuple[Column, Column]:
+    """The places left and right of place i, mirrored at the borders."""
+    column = i % width
+    return F.when(column == 0, i + 1).otherwise(i - 1), F.when(column == width - 1, i - 1).otherwise(i + 1)
+
+
+def _upright(i: Column, height, width) -> tuple[Column, Column]:
+    """The places above and below place i, mirrored at the borders."""
+    return F.when(i < width, i + width).otherwise(i - width), F.when(i >= (height - 1) * width, i - width).otherwise(i + width)
+
+
 def laplacian(px: Column, height, width) -> Column:
     """Four-neighbour second differences. Sizes are numbers or columns."""
     if _unrolled(height, width):
         return _stencil(px, height, width, {(-1, 0): 1, (1, 0): 1, (0, -1): 1, (0, 1): 1, (0, 0): -4})
-    at = lambda i, dy, dx: neighbour(px, i, dy, dx, height, width)
-    return F.transform(_places(height, width), lambda i: at(i, -1, 0) + at(i, 1, 0) + at(i, 0, -1) + at(i, 0, 1) - 4 * F.get(px, i))
+    return F.transform(px, lambda v, i: sum((F.get(px, k) for k in (*_upright(i, height, width), *_beside(i, width))), -4 * v))
 
 
 def smooth(px: Column, height: int, width: int) -> Column:
@@ -104,8 +110,8 @@ def smooth(px: Column, height: int, width: int) -> Column:
     level = lambda v: F.shiftright(v + 8, 4)
     if _unrolled(height, width):
         return _stencil(px, height, width, weights, level)
-    at = lambda i, dy, dx: neighbour(px, i, dy, dx, height, width)
-    return F.transform(_places(height, width), lambda i: level(sum(w * at(i, dy, dx) for (dy, dx), w in weights.items())))
+    down = F.transform(px, lambda v, i: sum((F.get(px, k) for k in _upright(i, height, width)), 2 * v))
+    return once(down, lambda sums: F.transform(sums, lambda v, i: level(sum((F.get(sums, k) for k in _beside(i, width)), 2 * v))))
 
 
 def sharpness(px: Column, height: int, width: int) -> Column:
@@ -119,13 +125,12 @@ def noise(px: Column, height: int, width: int) -> Column:
 def steps(px: Column, height: int, width: int, down: bool) -> Column:
     """Absolute differences between neighbours in a row (or down a column), row by row."""
     n = (height - 1) * width if down else height * (width - 1)
-    here = (lambda k: k) if down else (lambda k: (k / (width - 1)).cast("int") * width + k % (width - 1))
+    here = (lambda k: k) if down else (lambda k: k + (k / (width - 1)).cast("int"))
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.abs(F.get(px, here(k) + (width if down else 1)) - F.get(px, here(k))))
 
 
-def block_steps(px: Column, height: int, width: int, down: bool) -> Column:
-    """Those differences that cross an 8-pixel block edge."""
-    every = steps(px, height, width, down)
+def _block_steps(every: Column, width: int, down: bool) -> Column:
+    """Those of all differences that cross an 8-pixel block edge."""
     across = (lambda _, k: (k / width).cast("int") % 8 == 7) if down else (lambda _, k: k % (width - 1) % 8 == 7)
     return F.filter(every, across)
 
@@ -144,19 +149,27 @@ def pooled_score(edge_x, edge_y, all_x, all_y) -> Column:
     return clip((((edge_x + edge_y) / 2) / ((all_x + all_y) / 2 + 1e-6) - 0.9) * 115.0, 0.0, 100.0)
 
 
+def _blockiness(px: Column, height, width, score) -> Column:
+    """score of the mean differences; each axis's differences are worked out once."""
+
+    def axis(down):
+        return once(steps(px, height, width, down), lambda every: F.struct(mean(_block_steps(every, width, down)).alias("edge"), mean(every).alias("all")))
+
+    return once(F.struct(axis(False).alias("x"), axis(True).alias("y")), lambda a: score(a["x"]["edge"], a["y"]["edge"], a["x"]["all"], a["y"]["all"]))
+
+
 def blockiness_axes(px: Column, height, width) -> Column:
     """``axes_score`` of a raster; 0 for rasters under 24."""
     if isinstance(height, int) and isinstance(width, int) and min(height, width) < 24:
         return F.lit(0.0)
-    score = axes_score(*(mean(part(px, height, width, down)) for part in (block_steps, steps) for down in (False, True)))
-    return F.when(F.least(F.lit(height), F.lit(width)) < 24, F.lit(0.0)).otherwise(score)
+    return F.when(F.least(F.lit(height), F.lit(width)) < 24, F.lit(0.0)).otherwise(_blockiness(px, height, width, axes_score))
 
 
 def blockiness_pooled(px: Column, height: int, width: int) -> Column:
     """``pooled_score`` of a raster; 0 for rasters under 24."""
     if min(height, width) < 24:
         return F.lit(0.0)
-    return pooled_score(*(mean(part(px, height, width, down)) for part in (block_steps, steps) for down in (False, True)))
+    return _blockiness(px, height, width, pooled_score)
 
 
 def luma(b: Column, g: Column, r: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterflow.functions import pixels
+from rasterflow.functions.sharing import spread
 
 #: Suffixes of photographs.
 SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp")
@@ -111,7 +112,8 @@ def tiled_rasters(spark: SparkSession, sf_dir: str, side: int = 3) -> DataFrame:
     """photo_id, px: side x side vectors laid out as tiles of one raster of 8 * side pixels a side; the last one repeats its tiles."""
     e, n = small_rasters(spark, sf_dir, shaped=False), side * side
     edge = 8 * side
-    tiles = e.groupBy(F.floor(F.col("photo_id") / n).alias("photo_id")).agg(F.sort_array(F.collect_list(F.struct((F.col("photo_id") % n).alias("k"), "px"))).alias("tiles"))
+    dealt = spread(e.select(F.floor(F.col("photo_id") / n).alias("photo_id"), F.struct((F.col("photo_id") % n).alias("k"), "px").alias("tile")), "photo_id")
+    tiles = dealt.groupBy("photo_id").agg(F.sort_array(F.collect_list("tile")).alias("tiles"))
 
     def pixel(i):
         row, column = (i / edge).cast("int"), i % edge

@@ -219,3 +219,9 @@ def test_regions_of_low_photos_take_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(regions, "components", lambda edges: pytest.fail("joined in rounds"))
     cells = [(k, y, x) for k in range(3) for y in range(60) for x in range(20) if x == 4 or y % 7 == 0]
     assert {tuple(r) for r in regions.labelled(spark.createDataFrame(cells, "photo_id long, y int, x int")).select("photo_id", "region.*").distinct().collect()} == {(k, 0, 0) for k in range(3)}
+
+
+def test_scenes_are_dealt_to_all_cores(spark, sf_dir):
+    from rasterflow.sources import rasters
+
+    assert rasters.scene_rasters(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
