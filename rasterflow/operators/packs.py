@@ -185,8 +185,12 @@ def typed_spec(document: Column) -> Column:
     """A specification from a document (VARIANT) as its reader takes it, null where it takes none.
 
     Names take any value as text. Numbers may be whole, broken (cut where a whole one is wanted), true or false, or texts of
-    numbers; any other value, JSON's null too, makes the document invalid, as does a document that isn't an object. What is absent has its default."""
+    numbers; any other value, JSON's null too, makes the document invalid, as does a document that isn't an object. What is absent has its default.
+    The document is parsed once for all of its fields, and a field's kind is found once."""
+    return once(document, _typed_fields)
 
+
+def _typed_fields(document: Column) -> Column:
     def field(name):
         return F.try_variant_get(document, f"$.{name}", "variant")
 
@@ -194,19 +198,23 @@ def typed_spec(document: Column) -> Column:
     as_type = lambda v, t: F.try_variant_get(v, "$", t)
 
     def number(name, default, target, shape):
+        def told(plain):
+            return F.struct(plain.isNotNull().alias("valid"), F.coalesce(plain, F.lit(default).cast(target)).alias("value"))
+
         def use(v):
             text = F.when(as_type(v, "string").rlike(shape), F.replace(F.trim(as_type(v, "string")), F.lit("_"), F.lit("")))
-            plain = F.when(kind(v) == "STRING", text.try_cast(target)).when(kind(v) == "BOOLEAN", as_type(v, "boolean").cast("int").cast(target)).when(kind(v).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), as_type(v, "double").try_cast(target))
-            return F.struct((v.isNull() | plain.isNotNull()).alias("valid"), F.coalesce(plain, F.lit(default)).alias("value"))
+            plain = once(kind(v), lambda k: F.when(k == "STRING", text.try_cast(target)).when(k == "BOOLEAN", as_type(v, "boolean").cast("int").cast(target)).when(k.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), as_type(v, "double").try_cast(target)))
+            return F.when(v.isNull(), told(F.lit(default).cast(target))).otherwise(once(plain, told))
 
         return once(field(name), use)
 
     def text(name, default):
-        return once(field(name), lambda v: F.when(v.isNull(), default).when(kind(v) == "VOID", "None").when(kind(v) == "BOOLEAN", F.initcap(as_type(v, "string"))).otherwise(as_type(v, "string")))
+        named = lambda v: once(kind(v), lambda k: F.when(k == "VOID", "None").when(k == "BOOLEAN", F.initcap(as_type(v, "string"))).otherwise(as_type(v, "string")))
+        return once(field(name), lambda v: F.when(v.isNull(), default).otherwise(named(v)))
 
     def truth(name):
-        empty = lambda v: (kind(v) == "VOID") | ((kind(v) == "BOOLEAN") & ~as_type(v, "boolean")) | ((kind(v) == "STRING") & (as_type(v, "string") == "")) | (kind(v).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT") & (as_type(v, "double") == 0)) | F.to_json(v).isin("[]", "{}")
-        return once(field(name), lambda v: F.when(v.isNull(), F.lit(False)).otherwise(~empty(v)))
+        empty = lambda v, k: (k == "VOID") | ((k == "BOOLEAN") & ~as_type(v, "boolean")) | ((k == "STRING") & (as_type(v, "string") == "")) | (k.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT") & (as_type(v, "double") == 0)) | F.to_json(v).isin("[]", "{}")
+        return once(field(name), lambda v: F.when(v.isNull(), F.lit(False)).otherwise(once(kind(v), lambda k: ~empty(v, k))))
 
     def whole(numbers):
         low = lambda n, d: F.lower(text(n, d)).alias(n)

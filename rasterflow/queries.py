@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterflow.functions import pixels as P
-from rasterflow.functions.sharing import fresh_folder, numbered
+from rasterflow.functions.sharing import fresh_folder, numbered, spread
 from rasterflow.operators import candidates, dedupe, faces, measure, packs, reports, rules, tiles
 from rasterflow.sources import rasters
 from rasterflow.sources.rasters import table
@@ -362,7 +362,7 @@ def spec_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.when(k % 5 == 0, '{"tile_size": 200}').when(k % 5 == 1, "nothing")
     near = F.when(k % 3 == 0, own(F.concat(F.lit('{"tile_size": '), (300 + k % 10).cast("string"), F.lit("}")))).when(k % 11 == 1, own(F.lit("5"))).when(k % 11 == 2, '{"deblur": {}}')
     far = F.when(k % 2 == 0, own(F.lit('{"tile_size": 400}')))
-    return table(spark, sf_dir, "events").select("event_id", packs.spec_by_priority(sidecar, plain, near, far, "denoise")["tile_size"].alias("tile_size"))
+    return spread(table(spark, sf_dir, "events").select("event_id"), "event_id").select("event_id", packs.spec_by_priority(sidecar, plain, near, far, "denoise")["tile_size"].alias("tile_size"))
 
 
 def spec_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,7 +374,7 @@ def spec_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = choice(3, '{"denoise": {"tile_size": "x"}}', '{"denoise": []}', '{"deblur": {"tile_size": 1}}')
     far = choice(2, '{"denoise": {"tile_size": 400, "layout": "NHWC", "preserve_size": []}}', None)
     s = packs.spec_by_priority(sidecar, plain, near, far, "denoise")
-    return table(spark, sf_dir, "events").select("event_id", s.alias("s")).select("event_id", "s.layout", "s.tile_size", "s.blend_strength", "s.preserve_size")
+    return spread(table(spark, sf_dir, "events").select("event_id"), "event_id").select("event_id", s.alias("s")).select("event_id", "s.layout", "s.tile_size", "s.blend_strength", "s.preserve_size")
 
 
 def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:

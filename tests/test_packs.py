@@ -104,3 +104,11 @@ def test_specification_that_is_no_object_is_passed_over(spark):
     last = packs.spec_by_priority(none, none, F.lit("broken"), none, "denoise")
     row = spark.range(1).select(pick["overlap"].alias("a"), last["overlap"].alias("b")).first()
     assert (row.a, row.b) == (9, 32)
+
+
+def test_specifications_are_parsed_once(spark):
+    s = packs.spec_by_priority(F.lit('{"tile_size": "512"}'), F.col("t"), F.col("t"), F.col("t"), "denoise")
+    df = spark.createDataFrame([(1, "{}")], "id int, t string").select(s.alias("s"))
+    parsed = df._jdf.queryExecution().analyzed().toString().count("parse_json(")
+    assert parsed <= 7  # four files, the catalogues' two defaults and the last one's
+    assert df.first().s.tile_size == 512
