@@ -46,6 +46,8 @@ def perceptual_hash(px: Column, height, width) -> Column:
 
 #: Parts of a signature that pairs are looked up by, and bits of each.
 PARTS, WIDE = 4, 16
+#: Keys that one task looks up.
+KEYS = 1 << 20
 
 
 def _part(bits: Column, k: int) -> Column:
@@ -57,26 +59,37 @@ def near_pairs(left: DataFrame, right: DataFrame, near: int = NEAR, left_id: str
 
     Of 4 parts of 16 bits one differs in a single bit at most if the whole differs in 7, so each left signature is looked
     up by its parts and their one-bit neighbours: 68 keys, each of which a random signature meets with 1 / 65536. A pair
-    counts in its first such part only. Equal signatures are looked up once, and ids join the pairs that were found."""
+    counts in its first such part only. Equal signatures are looked up once, and ids join the pairs that were found.
+
+    Few bytes of signatures become many keys, which Spark's estimates don't foresee: it would make them in one task and broadcast
+    them. So keys are dealt to tasks by their number, where Spark's own number of partitions is too small for them; tasks hash
+    the side of few keys, and let the other and the pairs pass."""
     if near > 2 * PARTS - 1:
         raise ValueError("more than 7 bits need more parts")
-    flips = F.array(F.lit(0), *[F.lit(1 << b) for b in range(WIDE)])
-
-    def probed(k):
-        return F.transform(flips, lambda f: F.struct(F.lit(k).alias("part"), _part(F.col("left_sig"), k).bitwiseXOR(f.cast("long")).alias("key")))
-
-    probes = F.flatten(F.array(*map(probed, range(PARTS))))
-    stored = F.array(*[F.struct(F.lit(k).alias("part"), _part(F.col("right_sig"), k).alias("key")) for k in range(PARTS)])
-    a = left.select(F.col("sig").alias("left_sig")).distinct().select("left_sig", F.inline(probes))
-    b = right.select(F.col("sig").alias("right_sig")).distinct().select("right_sig", F.inline(stored))
+    mine = stored(left.select(left_id, F.col("sig").alias("left_sig")))
+    theirs = stored(right.select(right_id, F.col("sig").alias("right_sig")))
+    keys = PARTS * ((1 + WIDE) * mine.count() + theirs.count())
+    spark = left.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-keys // KEYS))
+    more = tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = lambda bits: F.explode(F.array(*[_part(F.col(bits), k) + (k << WIDE) for k in range(PARTS)])).alias("key")
+    flips = F.explode(F.array(*[F.lit(f).cast("long") for f in (0, *(1 << b for b in range(WIDE)))])).alias("flip")
+
+    def looked_up(rows, bits):
+        return rows.select(bits).repartition(tasks, bits).distinct().select(bits, parts(bits))
+
+    def dealt(rows):
+        return rows.repartition(tasks, "key") if more else rows
+
+    a = dealt(looked_up(mine, "left_sig").select("left_sig", "key", flips).select("left_sig", F.col("key").bitwiseXOR(F.col("flip")).alias("key")))
+    b = dealt(looked_up(theirs, "right_sig"))
     gap = F.col("left_sig").bitwiseXOR(F.col("right_sig"))
     first = F.lit(PARTS)
     for k in reversed(range(PARTS)):
         first = F.when(F.bit_count(_part(gap, k)) <= 1, k).otherwise(first)
-    met = a.join(b, ["part", "key"]).withColumn("distance", P.hamming(F.col("left_sig"), F.col("right_sig"))).where((F.col("distance") <= near) & (F.col("part") == first))
-    mine = left.select(left_id, F.col("sig").alias("left_sig"))
-    theirs = right.select(right_id, F.col("sig").alias("right_sig"))
-    return met.select("left_sig", "right_sig", "distance").join(mine, "left_sig").join(theirs, "right_sig").select(left_id, right_id, "distance")
+    met = a.join(b.hint("shuffle_hash"), "key").withColumn("distance", P.hamming(F.col("left_sig"), F.col("right_sig"))).where((F.col("distance") <= near) & (F.shiftright("key", WIDE) == first))
+    found = met.select("left_sig", "right_sig", "distance").join(mine.hint("shuffle_hash"), "left_sig").join(theirs.hint("shuffle_hash"), "right_sig")
+    return found.select(left_id, right_id, "distance")
 
 
 #: What a round needs of an edge from node a to node b: the group that repeated content near a opens, and what is known of b.

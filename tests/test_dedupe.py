@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -86,6 +87,26 @@ def test_near_pairs_miss_nothing(spark):
     assert got == want
 
 
+def test_near_pairs_deal_keys_by_number(spark, monkeypatch):
+    """No task makes all keys and none are broadcast, few as the bytes of their signatures are; hot parts and copies lose no pair."""
+    random.seed(43)
+    base = random.getrandbits(64)
+    sigs = [flipped(base, random.randint(0, 5)) for _ in range(60)] + [random.getrandbits(64) - 2**63 for _ in range(440)]
+    sigs += sigs[:20] + sigs[100:120]
+    left = spark.createDataFrame(list(enumerate(sigs)), "left_id long, sig long")
+    right = left.withColumnRenamed("left_id", "right_id")
+    want = {(a, b, d) for a in range(len(sigs)) for b in range(len(sigs)) if (d := ((sigs[a] ^ sigs[b]) & (2**64 - 1)).bit_count()) <= 7}
+    for per_task, tasks in ((1 << 20, 4), (2000, 20)):
+        monkeypatch.setattr(dedupe, "KEYS", per_task, raising=False)
+        found = dedupe.near_pairs(left, right)
+        got = [tuple(r) for r in found.collect()]
+        assert set(got) == want and len(got) == len(want)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan
+        dealt = set(re.findall(r"hashpartitioning\((left_sig|right_sig|key)#\w+, (\d+)\), REPARTITION_BY_NUM", plan))
+        assert {("left_sig", str(tasks)), ("right_sig", str(tasks))} <= dealt and (("key", str(tasks)) in dealt) == (tasks > 4)
+
+
 def test_best_takes_the_first_of_equal_scores(spark):
     members = spark.createDataFrame([(1, 0, 5), (1, 1, 6), (1, 2, 7), (2, 0, 8), (2, 1, 9)], "group long, position int, ord long")
     scores = spark.createDataFrame([(6, 3), (7, 3), (5, 1)], "ord long, score int")
